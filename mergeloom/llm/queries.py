@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mergeloom.llm import common as C
-from mergeloom.llm import jaccard
+from mergeloom.llm import jaccard, substring, suffix
 
 #: The words of ``text`` in SQL.
 WORDS = r"regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+')"
@@ -15,9 +15,34 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_pairs(C.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_repeats(C.table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(C.table(spark, sf_dir, "documents"))
+
+
+def _repeats(elsewhere: str) -> str:
+    return f"""
+with w as (select doc_id, {WORDS} w from documents where doc_id is not null),
+s as (select doc_id, unnest(range(len(w) - 49)) i, w from w where len(w) >= 50),
+h as (select doc_id, i, array_to_string(w[i + 1 : i + 50], ' ') h from s),
+r as (select doc_id, i, row_number() over (partition by h order by doc_id, i) = 1 f
+      from h qualify {elsewhere}),
+g as (select *, i - row_number() over (partition by doc_id, f order by i) k from r)
+select doc_id, min(i)::int start_word, (count(*) + 49)::int n_words, f is_first from g group by doc_id, f, k"""
+
+
+QUERIES = {
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+}
 
 ORACLE = {
+    "op5_suffix_array_dedup": _repeats("count(*) over (partition by h) > 1"),
+    "op6_substring_dedup": _repeats("min(doc_id) over (partition by h) <> max(doc_id) over (partition by h)"),
     "op10_ngram_jaccard_join": f"""
 with w as (select doc_id, {WORDS} w from documents where doc_id is not null),
 s as (select doc_id, list_sort(list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')]
