@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mergeloom.llm import common as C
-from mergeloom.llm import jaccard, substring, suffix
+from mergeloom.llm import decontaminate, exact, jaccard, substring, suffix
 
 #: The words of ``text`` in SQL.
 WORDS = r"regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+')"
@@ -15,6 +15,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_pairs(C.table(spark, sf_dir, "documents"))
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_repeats(C.table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(C.table(spark, sf_dir, "documents"))
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_copies(C.table(spark, sf_dir, "documents"))
+
+
 def _repeats(elsewhere: str) -> str:
     return f"""
 with w as (select doc_id, {WORDS} w from documents where doc_id is not null),
@@ -35,12 +43,32 @@ select doc_id, min(i)::int start_word, (count(*) + 49)::int n_words, f is_first
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLE = {
+    "op1_benchmark_decontamination": f"""
+with i as (select {WORDS} w from benchmark),
+k as (select w, greatest(6, least(12, ceil(0.6 * len(w) - 1e-9)))::int k from i),
+g as (select distinct k, array_to_string(w[j + 1 : j + k], ' ') g
+      from (select w, k, unnest(range(len(w) - k + 1)) j from k where len(w) >= k)),
+d as (select row_number() over () r, doc_id, text, {WORDS} w from documents),
+x as (select r, j, k, array_to_string(w[j + 1 : j + k], ' ') g
+      from (select r, w, k, unnest(range(len(w) - k + 1)) j from d, (select distinct k from g) where len(w) >= k)),
+f as (select r, list(distinct p) p from (select r, unnest(range(j + 1, j + 1 + k)) p from x join g using (k, g)) group by r),
+m as (select d.*, p, regexp_split_to_array(text, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') s,
+        regexp_extract_all(text, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') o from d left join f using (r))
+select doc_id, case when p is null then text else array_to_string(list_transform(range(1, len(o) + 2), lambda q:
+    (case when list_contains(p, q - 1) and list_contains(p, q) then '' else s[q] end) ||
+    (case when q > len(o) or list_contains(p, q) then '' else o[q] end)), '') end as text,
+  len(w)::int n_words, coalesce(len(p), 0)::int n_removed from m""".replace("\\\\", "\\"),
+    "op9_exact_dedup": """
+select distinct doc_id, k keep_id from (select doc_id, min(doc_id) over (partition by text) k
+  from documents where text is not null and doc_id is not null) where doc_id <> k""",
     "op5_suffix_array_dedup": _repeats("count(*) over (partition by h) > 1"),
     "op6_substring_dedup": _repeats("min(doc_id) over (partition by h) <> max(doc_id) over (partition by h)"),
     "op10_ngram_jaccard_join": f"""
