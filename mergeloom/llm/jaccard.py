@@ -5,15 +5,22 @@ J >= ``threshold`` (d <= r). Unrelated documents all lie at distance 1 from each
 other, so pivots drawn from the corpus would tell nothing apart. The pivots
 here are found where documents meet, in four steps:
 
-1. Every document sends its prefix, the |x| - ceil(t|x|) + l(x) grams of
-   smallest hash, l(x) = ceil(slack |x|), to cells keyed by gram. A pair within
-   r shares at least min(l(x), l(y)) prefix grams. The document of least
-   priority in a cell is the pivot of the cell; each member is linked to it.
-2. A document whose prefix shares too few grams with anybody has no partner and
-   goes. Of the others' links the weakest go, as long as the shared grams lost
-   are fewer than half of what a pair is sure to share: every pair within r
-   keeps a pivot that both are linked to. A document linked to several pivots
-   is copied into all these regions.
+1. The grams of a document in hash order make links gram -> next gram, as many
+   as grams (the last one leads to an end mark). Where two sets disagree on what
+   follows a common gram, the lesser follower is in one set only, and it follows
+   one gram only; so |x & y| grams in common mean |x & y| - |x ^ y| links in
+   common at least, which is (2t - 1) max(|x|, |y|) for a pair within r. A link
+   holds two distant trigrams of a text and is rarely shared by chance, which
+   single trigrams of frequent words often are, the more so the larger the corpus.
+   Every document sends its prefix, the |x| - ceil((2t - 1)|x|) + l(x) links of
+   smallest hash, l(x) = ceil(slack |x|), to cells keyed by link. A pair within
+   r shares at least min(l(x), l(y)) prefix links. The document of least
+   priority in a cell is the pivot of the cell; each member is tied to it.
+2. A document whose prefix shares too few links with anybody has no partner and
+   goes. Of the others' ties to pivots the weakest go, as long as the shared
+   links lost are fewer than half of what a pair is sure to share: every pair
+   within r keeps a pivot that both are tied to. A document tied to several
+   pivots is copied into all these regions.
 3. Members' gram sets are fetched; equal sets collapse to one representative.
 4. Each region is joined exactly. A region over ``LEAF`` sets is divided anew:
    pivots among its members, each set to its nearest (a Voronoi cell), and by
@@ -39,6 +46,7 @@ from mergeloom.llm.tokens import Words, slices
 
 LEAF = 128
 EPS = 1e-9
+GRAM = np.uint64((1 << 48) - 1)
 SETS = "doc_id long, n int, fp long, grams binary"
 
 
@@ -52,10 +60,21 @@ def gram_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return key, np.bincount((key >> np.uint64(48)).astype(np.int64), minlength=len(words.count))
 
 
-def _slack(n: np.ndarray, t: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
-    """l(x), and the length of the prefix."""
-    least = np.ceil(slack * n - EPS).astype(np.int64)
-    return least, np.minimum(n, n - np.ceil(t * n - EPS).astype(np.int64) + least)
+def prefix_links(key: np.ndarray, size: np.ndarray, t: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(48-bit link, row) of each row's prefix."""
+    if not len(key):
+        return key, np.zeros(0, np.int64)
+    row = (key >> np.uint64(48)).astype(np.int64)
+    after = np.concatenate([key[1:], [~np.uint64(0)]])
+    after[np.concatenate([row[1:] != row[:-1], [True]])] = ~np.uint64(0)
+    link = C.mix((key & GRAM) * np.uint64(0x9E3779B97F4A7C15) + (after & GRAM)) & GRAM
+    link |= key & ~GRAM
+    link.sort()
+    rank = np.arange(len(link)) - np.concatenate([[0], np.cumsum(size)])[row]
+    least = np.ceil(slack * size - EPS)
+    length = np.minimum(size, size - np.ceil((2 * t - 1) * size - EPS) + least)
+    take = rank < length[row]
+    return link[take] & GRAM, row[take]
 
 
 def near_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: float = 0.1) -> DataFrame:
@@ -72,8 +91,8 @@ def near_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: float
     a pair found twice has the higher J.
     Other columns are not read. No rows give no rows.
     """
-    if not 0 < slack < threshold <= 1:
-        raise ValueError("0 < slack < threshold <= 1 must hold")
+    if not 0 < slack < 2 * threshold - 1 <= 1:
+        raise ValueError("0 < slack < 2 threshold - 1 <= 1 must hold")
     spark = docs.sparkSession
     C.bounded_batches(spark)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -85,11 +104,8 @@ def near_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: float
             key, size = gram_sets(Words(b.column(1)), n)
             if not len(key):
                 continue
-            row = (key >> np.uint64(48)).astype(np.int64)
-            rank = np.arange(len(key)) - np.concatenate([[0], np.cumsum(size)])[row]
-            take = rank < _slack(size, threshold, slack)[1][row]
-            gram, row = key[take] & np.uint64((1 << 48) - 1), row[take]
-            yield C.blob_batch([(k, _cells_blob(gram[i], row[i], ids, size)) for k, i in C.split_by(C.bucket_of(gram, nb))])
+            link, row = prefix_links(key, size, threshold, slack)
+            yield C.blob_batch([(k, _cells_blob(link[i], row[i], ids, size)) for k, i in C.split_by(C.bucket_of(link, nb))])
 
     cells = C.exchange(texts.mapInArrow(send, C.BLOB), lambda blobs: _link(blobs, nb), C.BLOB)
     edges = C.exchange(cells, lambda blobs: _choose(blobs, threshold, slack), "doc_id long, pivot long")
@@ -102,7 +118,7 @@ def near_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: float
         for b in slices(batches):
             key, size = gram_sets(Words(b.column(1)), n)
             cut = np.concatenate([[0], np.cumsum(size)])
-            grams = [(key[a:z] & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for a, z in zip(cut[:-1], cut[1:])]
+            grams = [(key[a:z] & GRAM).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for a, z in zip(cut[:-1], cut[1:])]
             fp = _set_hash(key, cut)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(size, pa.int32()), pa.array(fp.view(np.int64)), pa.array(grams, pa.binary())],
@@ -124,18 +140,18 @@ def near_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: float
 
 def _set_hash(key: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """One 64-bit value per set, from all its grams (their order is the sorted one)."""
-    h = C.mix((key & np.uint64((1 << 48) - 1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    h = C.mix((key & GRAM) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)])
     return C.mix(total[cut[1:]] - total[cut[:-1]])
 
 
-def _cells_blob(gram: np.ndarray, row: np.ndarray, ids: np.ndarray, size: np.ndarray) -> bytes:
+def _cells_blob(link: np.ndarray, row: np.ndarray, ids: np.ndarray, size: np.ndarray) -> bytes:
     used, local = np.unique(row, return_inverse=True)
-    return C.pack(ids[used].astype("<i8"), size[used].astype("<u4"), (gram << np.uint64(16)) | local.astype(np.uint64))
+    return C.pack(ids[used].astype("<i8"), size[used].astype("<u4"), (link << np.uint64(16)) | local.astype(np.uint64))
 
 
 def _link(blobs: list[bytes], nb: int) -> pa.Table:
-    """Cells of a bucket -> links (document, pivot, shared grams), packed by the document's bucket."""
+    """Cells of a bucket -> ties (document, pivot, shared links), packed by the document's bucket."""
     ids, sizes, keys = C.gather(blobs, "<i8", "<u4", "<u8")
     base = np.cumsum([0] + [len(x) for x in ids])
     gram = np.concatenate([k >> np.uint64(16) for k in keys])
@@ -160,7 +176,7 @@ def _link(blobs: list[bytes], nb: int) -> pa.Table:
 
 
 def _choose(blobs: list[bytes], t: float, slack: float) -> pa.Table:
-    """Links of whole documents -> those that must stay."""
+    """Ties of whole documents -> those that must stay."""
     doc, size, pivot, shared = (np.concatenate(x) for x in C.gather(blobs, "<i8", "<u4", "<i8", "<u4"))
     order = np.lexsort((pivot, size, doc))
     doc, size, pivot, shared = doc[order], size[order].astype(np.int64), pivot[order], shared[order].astype(np.int64)

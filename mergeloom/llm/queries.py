@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mergeloom.llm import common as C
-from mergeloom.llm import decontaminate, exact, jaccard, substring, suffix
+from mergeloom.llm import decontaminate, exact, jaccard, mixing, substring, suffix, warc
 
 #: The words of ``text`` in SQL.
 WORDS = r"regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+')"
@@ -19,6 +20,16 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.decontaminate(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
 
 
+def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(C.table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_tokens", F.round("position", 9).alias("position"))
+
+
+def op4_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = warc.reassemble(warc.page_records(C.table(spark, sf_dir, "pages")))
+    page = F.regexp_extract("record_id", "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
+    return done.select(page.alias("page_id"), "url", F.col("body").alias("html"), "status")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_repeats(C.table(spark, sf_dir, "documents"))
 
@@ -44,6 +55,8 @@ select doc_id, min(i)::int start_word, (count(*) + 49)::int n_words, f is_first
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op3_mixing_sources": op3_mixing_sources,
+    "op4_warc_reassembly": op4_warc_reassembly,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
@@ -69,6 +82,19 @@ select doc_id, case when p is null then text else array_to_string(list_transform
     "op9_exact_dedup": """
 select distinct doc_id, k keep_id from (select doc_id, min(doc_id) over (partition by text) k
   from documents where text is not null and doc_id is not null) where doc_id <> k""",
+    "op3_mixing_sources": r"""
+with d as (select doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x09-\x0d ]+')), 0) n_tokens,
+        md5(coalesce(doc_id::varchar, '') || ':0') o from documents),
+c as (select *, coalesce(sum(n_tokens) over (partition by coalesce(source, '') order by o, doc_id, n_tokens
+        rows between unbounded preceding and 1 preceding), 0) c from d),
+s as (select coalesce(source, '') s, sum(n_tokens) supply from d group by 1),
+w as (select s, supply, supply::double / greatest(sum(supply) over (), 1) a, 1.0::double / count(*) over () b from s),
+m as (select *, (a + b) / 2 share, min(supply::double / ((a + b) / 2)) over () most from w),
+p as (select c.*, a, b, share, c::double / greatest(most, 1) x from c join m on coalesce(source, '') = s)
+select doc_id, source, text, n_tokens::bigint n_tokens,
+  round(least(1, case when x <= 0 then 0 else 2 * x / (a + sqrt(greatest(0, a * a + 2 * (b - a) * x))) end), 9) as "position"
+from p where x < share""",
+    "op4_warc_reassembly": "select page_id, coalesce(url, '') url, coalesce(html, '') html, 'ok' status from pages where page_id is not null",
     "op5_suffix_array_dedup": _repeats("count(*) over (partition by h) > 1"),
     "op6_substring_dedup": _repeats("min(doc_id) over (partition by h) <> max(doc_id) over (partition by h)"),
     "op10_ngram_jaccard_join": f"""
