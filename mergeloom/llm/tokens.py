@@ -30,7 +30,7 @@ _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 SLICE_BYTES, SLICE_ROWS = 6 << 20, 60_000
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice has bounded bytes of text; a longer text is a slice alone."""
     for batch in batches:
         n = batch.num_rows
@@ -39,7 +39,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         _, off = text_bytes(batch.column(batch.schema.get_field_index(column)))
         a = 0
         while a < n:
-            z = int(np.searchsorted(off, off[a] + SLICE_BYTES, side="right")) - 1
+            z = int(np.searchsorted(off, off[a] + limit, side="right")) - 1
             z = min(n, max(a + 1, z), a + SLICE_ROWS)
             yield batch.slice(a, z - a)
             a = z
