@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergeloom.llm import common as C
-from mergeloom.llm import decontaminate, exact, jaccard, mixing, substring, suffix, tokenids, warc
+from mergeloom.llm import decontaminate, exact, jaccard, mixing, quality, substring, suffix, tokenids, toxicity, warc
 
 #: The words of ``text`` in SQL.
 WORDS = r"regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+')"
@@ -20,6 +20,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.decontaminate(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_scores(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(C.table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_tokens", F.round("position", 9).alias("position"))
 
@@ -38,6 +42,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(C.table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(C.table(spark, sf_dir, "documents"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.encode(C.table(spark, sf_dir, "documents"))
 
@@ -59,10 +67,12 @@ select doc_id, min(i)::int start_word, (count(*) + 49)::int n_words, f is_first
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_toxicity": op2_toxicity,
     "op3_mixing_sources": op3_mixing_sources,
     "op4_warc_reassembly": op4_warc_reassembly,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_token_ids": op8_token_ids,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
