@@ -12,17 +12,14 @@ MODES = ("auto", "eot", "line", "utf8")
 WINDOW = 4096
 
 
-def _after_token(f, at: int, size: int, token: bytes) -> int:
-    """End of the first token found in windows from ``at`` on; windows don't overlap, a token across two is missed."""
-    while at < size:
-        f.seek(at)
-        window = f.read(WINDOW)
-        hit = window.find(token)
+def _token_start(f, at: int, size: int, token: bytes) -> int:
+    """Start of the first token in full windows from ``at`` on. Windows don't overlap: a
+    token across two is missed, and so is one in the last, shorter window."""
+    for start in range(at, size - WINDOW + 1, WINDOW):
+        f.seek(start)
+        hit = f.read(WINDOW).find(token)
         if hit >= 0:
-            return at + hit
-        if len(window) < WINDOW:
-            return size
-        at += WINDOW
+            return start + hit
     return size
 
 
@@ -62,7 +59,7 @@ def offsets(path: str | Path, *, count: int | None = None, chunk_size: int | Non
             if not found and mode == "eot":
                 return [0, size]
             mode = "eot" if found else "line"
-        align = {"eot": lambda a: _after_token(f, a, size, mark), "line": lambda a: _line_start(f, a, size), "utf8": lambda a: _char_start(f, a, size)}[mode]
+        align = {"eot": lambda a: _token_start(f, a, size, mark), "line": lambda a: _line_start(f, a, size), "utf8": lambda a: _char_start(f, a, size)}[mode]
         return sorted({0, size, *(align(k * step) for k in range(1, n) if k * step < size)})
 
 
