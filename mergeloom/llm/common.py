@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Input bytes (as Spark estimates them) that one exchange bucket stands for.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 6 << 20
 #: A side of a join is broadcast only when its table is measured to be smaller.
 BROADCAST_BYTES = 32 << 20
 BLOB = "bucket int, blob binary"
@@ -85,7 +85,7 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Cap Arrow batches by bytes too, so that very long texts don't pile up in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 # --- packed arrays -----------------------------------------------------------

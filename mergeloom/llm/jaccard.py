@@ -22,11 +22,13 @@ here are found where documents meet, in four steps:
    within r keeps a pivot that both are tied to. A document tied to several
    pivots is copied into all these regions.
 3. Members' gram sets are fetched; equal sets collapse to one representative.
-4. Each region is joined exactly. A region over ``LEAF`` sets is divided anew:
-   pivots among its members, each set to its nearest (a Voronoi cell), and by
-   the triangle inequality to every cell it can have a partner in, d(y, p) <=
-   R(p) + r with R(p) the cell's radius; cells recurse until they are leaves or
-   stop shrinking, and leaves compare all sets.
+4. Each region is joined exactly, unless all its members also are in the region
+   of a lesser pivot. A region over ``LEAF`` sets is divided anew: pivots among its
+   members, each set to its nearest (a Voronoi cell), and by the triangle
+   inequality copied as a guest to every cell it can have a partner in, d(y, p) <=
+   R(p) + r with R(p) the cell's radius. A cell joins its own sets recursively, and
+   its own with the guests whose home is a later cell, so that a pair is met once;
+   cells that stop shrinking compare all sets in blocks of bounded memory.
 
 No step drops a pair. Grams are 48-bit hashes; equality of sets and the value of
 J hold up to collisions of these (about 1e-9 for a pair of 500-gram documents).
@@ -47,6 +49,7 @@ from mergeloom.llm.tokens import Words, slices
 LEAF = 128
 EPS = 1e-9
 GRAM = np.uint64((1 << 48) - 1)
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 SETS = "doc_id long, n int, fp long, grams binary"
 
 
@@ -133,7 +136,9 @@ def near_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: float
     part = C.stored(edges.join(reps, "doc_id", "left_semi").distinct())
     alone = part.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1")
     part = part.join(alone, "pivot", "left_semi")
-    regions = found.dropDuplicates(["doc_id", "fp", "n"]).join(part, "doc_id").select(F.pmod(F.xxhash64("pivot"), F.lit(nb)).cast("int").alias("bucket"), "pivot", "doc_id", "n", "grams")
+    lists = part.groupBy("doc_id").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
+    placed = found.dropDuplicates(["doc_id", "fp", "n"]).join(lists, "doc_id").select("doc_id", "grams", "pivots", F.explode("pivots").alias("pivot"))
+    regions = placed.select(F.pmod(F.xxhash64("pivot"), F.lit(nb)).cast("int").alias("bucket"), "pivot", "doc_id", F.filter("pivots", lambda p: p < F.col("pivot")).alias("lesser"), "grams")
     joined = regions.groupBy("bucket").applyInArrow(lambda t: _join_regions(t, threshold), "doc_a long, doc_b long, jaccard double")
     return joined.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")).unionByName(copies)
 
@@ -205,28 +210,39 @@ def _join_regions(t: pa.Table, threshold: float) -> pa.Table:
     t = t.sort_by("pivot")
     pivot = t.column("pivot").to_numpy()
     ids = t.column("doc_id").to_numpy()
-    raw = t.column("grams").to_pylist()
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    raw, lesser = t.column("grams"), t.column("lesser")
+    out: list[Found] = []
     cut = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1], [True]]))
     for a, z in zip(cut[:-1], cut[1:]):
-        if z - a > 1:
-            out += _region(ids[a:z], [_grams(x) for x in raw[a:z]], threshold, 0)
+        if z - a > 1 and not _elsewhere(lesser.slice(a, z - a).to_pylist()):
+            out += _region(ids[a:z], [_grams(x) for x in raw.slice(a, z - a).to_pylist()], threshold, 0)
     if not out:
         return pa.table({"doc_a": pa.array([], pa.int64()), "doc_b": pa.array([], pa.int64()), "jaccard": pa.array([], pa.float64())})
     x, y, j = (np.concatenate(c) for c in zip(*out))
     return pa.table({"doc_a": np.minimum(x, y), "doc_b": np.maximum(x, y), "jaccard": j})
 
 
+def _elsewhere(lesser: list[list[int]]) -> bool:
+    """Whether all members of a region are in one and the same region of a lesser pivot."""
+    common = set(lesser[0])
+    for other in lesser[1:]:
+        if not common:
+            return False
+        common.intersection_update(other)
+    return bool(common)
+
+
 def _grams(raw: bytes) -> np.ndarray:
     wide = np.zeros((len(raw) // 6, 8), np.uint8)
     wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
     return wide.reshape(-1).view("<u8")
 
 
-def _region(ids: np.ndarray, sets: list[np.ndarray], t: float, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _region(ids: np.ndarray, sets: list[np.ndarray], t: float, depth: int) -> list[Found]:
+    """All pairs of a region's sets with J >= t."""
     m = len(ids)
     if m <= LEAF or depth > 20:
-        return _leaf(ids, sets, t)
+        return _blocks(ids, sets, np.arange(m), None, t)
     size = np.array([len(s) for s in sets])
     row, flat = np.repeat(np.arange(m), size), np.concatenate(sets)
     pick = np.unique(np.linspace(0, m - 1, min(16, 2 + m // LEAF)).astype(int))
@@ -235,58 +251,63 @@ def _region(ids: np.ndarray, sets: list[np.ndarray], t: float, depth: int) -> li
         at = np.minimum(np.searchsorted(sets[p], flat), len(sets[p]) - 1)
         both = np.bincount(row, weights=sets[p][at] == flat, minlength=m)
         d[k] = 1 - both / (size + size[p] - both)
+    del row, flat
     home = np.argmin(d, axis=0)
     out = []
     for k in range(len(pick)):
-        own = home == k
-        if not own.any():
+        own = np.flatnonzero(home == k)
+        if not len(own):
             continue
-        inside = own | (d[k] <= d[k][own].max() + (1 - t) + EPS)
-        own_i = np.flatnonzero(inside)
-        if len(own_i) == m:  # the pivots don't divide this cell: compare its own sets with all
-            out += _blocks(ids, sets, np.flatnonzero(own), t)
-        elif len(own_i) > 1:
-            out += _region(ids[own_i], [sets[i] for i in own_i], t, depth + 1)
+        guests = np.flatnonzero((home > k) & (d[k] <= d[k][own].max() + (1 - t) + EPS))
+        if len(own) == m:  # the pivots don't divide this region
+            return _blocks(ids, sets, own, None, t)
+        out += _region(ids[own], [sets[i] for i in own], t, depth + 1)
+        out += _blocks(ids, sets, own, guests, t)
     return out
 
 
-def _blocks(ids: np.ndarray, sets: list[np.ndarray], own: np.ndarray, t: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``own`` against all, in blocks of bounded size."""
-    out, everything = [], np.arange(len(ids))
+def _blocks(ids: np.ndarray, sets: list[np.ndarray], own: np.ndarray, guests: np.ndarray | None, t: float) -> list[Found]:
+    """``own`` against ``guests``, or against one another if there are none, a block at a time."""
+    out = []
     for a in range(0, len(own), LEAF):
         mine = own[a : a + LEAF]
-        for b in range(0, len(everything), LEAF):
-            both = np.union1d(mine, everything[b : b + LEAF])
-            out += _leaf(ids[both], [sets[i] for i in both], t)
+        if guests is None:
+            out += _leaf(ids, sets, mine, mine, t)
+        other = own[a + LEAF :] if guests is None else guests
+        for b in range(0, len(other), LEAF):
+            out += _leaf(ids, sets, mine, other[b : b + LEAF], t)
     return out
 
 
-def _leaf(ids: np.ndarray, sets: list[np.ndarray], t: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    m = len(ids)
-    size = np.array([len(s) for s in sets])
-    if m == 2:
-        both = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))]] * 2, float)
-    else:
-        flat, row = np.concatenate(sets), np.repeat(np.arange(m), size)
-        order = np.argsort(flat, kind="stable")
-        flat, row = flat[order], row[order]
-        new = np.concatenate([[True], flat[1:] != flat[:-1]])
-        many = np.diff(np.concatenate([np.flatnonzero(new), [len(flat)]]))
-        col, shared = np.cumsum(new) - 1, many > 1
-        both = np.zeros((m, m), np.float32)
-        keep = shared[col]
-        row, col = row[keep], (np.cumsum(shared) - 1)[col[keep]]
-        width = int(shared.sum())
-        for a in range(0, width, 8192):  # bounded columns at a time
-            i0, i1 = np.searchsorted(col, (a, a + 8192))
-            x = np.zeros((m, min(8192, width - a)), np.float32)
-            x[row[i0:i1], col[i0:i1] - a] = 1
-            both += x @ x.T
-    i, j = np.triu_indices(m, 1)
+def _leaf(ids: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, t: float) -> list[Found]:
+    """All sets of ``a`` against all of ``b`` (each pair once if they are the same)."""
+    same = a is b
+    if same and len(a) < 2:
+        return []
+    every = a if same else np.concatenate([a, b])
+    size = np.array([len(sets[i]) for i in every])
+    flat, row = np.concatenate([sets[i] for i in every]), np.repeat(np.arange(len(every)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    many = np.diff(np.concatenate([np.flatnonzero(new), [len(flat)]]))
+    shared = many > 1
+    keep = np.repeat(shared, many)
+    row, col = row[keep], np.repeat(np.cumsum(shared) - 1, many)[keep]
+    width, m = int(shared.sum()), len(a)
+    both = np.zeros((m, len(every) if same else len(b)), np.float32)
+    for c in range(0, width, 4096):  # bounded columns at a time
+        i0, i1 = np.searchsorted(col, (c, c + 4096))
+        x = np.zeros((len(every), min(4096, width - c)), np.float32)
+        x[row[i0:i1], col[i0:i1] - c] = 1
+        both += x[:m] @ (x if same else x[m:]).T
+    i, j = np.triu_indices(m, 1) if same else (x.ravel() for x in np.indices(both.shape))
     both = np.rint(both[i, j]).astype(np.float64)
+    j = j if same else j + m
     jac = both / (size[i] + size[j] - both)
-    ok = (jac >= t) & (ids[i] != ids[j])
-    return [(ids[i[ok]], ids[j[ok]], jac[ok])] if ok.any() else []
+    x, y = ids[every[i]], ids[every[j]]
+    ok = (jac >= t) & (x != y)
+    return [(x[ok], y[ok], jac[ok])] if ok.any() else []
 
 
 # --- groups -----------------------------------------------------------------

@@ -27,7 +27,7 @@ _UP1[0x80:0x9F] = True
 _UP1[0x97] = False
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 #: Text bytes worked on at once, and rows (a row index then fits 16 bits).
-SLICE_BYTES, SLICE_ROWS = 6 << 20, 60_000
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 60_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
