@@ -59,11 +59,11 @@ def mix(docs: DataFrame, schedule: dict[str, list[float]] | None = None, budget:
     order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
     keyed = docs.select(*names, F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("n_tokens"), F.coalesce("source", F.lit("")).alias("__source"), order.alias("__order"))
     keyed = keyed.withColumn("__bucket", F.substring("__order", 1, digits))
-    sums = C.stored(keyed.groupBy("__source", "__bucket").agg(F.sum("n_tokens").alias("tokens")))
-    supply = sums.groupBy("__source").agg(F.sum("tokens").alias("supply"))
+    sums = C.stored(keyed.groupBy("__source", "__bucket").agg(F.sum("n_tokens").alias("__tokens")))
+    supply = sums.groupBy("__source").agg(F.sum("__tokens").alias("__supply"))
     if schedule is None:
-        totals = supply.agg(F.sum("supply").alias("all"), F.count("*").alias("n"))
-        plan = supply.crossJoin(F.broadcast(totals)).select("__source", "supply", F.array(F.col("supply") / F.greatest("all", F.lit(1)), F.lit(1.0) / F.col("n")).alias("weights"))
+        totals = supply.agg(F.sum("__supply").alias("all"), F.count("*").alias("n"))
+        plan = supply.crossJoin(F.broadcast(totals)).select("__source", "__supply", F.array(F.col("__supply") / F.greatest("all", F.lit(1)), F.lit(1.0) / F.col("n")).alias("__weights"))
         knots = 2
     else:
         knots = len(next(iter(schedule.values())))
@@ -73,20 +73,20 @@ def mix(docs: DataFrame, schedule: dict[str, list[float]] | None = None, budget:
         if min(total) <= 0:
             raise ValueError("the weights at a knot are all 0")
         rows = [(s, [w[k] / total[k] for k in range(knots)]) for s, w in schedule.items()]
-        plan = supply.join(docs.sparkSession.createDataFrame(rows, "__source string, weights array<double>"), "__source")
+        plan = supply.join(docs.sparkSession.createDataFrame(rows, "__source string, __weights array<double>"), "__source")
     steps = [F.lit(0.0)]
     for k in range(1, knots):
-        steps.append(steps[-1] + (F.col("weights")[k - 1] + F.col("weights")[k]) / F.lit(2.0 * (knots - 1)))
-    plan = plan.withColumn("cumulative", F.array(*steps))
-    share = F.element_at("cumulative", F.lit(knots))
-    most = F.lit(float(budget)) if budget is not None else F.col("most")
-    plan = plan.crossJoin(F.broadcast(plan.agg(F.min(F.when(share > 0, F.col("supply") / share)).alias("most")))).withColumn("most", most)
-    before = F.sum("tokens").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = C.stored(sums.withColumn("offset", F.coalesce(before, F.lit(0))).join(plan, "__source").select("__source", "__bucket", "offset", "weights", "cumulative", "most"))
+        steps.append(steps[-1] + (F.col("__weights")[k - 1] + F.col("__weights")[k]) / F.lit(2.0 * (knots - 1)))
+    plan = plan.withColumn("__cumulative", F.array(*steps))
+    share = F.element_at("__cumulative", F.lit(knots))
+    most = F.lit(float(budget)) if budget is not None else F.col("__most")
+    plan = plan.crossJoin(F.broadcast(plan.agg(F.min(F.when(share > 0, F.col("__supply") / share)).alias("__most")))).withColumn("__most", most)
+    before = F.sum("__tokens").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = C.stored(sums.withColumn("__offset", F.coalesce(before, F.lit(0))).join(plan, "__source").select("__source", "__bucket", "__offset", "__weights", "__cumulative", "__most"))
     inside = Window.partitionBy("__source", "__bucket").orderBy("__order", "doc_id", "n_tokens", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("__c", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(C.small_side(offsets), ["__source", "__bucket"])
-    share_of = (F.col("__c") + F.col("offset")).cast("double") / F.greatest(F.col("most"), F.lit(1.0))
-    placed = placed.withColumn("position", position(share_of, F.col("weights"), F.col("cumulative"), knots)).where("position is not null")
+    share_of = (F.col("__c") + F.col("__offset")).cast("double") / F.greatest(F.col("__most"), F.lit(1.0))
+    placed = placed.withColumn("position", position(share_of, F.col("__weights"), F.col("__cumulative"), knots)).where("position is not null")
     placed = placed.select(*names, "n_tokens", "position")
     return placed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 

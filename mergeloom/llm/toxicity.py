@@ -160,8 +160,9 @@ def train(rows: list[Sample], fairness: float = FAIRNESS, l1: float = L1, least:
     twin_at, twin_f = np.concatenate([more_at, less_at]), np.concatenate([more, less])
     sign = np.concatenate([np.ones(len(more)), -np.ones(len(less))])
     n, m, t = len(rows), len(used), max(1, len(twins))
-    # rare features count as much as frequent ones: columns are brought to one norm
-    scale = np.sqrt(n / np.maximum(np.bincount(f, minlength=m), 1.0))
+    # rare features count as much as frequent ones: columns are brought to one curvature
+    bent = np.bincount(f, minlength=m) / n + 8 * fairness / t * np.bincount(twin_f, minlength=m)
+    scale = 1 / np.sqrt(np.maximum(bent, 1 / n))
 
     def curve(v: np.ndarray) -> np.ndarray:
         """A bound of the second derivative, times v; the last entry is the bias."""
