@@ -11,13 +11,16 @@ import math
 from collections import defaultdict
 from collections.abc import Iterable, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from mergeloom.functions import alphabets as A
 from mergeloom.plans import model as M
 
 #: Symbols: a character that is no token of its own is its code point, token i is IDS + i. So characters come first.
-IDS = 1 << 32
+IDS = 1 << 21
+#: What stands where a symbol was merged into the one before it.
+GONE = -1
 TIE_BREAKS = ("smallest_pair_id", "largest_content")
 
 
@@ -54,6 +57,86 @@ class _Greatest:
         return isinstance(other, _Greatest) and self.content == other.content
 
 
+def pair_key(left: int, right: int) -> int:
+    """A pair as one number; keys are ordered as pairs are."""
+    return left << 32 | right
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a stable order of the keys, where in it each distinct one begins)."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+
+
+class Chains:
+    """All words as one array of symbols with links, and the frequency and places of each pair.
+
+    A merge looks at the places of its pair alone; what it changes is added up by
+    pair in numpy, so its cost is that of its occurrences, not of the inventory.
+    """
+
+    def __init__(self, words: list[list[int]], weights: list[int]):
+        size = np.array([len(w) for w in words], np.int64)
+        n = int(size.sum())
+        self.symbol = np.fromiter((s for w in words for s in w), np.int64, n)
+        self.weight = np.repeat(np.array(weights, np.int64), size)
+        self.next, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        end = np.cumsum(size)[size > 0]
+        self.next[end - 1] = -1
+        self.before[np.concatenate([[0], end])[:-1]] = -1 if n else self.before[:0]
+        self.freq: dict[int, int] = {}
+        self.places: dict[int, list[np.ndarray]] = {}
+        left = np.flatnonzero(self.next >= 0)
+        self._note(self._keys(left), self.weight[left], left)
+
+    def _keys(self, left: np.ndarray) -> np.ndarray:
+        return self.symbol[left] << 32 | self.symbol[self.next[left]]
+
+    def _note(self, keys: np.ndarray, weight: np.ndarray, place: np.ndarray) -> list[int]:
+        """Adds weights by key, and places where they are not -1; the keys that grew."""
+        order, begin = _groups(keys)
+        if not len(begin):
+            return []
+        total = np.add.reduceat(weight[order], begin).tolist()
+        place, grew = place[order], []
+        for k, more, a, z in zip(keys[order][begin].tolist(), total, begin.tolist(), [*begin[1:].tolist(), len(keys)]):
+            now = self.freq.get(k, 0) + more
+            if now:
+                self.freq[k] = now
+            else:
+                self.freq.pop(k, None)
+            at = place[a:z]
+            at = at[at >= 0] if at[0] < 0 or at[-1] < 0 else at
+            if len(at):
+                self.places.setdefault(k, []).append(at)
+            if more > 0:
+                grew.append(k)
+        return grew
+
+    def merge(self, left: int, right: int, target: int) -> list[int]:
+        """Puts ``target`` wherever the pair is, from left to right; the pairs that became more frequent."""
+        p = np.unique(np.concatenate(self.places.pop(pair_key(left, right), [np.zeros(0, np.int64)])))
+        p = p[(self.symbol[p] == left) & (self.next[p] >= 0)]
+        p = p[self.symbol[self.next[p]] == right]
+        if left == right and len(p):  # of places that overlap, every second one
+            first = np.concatenate([[True], p[1:] != self.next[p[:-1]]])
+            run = np.flatnonzero(first)
+            p = p[(np.arange(len(p)) - run[np.cumsum(first) - 1]) % 2 == 0]
+        q = self.next[p]
+        before, after = self.before[p], self.next[q]
+        old = np.unique(np.concatenate([before[before >= 0], p, q[after >= 0]]))
+        lost, lost_weight = self._keys(old), -self.weight[old]
+        self.symbol[p], self.symbol[q] = target, GONE
+        self.next[p] = after
+        self.before[after[after >= 0]] = p[after >= 0]
+        before = self.before[p]
+        new = np.unique(np.concatenate([before[before >= 0], p[after >= 0]]))
+        # what is lost comes first, so that a key's places are at the end of its group
+        keys = np.concatenate([lost, self._keys(new)])
+        return self._note(keys, np.concatenate([lost_weight, self.weight[new]]), np.concatenate([np.full(len(old), -1), new]))
+
+
 class BpeTrainer:
     """Special tokens have the first ids, then come the 256 bytes; then whatever is most frequent.
 
@@ -83,7 +166,7 @@ class BpeTrainer:
         self.materialized: dict[int, int] = {}
         self._contents: dict[int, tuple] = {}
         self._inventory: list[tuple[str, int]] = []
-        self._words: list[list[int]] | None = None
+        self._chains: Chains | None = None
         self._frozen: frozenset[int] = frozenset()
         self._final = self._poisoned = False
         self._last_event = 0
@@ -106,18 +189,18 @@ class BpeTrainer:
     def hot_pair_window_stats(self) -> dict[str, int] | None:
         if self.hot_pair_window_size is None:
             return None
-        return {"window_size": self.hot_pair_window_size, "resident_pairs": len(getattr(self, "_freq", {})), "hydration_scans": 1, "batch_prunes": 0}
+        return {"window_size": self.hot_pair_window_size, "resident_pairs": len(self._chains.freq) if self._chains else 0, "hydration_scans": 1, "batch_prunes": 0}
 
     def memory_usage(self) -> dict[str, int]:
-        words = self._words or []
-        return {"words": len(words), "symbols": sum(map(len, words)), "pairs": len(getattr(self, "_freq", {}))}
+        c = self._chains
+        return {"words": len(self._inventory), "symbols": len(c.symbol) if c else 0, "pairs": len(c.freq) if c else 0}
 
     def add_words(self, words: Mapping[str, int] | Iterable[tuple[str, int]]) -> None:
         """Replaces the inventory; words that come twice stay two rows; special tokens are skipped."""
         rows = words.items() if isinstance(words, Mapping) else words
         specials = set(self.specials)
         self._inventory = [(w, int(f)) for w, f in rows if w not in specials]
-        self._words = None
+        self._chains = None
 
     def add_inventory(self, words: DataFrame) -> None:
         """The inventory of a (word, freq) table, brought to the driver as Arrow."""
@@ -147,92 +230,79 @@ class BpeTrainer:
     def _bytes(self, s: int) -> bytes:
         return chr(s).encode() if s < IDS else self.tokens[s - IDS]
 
-    def _candidate(self, pair: tuple[int, int], freq: int) -> tuple:
-        """An entry of the heap; a character is the pair (-1, character)."""
-        kind = 0 if pair[0] < 0 else 1
+    def _candidate(self, kind: int, key: int, freq: int) -> tuple:
+        """An entry of the heap; kind 0 is a character, which is its own key, kind 1 a pair."""
         if self.tie_break == TIE_BREAKS[0]:
-            return (-freq, kind, pair)
-        content = self._content(pair[1]) if kind == 0 else (self._content(pair[0]), self._content(pair[1]))
-        return (-freq, kind, _Greatest((content,) if kind == 0 else content), pair)
+            return (-freq, kind, key)
+        content = (self._content(key),) if kind == 0 else (self._content(key >> 32), self._content(key & 0xFFFFFFFF))
+        return (-freq, kind, _Greatest(content), key)
 
-    def _usable(self, pair: tuple[int, int]) -> bool:
-        return pair[0] not in self._frozen and pair[1] not in self._frozen
+    def _usable(self, key: int) -> bool:
+        return not self._frozen or (key >> 32) not in self._frozen and (key & 0xFFFFFFFF) not in self._frozen
 
     def init_training(self) -> None:
         """Counts pairs and characters of the inventory as it is now; nothing to do for a finished trainer."""
         if self._final or self._poisoned:
             return
-        if self._words is None:
-            self._words, self._weights = [self._symbols(w) for w, _ in self._inventory], [f for _, f in self._inventory]
-            self._freq: dict[tuple[int, int], int] = defaultdict(int)
-            self._where: dict[tuple[int, int], set[int]] = defaultdict(set)
+        if self._chains is None:
+            words, weights = [self._symbols(w) for w, _ in self._inventory], [f for _, f in self._inventory]
             self._chars: dict[int, int] = defaultdict(int)
-            ranked = {(a, b): t for a, b, t, _ in self.merges}
-            for k, (word, f) in enumerate(zip(self._words, self._weights)):
-                for s in word:
-                    if s < IDS:
-                        self._chars[s] += f
-                for pair, t in ranked.items() if ranked else ():
-                    if pair[0] in word and pair[1] in word:
-                        word = rewrite(word, pair, IDS + t)[0]
-                self._words[k] = word
-                for p in zip(word, word[1:]):
-                    self._freq[p] += f
-                    self._where[p].add(k)
-        heap = [self._candidate(p, f) for p, f in self._freq.items() if f > 0 and self._usable(p)]
-        heap += [self._candidate((-1, c), f) for c, f in self._chars.items() if f > 0 and c not in self.materialized and c not in self._frozen]
+            for k, (word, f) in enumerate(zip(words, weights)):
+                if self.unit == "unicode":
+                    for s in word:
+                        if s < IDS:
+                            self._chars[s] += f
+                for a, b, t, _ in self.merges:  # an inventory that came after merges were made
+                    if a in word and b in word:
+                        word = rewrite(word, (a, b), IDS + t)[0]
+                words[k] = word
+            self._chains = Chains(words, weights)
+        heap = [self._candidate(1, k, f) for k, f in self._chains.freq.items() if f > 0 and self._usable(k)]
+        heap += [self._candidate(0, c, f) for c, f in self._chars.items() if f > 0 and c not in self.materialized and c not in self._frozen]
         heapq.heapify(heap)
         self._heap = heap
 
-    def _best(self) -> tuple[tuple[int, int], int] | None:
+    def _best(self) -> tuple[int, int, int] | None:
+        """(kind, key, freq) of the next candidate. Entries of pairs that became rarer are put right as they come up."""
         while self._heap:
             top = self._heap[0]
-            pair, freq = top[-1], -top[0]
-            if pair[0] < 0:
-                if pair[1] not in self.materialized and pair[1] not in self._frozen:
-                    return pair, freq
-            elif self._freq.get(pair, 0) == freq and self._usable(pair):
-                return pair, freq
+            kind, key, freq = top[1], top[-1], -top[0]
+            if kind == 0:
+                if key not in self.materialized and key not in self._frozen:
+                    return kind, key, freq
+            elif self._usable(key):
+                now = self._chains.freq.get(key, 0)
+                if now == freq:
+                    return kind, key, freq
+                if 0 < now < freq:
+                    heapq.heapreplace(self._heap, self._candidate(1, key, now))
+                    continue
             heapq.heappop(self._heap)
         return None
 
-    def _apply(self, pair: tuple[int, int], freq: int) -> None:
+    def _apply(self, kind: int, key: int, freq: int) -> None:
         heapq.heappop(self._heap)
         new = len(self.tokens)
         self._last_event = freq
-        if pair[0] < 0:
-            self.tokens.append(chr(pair[1]).encode())
-            self.materialized[pair[1]] = new
+        if kind == 0:
+            self.tokens.append(chr(key).encode())
+            self.materialized[key] = new
             return
-        self.tokens.append(self._bytes(pair[0]) + self._bytes(pair[1]))
-        self.merges.append((*pair, new, freq))
-        touched = set()
-        for k in self._where.pop(pair):
-            word, change = rewrite(self._words[k], pair, IDS + new)
-            if len(word) == len(self._words[k]):
-                continue
-            self._words[k] = word
-            for p, n in change.items():
-                self._freq[p] += n * self._weights[k]
-                touched.add(p)
-                if n > 0:
-                    self._where[p].add(k)
-        for p in touched:
-            f = self._freq[p]
-            if f > 0:
-                if p != pair and self._usable(p):
-                    heapq.heappush(self._heap, self._candidate(p, f))
-            elif f == 0:
-                del self._freq[p]
-        if self._freq.get(pair, 0) > 0:
-            heapq.heappush(self._heap, self._candidate(pair, self._freq[pair]))
+        left, right = key >> 32, key & 0xFFFFFFFF
+        self.tokens.append(self._bytes(left) + self._bytes(right))
+        self.merges.append((left, right, new, freq))
+        known = self._chains.freq
+        for k in self._chains.merge(left, right, IDS + new):
+            f = known.get(k, 0)
+            if f > 0 and self._usable(k):
+                heapq.heappush(self._heap, self._candidate(1, k, f))
 
     # --- training
 
     def step(self) -> int:
         """One more token whatever its frequency; the new size of the vocabulary."""
         self._check_open()
-        if self._words is None or not hasattr(self, "_heap"):
+        if self._chains is None:
             self.init_training()
         best = self._best()
         if best is None:
@@ -256,7 +326,7 @@ class BpeTrainer:
             best = self._best()
             if best is None:
                 raise M.TrainStepError(f"no candidate is left at {self.vocab_size} tokens")
-            if self.cutoff is not None and best[0][0] >= 0 and best[1] < self.cutoff:
+            if self.cutoff is not None and best[0] == 1 and best[2] < self.cutoff:
                 return
             self._apply(*best)
 
