@@ -65,21 +65,15 @@ def position_blobs(nb: int, key: np.ndarray, row: np.ndarray, pos: np.ndarray, i
     return out
 
 
-def shared_positions(blobs: list[bytes], nb: int, across: bool) -> pa.Table:
-    """Keys of a bucket -> positions whose key is found elsewhere, packed by the document's bucket.
-
-    ``across``: elsewhere is in another document; else at any other position.
-    """
+def shared_positions(blobs: list[bytes], nb: int) -> pa.Table:
+    """Keys of a bucket -> positions whose key is found in another document, packed by the document's bucket."""
     ids, keys, local, pos = C.gather(blobs, "<i8", "<u8", "<u2", "<u4")
     base = np.cumsum([0] + [len(x) for x in ids])
     row = np.concatenate([x.astype(np.int64) + b for x, b in zip(local, base)])
     ids, key, pos = np.concatenate(ids), np.concatenate(keys), np.concatenate(pos)
     _, rank = np.unique(ids, return_inverse=True)
     order = np.argsort(key, kind="stable")
-    who = rank[row[order]].astype(np.uint64)
-    if not across:
-        who = (who << np.uint64(32)) | pos[order]
-    key = key[order]
+    who, key = rank[row[order]], key[order]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     many = np.diff(np.concatenate([begin, [len(key)]]))
     hit = np.repeat(np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin), many)
@@ -162,7 +156,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> D
                 row = words.doc[a]
                 yield C.blob_batch(position_blobs(nb, gram[a], row, a - words.first[row], b.column(0).to_numpy()))
 
-    found = C.exchange(texts.mapInArrow(seeds, C.BLOB), lambda x: shared_positions(x, nb, True), C.BLOB)
+    found = C.exchange(texts.mapInArrow(seeds, C.BLOB), lambda x: shared_positions(x, nb), C.BLOB)
     hits = C.stored(C.exchange(found, replies, "doc_id long, hits binary"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

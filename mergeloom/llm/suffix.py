@@ -1,25 +1,27 @@
 """Operator 5: repeats by blockwise suffix sorting with a difference-cover sample.
 
-Suffixes are those of documents, word by word, in the order of word codes.
-Dedup asks which suffixes share their first ``length`` words with another one,
-so suffixes are sorted to that depth.
+Suffixes are those of documents, word by word. Dedup asks which suffixes share
+their first ``length`` words with another one, so they are sorted to that depth.
 
 1. Cover sample. A difference cover D of period v has, for any two positions i
    and j, a shift s < v with i+s and j+s both in the sample (position mod v in
    D). The sample (19 % of positions for v = 31) is sorted in buckets, each by
-   itself in memory, on its first h = length - v + 1 words. A sample suffix that
-   ties with no other is unique at depth h; the documents learn which tie.
+   itself in memory, on its first h = length - v + 1 words, and ranked; suffixes
+   that tie have one rank. The ranks of those that tie with any other go back to
+   their documents.
 2. Suffix buckets. If suffixes i and j agree on ``length`` words, the sample
-   suffixes i+s and j+s agree on h words at least; so a suffix with no tying
+   suffixes i+s and j+s agree on h words at least; so a suffix with no ranked
    sample suffix among its first v positions is settled by the sample and never
-   leaves its document. The others are dealt to buckets by the code of their
-   words; one bucket at a time is sorted, so memory is that of a bucket.
-3. Runs of tied suffixes are the repeated spans, as in ``substring``.
-
-The sample decides long ties by presence at depth h and not by a total order:
-that needs a recursive sort of all sample suffixes to full depth, which dedup at
-a threshold does not use. Buckets are ranges of the code's hash, and equal-length
-codes stand for the words themselves (64 bits, collisions aside).
+   leaves its document. The others are dealt to buckets by the code of their first
+   and last v words, with the ranks at their |D| sample positions; one bucket at a
+   time is sorted, so memory is that of a bucket.
+3. Long ties. Suffixes with equal codes are told apart by the ranks at their common
+   shift s: words 0 to v, s to s + h and length - v to length cover all of the
+   ``length`` words, so equal ranks mean equal suffixes, however long the tie.
+4. Runs of suffixes found again are the repeated spans, as in ``substring``.
+
+Order within a bucket is that of 64-bit codes of words, which stand for the
+words (collisions aside), not of the alphabet; ranks are bucket and place in it.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from mergeloom.llm import common as C
 from mergeloom.llm import substring as S
@@ -48,6 +51,73 @@ def cover(v: int) -> np.ndarray:
     return flag
 
 
+def ranked_sample(blobs: list[bytes], nb: int) -> pa.Table:
+    """Sample suffixes of a bucket -> those that tie with another, with their rank, packed by the document's bucket."""
+    ids, keys, local, pos = C.gather(blobs, "<i8", "<u8", "<u2", "<u4")
+    base = np.cumsum([0] + [len(x) for x in ids])
+    row = np.concatenate([x.astype(np.int64) + b for x, b in zip(local, base)])
+    ids, key, pos = np.concatenate(ids), np.concatenate(keys), np.concatenate(pos)
+    _, doc = np.unique(ids, return_inverse=True)
+    order = np.argsort(key, kind="stable")
+    key, row, pos = key[order], row[order], pos[order]
+    place = (doc[row].astype(np.uint64) << np.uint64(32)) | pos
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    many = np.diff(np.concatenate([begin, [len(key)]]))
+    tie = np.minimum.reduceat(place, begin) != np.maximum.reduceat(place, begin)
+    rank, hit = np.repeat(np.cumsum(tie), many), np.repeat(tie, many)
+    bucket = np.uint64(C.bucket_of(key[:1], nb)[0])
+    ids, key, pos, rank = ids[row[hit]], key[hit], pos[hit], (bucket << np.uint64(32)) | rank[hit].astype(np.uint64)
+    return pa.Table.from_batches([C.blob_batch([(b, C.pack(ids[i].astype("<i8"), pos[i], key[i], rank[i])) for b, i in C.split_by(C.bucket_of(ids.view(np.uint64), nb))])])
+
+
+def by_document(blobs: list[bytes]) -> pa.Table:
+    """Ranks of a bucket of documents -> one row a document: positions, their keys and ranks, the highest place."""
+    ids, pos, key, rank = (np.concatenate(x) for x in C.gather(blobs, "<i8", "<u4", "<u8", "<u8"))
+    order = np.lexsort((key, pos, ids))
+    ids, pos, key, rank = ids[order], pos[order], key[order], rank[order]
+    cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    rows = [[part.tobytes() for part in np.split(x, cut[1:])] for x in (pos, key, rank)]
+    top = np.maximum.reduceat(rank & np.uint64(0xFFFFFFFF), cut).astype(np.int64)
+    return pa.table({"doc_id": ids[cut]} | {n: pa.array(x, pa.binary()) for n, x in zip(("pos", "key", "rank"), rows)} | {"top": top})
+
+
+def _ranks(words: Words, key: np.ndarray, hits: list[tuple[bytes, bytes, bytes]], bits: int) -> np.ndarray:
+    """The rank of the sample suffix at each word of a slice, 0 where it has none.
+
+    A rank is taken only where the key is the row's own: rows that share a doc_id share their hits.
+    """
+    out = np.zeros(len(words.hash) + 1, np.uint64)
+    for r, raw in enumerate(hits):
+        pos, k, rank = (np.frombuffer(x, d) for x, d in zip(raw, ("<u4", "<u8", "<u8")))
+        at = words.first[r] + pos.astype(np.int64)
+        own = at < min(words.first[r + 1], len(key))
+        own[own] = key[at[own]] == k[own]
+        out[at[own]] = ((rank[own] >> np.uint64(32)) << np.uint64(bits)) | (rank[own] & np.uint64(0xFFFFFFFF))
+    return out
+
+
+def equal_suffixes(code: np.ndarray, pos: np.ndarray, ranks: np.ndarray, period: int) -> np.ndarray:
+    """A class for each suffix of a bucket; suffixes are in one class if codes and ranks at the common shift are equal."""
+    members = COVERS[period]
+    slot = np.zeros((2, period), np.int64)
+    for i, x in enumerate(members):
+        for j, y in enumerate(members):
+            slot[:, (x - y) % period] = i, j
+    order = np.argsort(code, kind="stable")
+    group = np.cumsum(np.concatenate([[True], code[order][1:] != code[order][:-1]]))
+    out = np.full(len(code), -1)
+    left = order
+    while len(left):
+        first = np.concatenate([[True], group[1:] != group[:-1]])
+        head = left[first][np.cumsum(first) - 1]
+        shift = (pos[left].astype(np.int64) - pos[head]) % period
+        own, other = ranks[left, slot[0, shift]], ranks[head, slot[1, shift]]
+        same = (left == head) | ((own == other) & (own > 0))
+        out[left[same]] = head[same]
+        left, group = left[~same], group[~same]
+    return out
+
+
 def suffix_repeats(docs: DataFrame, length: int = S.LENGTH, period: int = 31) -> DataFrame:
     """(doc_id, start_word, n_words, is_first): maximal runs of words in which every
     ``length`` words also occur at another position of any document, this one included.
@@ -59,7 +129,7 @@ def suffix_repeats(docs: DataFrame, length: int = S.LENGTH, period: int = 31) ->
     if not 0 < period < length:
         raise ValueError("0 < period < length must hold")
     in_cover = cover(period)
-    h = length - period + 1
+    h, members = length - period + 1, np.array(COVERS[period])
     C.bounded_batches(docs.sparkSession)
     texts, nb = S.texts_of(docs), C.bucket_count(docs)
 
@@ -74,8 +144,10 @@ def suffix_repeats(docs: DataFrame, length: int = S.LENGTH, period: int = 31) ->
             if take.any():
                 yield C.blob_batch(S.position_blobs(nb, key[take], row[take], pos[take], b.column(0).to_numpy()))
 
-    ties = C.exchange(texts.mapInArrow(sample, C.BLOB), lambda x: S.shared_positions(x, nb, False), C.BLOB)
-    hits = C.stored(C.exchange(ties, S.replies, "doc_id long, hits binary"))
+    ties = C.exchange(texts.mapInArrow(sample, C.BLOB), lambda x: ranked_sample(x, nb), C.BLOB)
+    hits = C.stored(C.exchange(ties, by_document, "doc_id long, pos binary, key binary, rank binary, top long"))
+    bits = int(hits.agg(F.max("top")).first()[0] or 1).bit_length()
+    width = "<u4" if bits + nb.bit_length() <= 32 else "<u8"
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -83,26 +155,36 @@ def suffix_repeats(docs: DataFrame, length: int = S.LENGTH, period: int = 31) ->
             n = len(words.hash)
             if n < length:
                 continue
-            tied = np.concatenate([[0], np.cumsum(S.flagged(words, b.column(2).to_pylist()))])
+            rank = _ranks(words, window_hash(words.hash, h), list(zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))), bits)
+            ahead = np.concatenate([[0], np.cumsum(rank > 0)])
             at = np.flatnonzero(words.doc[: n - length + 1] == words.doc[length - 1 :])
-            at = at[tied[at + period] > tied[at]]
-            if len(at):
-                row = words.doc[at]
-                code = window_hash(words.hash, length)[at]
-                yield C.blob_batch(S.position_blobs(nb, code, row, at - words.first[row], b.column(0).to_numpy()))
+            at = at[ahead[at + period] > ahead[at]]
+            if not len(at):
+                continue
+            row = words.doc[at]
+            pos = at - words.first[row]
+            ranks = np.stack([rank[at + (d - pos) % period] for d in members], axis=1).astype(width)
+            ends = window_hash(words.hash, period)
+            code = C.mix(ends[at] * np.uint64(0x9E3779B97F4A7C15) + ends[at + length - period])
+            ids, rows = b.column(0).to_numpy(), []
+            for bucket, i in C.split_by(C.bucket_of(code, nb)):
+                used, local = np.unique(row[i], return_inverse=True)
+                rows.append((bucket, C.pack(ids[used].astype("<i8"), code[i], local.astype("<u2"), pos[i].astype("<u4"), ranks[i].reshape(-1))))
+            yield C.blob_batch(rows)
 
     def sort_bucket(blobs: list[bytes]) -> pa.Table:
-        ids, keys, local, pos = C.gather(blobs, "<i8", "<u8", "<u2", "<u4")
+        ids, codes, local, pos, ranks = C.gather(blobs, "<i8", "<u8", "<u2", "<u4", width)
         base = np.cumsum([0] + [len(x) for x in ids])
         row = np.concatenate([x.astype(np.int64) + b for x, b in zip(local, base)])
-        ids, key, pos = np.concatenate(ids), np.concatenate(keys), np.concatenate(pos)
-        _, rank = np.unique(ids, return_inverse=True)
-        hit, first = S.equal_stretches(key, rank[row], pos, False)
+        ids, code, pos = np.concatenate(ids), np.concatenate(codes), np.concatenate(pos)
+        ranks = np.concatenate(ranks).reshape(-1, len(members))
+        _, who = np.unique(ids, return_inverse=True)
+        hit, first = S.equal_stretches(equal_suffixes(code, pos, ranks, period), who[row], pos, False)
         ids, pos, first = ids[row[hit]], pos[hit], first[hit]
         rows = []
         for b, i in C.split_by(C.bucket_of(ids.view(np.uint64), nb)):
             rows.append((b, C.pack(ids[i], pos[i], first[i].astype("u1"))))
         return pa.Table.from_batches([C.blob_batch(rows)])
 
-    held = texts.join(C.small_side(hits), "doc_id").mapInArrow(suffixes, C.BLOB)
+    held = texts.join(C.small_side(hits.drop("top")), "doc_id").select("doc_id", "text", "pos", "key", "rank").mapInArrow(suffixes, C.BLOB)
     return C.exchange(C.exchange(held, sort_bucket, C.BLOB), lambda x: S.chain(x, length), S.SPANS)
