@@ -19,7 +19,7 @@ from mergeloom.sources import texts
 from mergeloom.streaming import counts as streams
 
 SPECIALS = ["The ", "And ", " | "]
-STEPS, MANY_STEPS, CUTOFF, TOP, MIN_FREQ, SCALED = 12, 32, 3000, 50, 16, 1_000_000
+STEPS, MANY_STEPS, CUTOFF, TOP, MIN_FREQ, SCALED = 12, 32, 20_000, 50, 16, 1_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -267,7 +267,7 @@ def train_byte_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with recursive {_training(STEPS)},
-m as (select distinct step, l[2:6]::int as l, r[2:6]::int as r from t where step > 0),
+m as materialized (select distinct step, l[2:6]::int as l, r[2:6]::int as r from t where step > 0),
 v(n, tokens) as (select 0, list_transform(range(256), lambda i: right('0' || to_hex(i), 2))
   union all select n + 1, list_append(tokens, tokens[l + 1] || tokens[r + 1]) from v join m on m.step = n + 1)
 select i::int as id, lower(tokens[i + 1]) as token from (select tokens, unnest(range(len(tokens))) as i from v where n = {STEPS})""")
