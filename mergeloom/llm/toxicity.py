@@ -120,9 +120,11 @@ class Classifier:
 def _telling(rows: list[Sample], y: np.ndarray, least: float) -> np.ndarray:
     """Features whose presence depends on the label (G test over ``least``), and all that a twin changes."""
     size = 1 << BITS
-    f = np.concatenate([r.features for r in rows])
-    bad = np.repeat(y, [len(r.features) for r in rows])
-    n, k = np.bincount(f, minlength=size).astype(float), np.bincount(f, weights=bad, minlength=size)
+    n, k = np.zeros(size), np.zeros(size)
+    for a in range(0, len(rows), 1000):  # few at a time: all features together would fill the driver's memory
+        f = np.concatenate([r.features for r in rows[a : a + 1000]])
+        n += np.bincount(f, minlength=size)
+        k += np.bincount(f, weights=np.repeat(y[a : a + 1000], [len(r.features) for r in rows[a : a + 1000]]), minlength=size)
     total, toxic = float(len(rows)), float(y.sum())
 
     def part(seen: np.ndarray, hoped: np.ndarray) -> np.ndarray:
@@ -149,9 +151,9 @@ def train(rows: list[Sample], fairness: float = FAIRNESS, l1: float = L1, least:
     number[used] = np.arange(len(used))
 
     def pick(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        f = number[np.concatenate(lists)] if lists else np.zeros(0, np.int64)
-        return at[f >= 0], f[f >= 0]
+        found = [number[x] for x in lists]
+        found = [x[x >= 0] for x in found]
+        return np.repeat(np.arange(len(lists)), [len(x) for x in found]), np.concatenate([np.zeros(0, np.int64), *found])
 
     at, f = pick([s.features for s in rows])
     twins = [t for s in rows for t in s.twins]
@@ -215,8 +217,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identities: Se
     got = texts.join(C.small_side(taken), "__id").select("text", "__toxic").mapInArrow(measure, "toxic int, features binary, twins array<binary>").toArrow()
     rows = []
     for y, f, t in sorted(zip(*(got.column(c).to_pylist() for c in ("toxic", "features", "twins"))), key=lambda r: (r[1], r[0])):
-        t = [np.frombuffer(x, "<u4").astype(np.int64) for x in t]
-        rows.append(Sample(y, np.frombuffer(f, "<u4").astype(np.int64), list(zip(t[::2], t[1::2]))))
+        t = [np.frombuffer(x, "<u4") for x in t]
+        rows.append(Sample(y, np.frombuffer(f, "<u4"), list(zip(t[::2], t[1::2]))))
+    del got
     return train(rows, fairness, l1)
 
 
