@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 os.environ.setdefault("PYTHONPATH", sys.path[0])
 
