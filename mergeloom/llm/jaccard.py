@@ -137,8 +137,13 @@ def near_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: float
     alone = part.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1")
     part = part.join(alone, "pivot", "left_semi")
     lists = part.groupBy("doc_id").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
-    placed = found.dropDuplicates(["doc_id", "fp", "n"]).join(lists, "doc_id").select("doc_id", "grams", "pivots", F.explode("pivots").alias("pivot"))
-    regions = placed.select(F.pmod(F.xxhash64("pivot"), F.lit(nb)).cast("int").alias("bucket"), "pivot", "doc_id", F.filter("pivots", lambda p: p < F.col("pivot")).alias("lesser"), "grams")
+    member = C.stored(lists.select("doc_id", "pivots", F.explode("pivots").alias("pivot")))
+    # a region is met elsewhere if all its members also are in the region of one lesser pivot
+    size = member.groupBy("pivot").agg(F.count("*").alias("members"))
+    lesser = member.select("pivot", F.explode(F.filter("pivots", lambda p: p < F.col("pivot"))).alias("q")).groupBy("pivot", "q").agg(F.count("*").alias("n"))
+    elsewhere = C.stored(lesser.join(size, "pivot").where("n = members").select("pivot").distinct())
+    place = member.select("doc_id", "pivot").join(C.small_side(elsewhere), "pivot", "left_anti")
+    regions = found.dropDuplicates(["doc_id", "fp", "n"]).join(place, "doc_id").select(F.pmod(F.xxhash64("pivot"), F.lit(nb)).cast("int").alias("bucket"), "pivot", "doc_id", "grams")
     joined = regions.groupBy("bucket").applyInArrow(lambda t: _join_regions(t, threshold), "doc_a long, doc_b long, jaccard double")
     return joined.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")).unionByName(copies)
 
@@ -210,11 +215,11 @@ def _join_regions(t: pa.Table, threshold: float) -> pa.Table:
     t = t.sort_by("pivot")
     pivot = t.column("pivot").to_numpy()
     ids = t.column("doc_id").to_numpy()
-    raw, lesser = t.column("grams"), t.column("lesser")
+    raw = t.column("grams")
     out: list[Found] = []
     cut = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1], [True]]))
     for a, z in zip(cut[:-1], cut[1:]):
-        if z - a > 1 and not _elsewhere(lesser.slice(a, z - a).to_pylist()):
+        if z - a > 1:
             out += _region(ids[a:z], [_grams(x) for x in raw.slice(a, z - a).to_pylist()], threshold, 0)
     if not out:
         return pa.table({"doc_a": pa.array([], pa.int64()), "doc_b": pa.array([], pa.int64()), "jaccard": pa.array([], pa.float64())})
@@ -222,16 +227,6 @@ def _join_regions(t: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"doc_a": np.minimum(x, y), "doc_b": np.maximum(x, y), "jaccard": j})
 
 
-def _elsewhere(lesser: list[list[int]]) -> bool:
-    """Whether all members of a region are in one and the same region of a lesser pivot."""
-    common = set(lesser[0])
-    for other in lesser[1:]:
-        if not common:
-            return False
-        common.intersection_update(other)
-    return bool(common)
-
-
 def _grams(raw: bytes) -> np.ndarray:
     wide = np.zeros((len(raw) // 6, 8), np.uint8)
     wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
