@@ -5,8 +5,14 @@ spaced knots, linear between them; at every t the weights of all sources sum to
 The tokens asked of a source up to t are its weight integrated from 0 to t, times
 the budget of all tokens. A document that comes after c tokens of its source (in an
 order by hash) is trained on when c tokens have been asked for: its position is
-the inverse of that integral, a root of a quadratic. Documents past the last token
-asked for are left out. The rest are range-sorted by position.
+the inverse of that integral, a root of a quadratic. All are range-sorted by position.
+
+The budget is all tokens there are, and no document is left out. A source with fewer
+tokens than are asked of it runs short; from then on its weight passes to the sources
+that have more than is asked of them, to each as much as it has left over. So the
+documents of a source past the last token asked for are spread over what the short
+ones leave open, and t is the share of all tokens trained on. Only with a budget that
+the caller states are documents past it left out.
 
 Running sums of a source would put all of a hot source into one task. They are
 taken in two steps: within (source, leading digits of the hash), and over the sums
@@ -17,12 +23,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergeloom.llm import common as C
 
 BUCKET_DOCS = 20_000
+#: The budget that exhausts no source, and so leaves out most documents if one source is small.
+LEAST = "least"
+#: Steps of time between which what short sources leave open is taken as even.
+STEPS = 1000
 #: Words in a text: runs of anything but ASCII white space.
 TOKEN = "[^\\x09-\\x0d ]+"
 
@@ -41,13 +52,39 @@ def position(c: Column, weights: Column, cumulative: Column, knots: int) -> Colu
     return F.when(c < F.element_at(cumulative, F.lit(knots)), F.least(t, F.lit(1.0)))
 
 
-def mix(docs: DataFrame, schedule: dict[str, list[float]] | None = None, budget: float | None = None, seed: int = 0) -> DataFrame:
+def left_open(plan: DataFrame, knots: int) -> list[float]:
+    """Times by which 0, 1/STEPS, ... 1 of the tokens that short sources leave open have been asked for.
+
+    ``plan``: weights, supply and share of each source, supplies as shares of the
+    budget. Sources are added up by the step in which they run short.
+    """
+    ends = F.ceil(F.coalesce(position(F.col("__have"), F.col("__weights"), F.col("__cumulative"), knots), F.lit(1.0)) * STEPS).cast("int")
+    sums = [F.sum(F.col("__weights")[k]).alias(f"w{k}") for k in range(knots)]
+    short = plan.where("__have < __share").groupBy(ends.alias("step")).agg(F.sum("__have").alias("have"), *sums).collect()
+    weights, have = np.zeros((STEPS + 1, knots)), np.zeros(STEPS + 1)
+    for r in short:
+        weights[r.step], have[r.step] = [r[f"w{k}"] for k in range(knots)], r.have
+    grid, asked = np.linspace(0, 1, STEPS + 1), np.zeros((STEPS + 1, knots))
+    for k in range(knots - 1):
+        u = np.clip(grid * (knots - 1) - k, 0, 1)
+        asked[:, k] += (u - u * u / 2) / (knots - 1)
+        asked[:, k + 1] += u * u / 2 / (knots - 1)
+    gap = np.maximum.accumulate(np.maximum((weights.cumsum(axis=0) * asked).sum(axis=1) - have.cumsum(), 0))
+    if gap[-1] <= 0:
+        return [1.0] * (STEPS + 1)
+    first = np.flatnonzero(gap <= 0).max(initial=0)
+    return np.interp(grid, gap[first:] / gap[-1], grid[first:]).tolist()
+
+
+def mix(docs: DataFrame, schedule: dict[str, list[float]] | None = None, budget: float | str | None = None, seed: int = 0) -> DataFrame:
     """Columns of ``docs`` with ``n_tokens`` and ``position``, sorted by position.
 
     ``schedule``: weights of each source at the knots (as many for each, two or
-    more), brought to sum 1 at each knot; a source it does not name has weight 0. By
-    default each source goes from its share of all tokens to an equal share.
-    ``budget``: tokens in all; by default the most that exhausts no source.
+    more), brought to sum 1 at each knot; a source it does not name, or names with
+    weight 0 at all knots, is not wanted and left out. By default each source goes
+    from its share of all tokens to an equal share.
+    ``budget``: tokens in all, documents past them are left out; ``LEAST``: the most
+    that exhausts no source; by default all tokens, and every document has a position.
 
     Defined cases: a null source is the source ''; a null text has 0 tokens and
     takes the position where it comes; equal positions are ordered by doc_id;
@@ -73,20 +110,36 @@ def mix(docs: DataFrame, schedule: dict[str, list[float]] | None = None, budget:
         if min(total) <= 0:
             raise ValueError("the weights at a knot are all 0")
         rows = [(s, [w[k] / total[k] for k in range(knots)]) for s, w in schedule.items()]
-        plan = supply.join(docs.sparkSession.createDataFrame(rows, "__source string, __weights array<double>"), "__source")
+        plan = docs.sparkSession.createDataFrame(rows, "__source string, __weights array<double>").join(supply, "__source", "left")
     steps = [F.lit(0.0)]
     for k in range(1, knots):
         steps.append(steps[-1] + (F.col("__weights")[k - 1] + F.col("__weights")[k]) / F.lit(2.0 * (knots - 1)))
     plan = plan.withColumn("__cumulative", F.array(*steps))
     share = F.element_at("__cumulative", F.lit(knots))
-    most = F.lit(float(budget)) if budget is not None else F.col("__most")
-    plan = plan.crossJoin(F.broadcast(plan.agg(F.min(F.when(share > 0, F.col("__supply") / share)).alias("__most")))).withColumn("__most", most)
+    plan = plan.withColumn("__share", share)
+    if budget is None:
+        most = F.sum(F.when(F.col("__share") > 0, F.col("__supply"))).cast("double")
+    elif budget == LEAST:
+        most = F.min(F.when(F.col("__share") > 0, F.col("__supply") / F.col("__share")))
+    else:
+        most = F.lit(float(budget))
+    plan = plan.crossJoin(F.broadcast(plan.agg(F.greatest(most, F.lit(1.0)).alias("__most"))))
+    plan = C.stored(plan.withColumn("__have", F.coalesce("__supply", F.lit(0)) / F.col("__most")))
     before = F.sum("__tokens").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = C.stored(sums.withColumn("__offset", F.coalesce(before, F.lit(0))).join(plan, "__source").select("__source", "__bucket", "__offset", "__weights", "__cumulative", "__most"))
+    offsets = C.stored(sums.withColumn("__offset", F.coalesce(before, F.lit(0))).join(plan, "__source").select("__source", "__bucket", "__offset", "__weights", "__cumulative", "__most", "__share", "__have"))
     inside = Window.partitionBy("__source", "__bucket").orderBy("__order", "doc_id", "n_tokens", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("__c", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(C.small_side(offsets), ["__source", "__bucket"])
-    share_of = (F.col("__c") + F.col("__offset")).cast("double") / F.greatest(F.col("__most"), F.lit(1.0))
-    placed = placed.withColumn("position", position(share_of, F.col("__weights"), F.col("__cumulative"), knots)).where("position is not null")
+    share_of = (F.col("__c") + F.col("__offset")).cast("double") / F.col("__most")
+    placed = placed.withColumn("__asked", share_of)
+    t = position(F.col("__asked"), F.col("__weights"), F.col("__cumulative"), knots)
+    if budget is None:
+        times = F.expr(f"array({', '.join(f'{x!r}D' for x in left_open(plan, knots))})")
+        rest = F.greatest(F.col("__have") - F.col("__share"), F.lit(1e-300))
+        at = F.least(F.greatest((F.col("__asked") - F.col("__share")) / rest, F.lit(0.0)), F.lit(1.0)) * STEPS
+        step = F.least(F.floor(at), F.lit(STEPS - 1)).cast("int")
+        low, high = F.element_at(times, step + 1), F.element_at(times, step + 2)
+        t = F.when(F.col("__share") > 0, F.coalesce(t, low + (high - low) * (at - step)))
+    placed = placed.withColumn("position", t).where("position is not null")
     placed = placed.select(*names, "n_tokens", "position")
     return placed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 

@@ -25,7 +25,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(C.table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_tokens", F.round("position", 9).alias("position"))
+    # the budget of its SQL; by default, as in the pipeline, mix leaves no document out
+    return mixing.mix(C.table(spark, sf_dir, "documents"), budget=mixing.LEAST).select("doc_id", "source", "text", "n_tokens", F.round("position", 9).alias("position"))
 
 
 def op4_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:

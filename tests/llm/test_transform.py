@@ -174,6 +174,28 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs, {"nowhere": [1.0, 1.0]}).count() == 0
 
 
+def test_mixing_leaves_no_document_out(spark):
+    rng = random.Random(15)
+    rows = [(k, prose(rng, rng.randint(20, 60)), "hot" if k % 2 else f"s{k % 6}") for k in range(600)]
+    small = [(1000, "one two three", "tiny"), (1001, "", "empty"), (1002, None, "empty"), (1003, "x", None), (None, "y z", "hot"), (1004, "a b", "s0"), (1004, "a b", "s0")]
+    docs = spark.createDataFrame(rows + small, "doc_id long, text string, source string")
+    for schedule in (None, {"hot": [1.0, 3.0, 0.0], "s0": [0.0, 1.0, 1.0], "tiny": [0.0, 5.0, 1.0], "nowhere": [1.0, 0.0, 1.0], "": [0.0, 1.0, 0.0], "s1": [0.0] * 3}):
+        got = mixing.mix(docs, schedule).collect()
+        named = [r for r in rows + small if schedule is None or (r[2] or "") in ("hot", "s0", "tiny", "")]
+        assert sorted(map(str, ((r.doc_id, r.text, r.source) for r in got))) == sorted(map(str, named))
+        assert all(0 <= r.position <= 1 for r in got)
+        # t is the share of all tokens trained on
+        done, every = 0, sum(r.n_tokens for r in got)
+        for r in got:
+            assert r.position == pytest.approx(done / every, abs=0.02)
+            done += r.n_tokens
+    # weights hold up to the time at which a source runs short: hot goes from its share to a fifth or less
+    first = [r for r in mixing.mix(docs).collect() if r.position < 0.2]
+    hot = sum(r.n_tokens for r in first if r.source == "hot") / sum(r.n_tokens for r in first)
+    assert hot == pytest.approx(0.5 + 0.1 * (1 / 7 - 0.5), abs=0.04)
+    assert mixing.in_training_order(docs).count() == docs.count() > mixing.mix(docs, budget=mixing.LEAST).count()
+
+
 # --- 4: WARC
 
 
