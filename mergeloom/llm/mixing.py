@@ -32,6 +32,8 @@ from mergeloom.llm import common as C
 BUCKET_DOCS = 20_000
 #: The budget that exhausts no source, and so leaves out most documents if one source is small.
 LEAST = "least"
+#: Columns of ``place`` that sort documents for training.
+ORDER = ["position", "doc_id"]
 #: Steps of time between which what short sources leave open is taken as even.
 STEPS = 1000
 #: Words in a text: runs of anything but ASCII white space.
@@ -76,8 +78,8 @@ def left_open(plan: DataFrame, knots: int) -> list[float]:
     return np.interp(grid, gap[first:] / gap[-1], grid[first:]).tolist()
 
 
-def mix(docs: DataFrame, schedule: dict[str, list[float]] | None = None, budget: float | str | None = None, seed: int = 0) -> DataFrame:
-    """Columns of ``docs`` with ``n_tokens`` and ``position``, sorted by position.
+def place(docs: DataFrame, schedule: dict[str, list[float]] | None = None, budget: float | str | None = None, seed: int = 0) -> DataFrame:
+    """Columns of ``docs`` with ``n_tokens`` and ``position``, in no order.
 
     ``schedule``: weights of each source at the knots (as many for each, two or
     more), brought to sum 1 at each knot; a source it does not name, or names with
@@ -140,8 +142,12 @@ def mix(docs: DataFrame, schedule: dict[str, list[float]] | None = None, budget:
         low, high = F.element_at(times, step + 1), F.element_at(times, step + 2)
         t = F.when(F.col("__share") > 0, F.coalesce(t, low + (high - low) * (at - step)))
     placed = placed.withColumn("position", t).where("position is not null")
-    placed = placed.select(*names, "n_tokens", "position")
-    return placed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return placed.select(*names, "n_tokens", "position")
+
+
+def mix(docs: DataFrame, schedule: dict[str, list[float]] | None = None, budget: float | str | None = None, seed: int = 0) -> DataFrame:
+    """What ``place`` returns, sorted by position."""
+    return place(docs, schedule, budget, seed).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
 
 
 def in_training_order(docs: DataFrame, **how) -> DataFrame:

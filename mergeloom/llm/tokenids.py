@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LIMIT, EVERY, BLOCK_BYTES = 20, 1024, 4 << 20
 #: Distinct pieces that a worker remembers; then it starts anew (no effect on results).
 REMEMBERED = 1_000_000
-IDS = "doc_ids array<bigint>, n_tokens array<int>, ids binary"
+IDS = "block bigint, doc_ids array<bigint>, n_tokens array<int>, ids binary"
 CODED = "block bigint, doc_ids array<bigint>, n_tokens array<int>, bits bigint, payload binary, checkpoints array<bigint>"
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
@@ -249,13 +250,15 @@ class Decoder:
 # --- tables -----------------------------------------------------------------
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, every: int = EVERY) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, every: int = EVERY, order: list[str] | None = None) -> DataFrame:
     """(block, doc_ids, n_tokens, bits, payload, checkpoints): all texts as coded ids.
 
     The row of block -1 is the code book: its payload has one byte for each id of
     the vocabulary, the length of its canonical code (0: not used). A block holds
     whole documents in the order read, some ``BLOCK_BYTES`` of text or one longer
     text; ``checkpoints`` are bit offsets of its tokens 0, every, 2 every, ...
+    With ``order`` (columns of ``docs``) documents are sorted by it: those of a block,
+    and blocks by number, whatever the order in which files are read back.
 
     Defined cases: a null text has n_tokens -1, an empty one 0; a null doc_id stays
     null; repeated rows are each coded; other columns are not read. No rows give the
@@ -272,13 +275,16 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, ev
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(sent.value)
-        for b in slices(batches, limit=BLOCK_BYTES):
+        task = TaskContext.get().partitionId() << 33
+        for k, b in enumerate(slices(batches, limit=BLOCK_BYTES)):
             text = b.column(1)
             ids, many = tokenizer.column(text)
             many = np.where(text.is_null().to_numpy(zero_copy_only=False), -1, many).astype(np.int32)
             span = pa.array([0, b.num_rows], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(span, b.column(0)), pa.ListArray.from_arrays(span, pa.array(many)), pa.array([ids.astype(dtype).tobytes()], pa.binary())], names=["doc_ids", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([task + k], pa.int64()), pa.ListArray.from_arrays(span, b.column(0)), pa.ListArray.from_arrays(span, pa.array(many)), pa.array([ids.astype(dtype).tobytes()], pa.binary())], names=["block", "doc_ids", "n_tokens", "ids"])
 
+    if order:
+        docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     held = C.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokenize, IDS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,11 +304,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, ev
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, codes = book.value
         for b in batches:
-            rows = [pack_bits(np.frombuffer(raw, dtype), lengths, codes, every) for raw in b.column(2).to_pylist()]
+            rows = [pack_bits(np.frombuffer(raw, dtype), lengths, codes, every) for raw in b.column(3).to_pylist()]
             payload, bits, points = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.int64()), pa.array(payload, pa.binary()), pa.array([p.tolist() for p in points], pa.list_(pa.int64()))], names=["doc_ids", "n_tokens", "bits", "payload", "checkpoints"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(bits, pa.int64()), pa.array(payload, pa.binary()), pa.array([p.tolist() for p in points], pa.list_(pa.int64()))], names=["block", "doc_ids", "n_tokens", "bits", "payload", "checkpoints"])
 
-    coded = held.mapInArrow(code, CODED.partition(", ")[2]).withColumn("block", F.monotonically_increasing_id())
+    coded = held.mapInArrow(code, CODED)
     first = spark.createDataFrame([(-1, [], [], 0, bytearray(lengths.tobytes()), [])], CODED)
     return first.unionByName(coded)
 

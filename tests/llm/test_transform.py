@@ -405,6 +405,26 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id: bpe.decode(r.ids) for r in tokenids.decode(whole).collect()} == final
 
 
+def test_blocks_are_in_the_order_of_the_mixture(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    monkeypatch.setattr(tokenids, "BLOCK_BYTES", 3000)
+    rng = random.Random(16)
+    texts = [(k, prose(rng, rng.randint(5, 60)), "hot" if k % 2 else f"s{k % 6}") for k in range(400)]
+    docs = spark.createDataFrame([*texts, (1000, None, "s0"), (1001, "", "s2"), (1002, "a b", None)], "doc_id long, text string, source string")
+    want = [r.doc_id for r in mixing.mix(docs).collect()]
+    _, mixed = pipeline.STAGES[3]
+    for k in range(4):  # uneven files, the largest last
+        part = mixed(spark, docs, "").collect()[[0, 20, 60, 150][k] : [20, 60, 150, 403][k]]
+        spark.createDataFrame(part, docs.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "mixed"))
+    back = spark.read.parquet(str(tmp_path / "mixed"))
+    assert back.count() == len(want) and [r.doc_id for r in back.collect()] != want
+    _, code = pipeline.STAGES[4]
+    code(spark, back, "").repartition(5).write.parquet(str(tmp_path / "coded"))
+    blocks = spark.read.parquet(str(tmp_path / "coded")).where("block >= 0").orderBy("block").collect()
+    assert len(blocks) > 4 and [i for r in blocks for i in r.doc_ids] == want
+
+
 @pytest.mark.parametrize("name", ["op2_toxicity", "op7_quality_classifier", "op8_token_ids"])
 def test_queries_cover_their_tables(spark, name, tmp_path):
     rows, labels = labelled(7, 80)
