@@ -172,6 +172,25 @@ def test_dropping_near_copies(spark, docs, rows):
     assert {tuple(r) for r in jaccard.groups(chain).collect()} == {(k, 0) for k in range(1, 41)}
 
 
+def test_the_pipeline_drops_copies_with_many_edits(spark, docs, rows):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(21)
+    more = []
+    for k in range(2000, 2040, 2):  # three words changed in 36 to 48
+        w = prose(rng, rng.randint(36, 48)).split(" ")
+        copy = list(w)
+        for at in (5, 13, 21):
+            copy[at] = "changed"
+        more += [(k, " ".join(w)), (k + 1, " ".join(copy))]
+    assert all(pipeline.NEAR <= j < 0.7 for j in brute_pairs(more, 0.3).values()) and len(brute_pairs(more, 0.3)) == 20
+    _, stage = pipeline.STAGES[1]
+    assert {r.doc_id for r in stage(spark, table(spark, more), "").collect()} == set(range(2000, 2040, 2))
+    want = brute_pairs(rows + more, pipeline.NEAR)
+    got = jaccard.near_pairs(docs.unionByName(table(spark, more)), threshold=pipeline.NEAR, slack=0.05).collect()
+    assert {(r.doc_a, r.doc_b): pytest.approx(r.jaccard) for r in got} == want and len(got) == len(want)
+
+
 def test_no_rows(spark):
     none = table(spark, [])
     nulls = table(spark, [(None, None), (1, None), (2, "")])
