@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Input bytes (as Spark estimates them) that one exchange bucket stands for.
-BUCKET_BYTES = 6 << 20
+#: Bytes of text that one exchange bucket stands for.
+BUCKET_BYTES = 10 << 20
+#: Ids that are broadcast at most (8 bytes each); beyond, the join is a shuffle.
+BROADCAST_IDS = 4_000_000
 #: A side of a join is broadcast only when its table is measured to be smaller.
 BROADCAST_BYTES = 32 << 20
 BLOB = "bucket int, blob binary"
@@ -73,8 +75,42 @@ def table_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def bucket_count(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
-    return max(8, min(1 << 24, math.ceil(table_bytes(df) / bucket_bytes)))
+def bucket_count(df: DataFrame, column: str = "text", bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets for what is measured to be in ``column``; estimates of Spark's are far off after joins or on compressed files."""
+    total = df.agg(F.sum(F.octet_length(F.col(f"`{column}`")))).first()[0] or 0
+    return max(8, min(1 << 24, math.ceil(total / bucket_bytes)))
+
+
+def ids_of(ids: DataFrame, limit: int | None = None) -> np.ndarray | None:
+    """The sorted ids of a *stored* table of one long column, or None if there are more than ``limit``."""
+    if ids.count() > (BROADCAST_IDS if limit is None else limit):
+        return None
+    return np.sort(ids.toArrow().column(0).to_numpy().astype(np.int64))
+
+
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``texts`` (doc_id long, text) with a doc_id in the stored ``ids``.
+
+    Up to BROADCAST_IDS ids go to every worker as one sorted array, and no text is
+    shuffled; beyond that it is a join.
+    """
+    known = ids_of(ids)
+    if known is None:
+        return texts.join(ids, "doc_id", "left_semi")
+    sent = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(among(b.column(0).to_numpy(), sent.value)))
+
+    return texts.mapInArrow(run, texts.schema)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

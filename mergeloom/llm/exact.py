@@ -112,5 +112,8 @@ def exact_copies(docs: DataFrame, spare: int = SPARE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[np.unpackbits(np.frombuffer(bitmap, np.uint8))[: len(ids)] == 1])], names=["doc_id"])
 
     suspects = C.stored(sent.join(C.small_side(bitmaps), ["pid", "owner"]).select("ids", "twice").mapInArrow(pick, "doc_id long").distinct())
-    same = texts.join(C.small_side(suspects), "doc_id", "left_semi").groupBy("text").agg(F.min("doc_id").alias("keep_id"), F.collect_list("doc_id").alias("ids"))
-    return same.select(F.explode(F.array_distinct("ids")).alias("doc_id"), "keep_id").where("doc_id <> keep_id")
+    # texts are grouped without lists of ids: a hot text is one row for each map task, its ids stay where they are
+    held = C.only(texts, suspects).select("doc_id", "text")
+    least = C.stored(held.groupBy("text").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("most")).where("keep_id <> most").drop("most"))
+    known = F.broadcast(least) if C.table_bytes(least) * 4 <= C.BROADCAST_BYTES else least
+    return held.join(known, "text").where("doc_id <> keep_id").select("doc_id", "keep_id").distinct()

@@ -17,10 +17,11 @@ Stretches without a seed cannot match and are never sent.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ LENGTH, GRAM = 50, 16
 SPANS = "doc_id long, start_word int, n_words int, is_first boolean"
 
 
-def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     out, span = x, 1
     while span * 2 <= w:
         out = np.minimum(out[:-span], out[span:])
@@ -47,7 +48,7 @@ def anchors(words: Words, length: int, k: int) -> tuple[np.ndarray, np.ndarray,
         return none, none, np.zeros(0, np.uint64)
     gram = window_hash(words.hash, k)
     low = np.uint64(0xFFFFFFFF)
-    least = _sliding_min((gram & ~low) | np.arange(len(gram), dtype=np.uint64), length - k + 1)
+    least = sliding_min((gram & ~low) | np.arange(len(gram), dtype=np.uint64), length - k + 1)
     at = np.flatnonzero(words.doc[: n - length + 1] == words.doc[length - 1 :])
     return at, (least[at] & low).astype(np.int64), gram
 
@@ -56,56 +57,130 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def position_blobs(nb: int, key: np.ndarray, row: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> list[tuple[int, bytes]]:
-    """Keys with the row and word where they are, packed by bucket of the key."""
-    out = []
-    for b, i in C.split_by(C.bucket_of(key, nb)):
-        used, local = np.unique(row[i], return_inverse=True)
-        out.append((b, C.pack(ids[used].astype("<i8"), key[i], local.astype("<u2"), pos[i].astype("<u4"))))
-    return out
-
-
-def shared_positions(blobs: list[bytes], nb: int) -> pa.Table:
-    """Keys of a bucket -> positions whose key is found in another document, packed by the document's bucket."""
-    ids, keys, local, pos = C.gather(blobs, "<i8", "<u8", "<u2", "<u4")
-    base = np.cumsum([0] + [len(x) for x in ids])
-    row = np.concatenate([x.astype(np.int64) + b for x, b in zip(local, base)])
-    ids, key, pos = np.concatenate(ids), np.concatenate(keys), np.concatenate(pos)
-    _, rank = np.unique(ids, return_inverse=True)
-    order = np.argsort(key, kind="stable")
-    who, key = rank[row[order]], key[order]
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    many = np.diff(np.concatenate([begin, [len(key)]]))
-    hit = np.repeat(np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin), many)
-    row, pos = row[order][hit], pos[order][hit]
-    return pa.Table.from_batches([C.blob_batch([(b, C.pack(ids[row[i]].astype("<i8"), pos[i])) for b, i in C.split_by(C.bucket_of(ids[row].view(np.uint64), nb))])])
-
-
-def replies(blobs: list[bytes]) -> pa.Table:
-    """Positions of a bucket of documents -> one row a document."""
-    ids, pos = (np.concatenate(x) for x in C.gather(blobs, "<i8", "<u4"))
-    order = np.lexsort((pos, ids))
-    ids, pos = ids[order], pos[order]
-    begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    hits = [np.unique(x).astype("<u4").tobytes() for x in np.split(pos, begin[1:])]
-    return pa.table({"doc_id": ids[begin], "hits": pa.array(hits, pa.binary())})
-
-
-def flagged(words: Words, hits: list[bytes]) -> np.ndarray:
+def met_anchors(texts: DataFrame, length: int, k: int, nb: int, across: bool) -> DataFrame:
+    """(doc_id, hits), stored: the anchors of each document that are found at another place too,
+    or, with ``across``, in another document.
+
+    Anchors are written once, by slices of documents. A slice sends each of its keys once,
+    with its least place and whether the slice itself has two, and gets back a bit for
+    each: so a passage that is everywhere costs as many entries as there are slices.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for b in slices(batches):
+            words = Words(b.column(1))
+            _, anchor, gram = anchors(words, length, k)
+            if len(anchor):
+                a = np.unique(anchor)
+                row = words.doc[a]
+                held = (b.column(0).to_numpy().astype("<i8"), row.astype("<u2"), (a - words.first[row]).astype("<u4"), gram[a])
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())] + [pa.array([x.tobytes()], pa.binary()) for x in held], names=["slice", "ids", "local", "pos", "key"])
+                number += 1
+
+    held = C.stored(texts.mapInArrow(find, "slice long, ids binary, local binary, pos binary, key binary"))
+
+    def keys(cols: list[bytes]) -> tuple[np.ndarray, ...]:
+        """ids, rows, positions, keys of a slice in the order of (key, place), and where each key begins."""
+        ids, row, pos, key = (np.frombuffer(x, d) for x, d in zip(cols, ("<i8", "<u2", "<u4", "<u8")))
+        order = np.lexsort((pos, ids[row], key))
+        row, pos, key = row[order], pos[order], key[order]
+        return ids, row, pos, key, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, *cols in zip(*(c.to_pylist() for c in b.columns)):
+                ids, row, pos, key, first = keys(cols)
+                last = np.append(first[1:], len(key)) - 1
+                twice = ids[row[first]] != ids[row[last]]
+                if not across:
+                    twice |= pos[first] != pos[last]
+                row, pos, key = row[first], pos[first], key[first]
+                rows = []
+                for bucket, i in C.split_by(C.bucket_of(key, nb)):
+                    used, local = np.unique(row[i], return_inverse=True)
+                    rows.append((bucket, C.pack(np.array([number], "<i8"), ids[used], local.astype("<u2"), pos[i], key[i], twice[i].astype("u1"))))
+                yield C.blob_batch(rows)
+
+    def answer(blobs: list[bytes]) -> pa.Table:
+        number, ids, local, pos, key, twice = C.gather(blobs, "<i8", "<i8", "<u2", "<u4", "<u8", "u1")
+        count = [len(x) for x in key]
+        doc, pos, key, twice = np.concatenate([x[y] for x, y in zip(ids, local)]), np.concatenate(pos), np.concatenate(key), np.concatenate(twice)
+        bucket = int(C.bucket_of(key[:1], nb)[0])
+        order = np.argsort(key, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        many = np.diff(np.append(begin, len(key)))
+        place = np.unique(doc, return_inverse=True)[1].astype(np.uint64)
+        if not across:
+            place = (place << np.uint64(32)) | pos
+        again = np.minimum.reduceat(place[order], begin) != np.maximum.reduceat(place[order], begin)
+        again |= np.maximum.reduceat(twice[order], begin) > 0
+        flag = np.empty(len(key), bool)
+        flag[order] = np.repeat(again, many)
+        maps = [np.packbits(x).tobytes() for x in np.split(flag, np.cumsum(count)[:-1])]
+        return pa.table({"slice": np.concatenate(number), "bucket": pa.array([bucket] * len(maps), pa.int32()), "flags": pa.array(maps, pa.binary())})
+
+    found = C.exchange(held.mapInArrow(send, C.BLOB), answer, "slice long, bucket int, flags binary")
+
+    def pick(t: pa.Table, flags: pa.Table) -> pa.Table:
+        ids, hits = [], []
+        known = dict(zip(flags.column("bucket").to_pylist(), flags.column("flags").to_pylist()))
+        for cols in zip(*(t.column(c).to_pylist() for c in ("ids", "local", "pos", "key"))):
+            who, row, pos, key, first = keys(list(cols))
+            hit = np.zeros(len(first), bool)
+            for bucket, i in C.split_by(C.bucket_of(key[first], nb)):
+                hit[i] = bits(known[bucket], len(i))
+            hit = np.repeat(hit, np.diff(np.append(first, len(key))))
+            row, pos = row[hit], pos[hit]
+            order = np.lexsort((pos, row))
+            row, pos = row[order], pos[order]
+            begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+            ids.append(who[row[begin]])
+            hits += [x.tobytes() for x in np.split(pos, begin[1:])] if len(row) else []
+        return pa.table({"doc_id": np.concatenate([np.zeros(0, np.int64), *ids]), "hits": pa.array(hits, pa.binary())})
+
+    each = held.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(pick, "doc_id long, hits binary")
+    return C.stored(each.groupBy("doc_id").agg(F.collect_list("hits").alias("hits")))
+
+
+def bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
+def with_hits(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """``texts`` that have hits, with them. If hits are too many to broadcast, texts without any are still not shuffled."""
+    if C.table_bytes(hits) * 4 <= C.BROADCAST_BYTES:
+        return texts.join(F.broadcast(hits), "doc_id")
+    return C.only(texts, hits.select("doc_id")).join(hits, "doc_id")
+
+
+def flagged(words: Words, hits: list[list[bytes]]) -> np.ndarray:
     """A flag for each word of a slice, set at the hits of its row."""
     flag = np.zeros(len(words.hash), bool)
     for r, raw in enumerate(hits):
-        p = np.frombuffer(raw, "<u4")
+        p = np.frombuffer(b"".join(raw), "<u4")
         p = p[p < words.count[r]]  # rows that share a doc_id share their hits
         flag[words.first[r] + p] = True
     return flag
 
 
+def pack_runs(doc: np.ndarray, start: np.ndarray, first: np.ndarray) -> bytes:
+    """Matching stretches of some documents, consecutive ones as one entry (document, start, how many, first)."""
+    order = np.lexsort((start, doc))
+    doc, start, first = doc[order], start[order].astype(np.int64), first[order].astype(bool)
+    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (first[1:] != first[:-1])]))
+    return C.pack(doc[cut].astype("<i8"), start[cut].astype("<u4"), np.diff(np.append(cut, len(doc))).astype("<u4"), first[cut].astype("u1"))
+
+
 def chain(blobs: list[bytes], length: int) -> pa.Table:
     """Matching stretches of a bucket of documents -> spans."""
-    ids, start, first = (np.concatenate(x) for x in C.gather(blobs, "<i8", "<u4", "u1"))
+    ids, start, many, first = (np.concatenate(x) for x in C.gather(blobs, "<i8", "<u4", "<u4", "u1"))
+    many = many.astype(np.int64)
+    end = np.cumsum(many)
+    start = np.repeat(start.astype(np.int64) - (end - many), many) + np.arange(end[-1])
+    ids, first = np.repeat(ids, many), np.repeat(first, many)
     order = np.lexsort((start, ids))
-    ids, start, first = ids[order], start[order].astype(np.int64), first[order].astype(bool)
+    ids, start, first = ids[order], start[order], first[order].astype(bool)
     new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (start[1:] != start[:-1])])
     ids, start, first = ids[new], start[new], first[new]
     cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (start[1:] != start[:-1] + 1) | (first[1:] != first[:-1])]))
@@ -145,19 +220,9 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> D
     if not 0 < k <= length:
         raise ValueError("0 < k <= length must hold")
     C.bounded_batches(docs.sparkSession)
-    texts, nb = texts_of(docs), C.bucket_count(docs)
-
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            words = Words(b.column(1))
-            _, anchor, gram = anchors(words, length, k)
-            if len(anchor):
-                a = np.unique(anchor)
-                row = words.doc[a]
-                yield C.blob_batch(position_blobs(nb, gram[a], row, a - words.first[row], b.column(0).to_numpy()))
-
-    found = C.exchange(texts.mapInArrow(seeds, C.BLOB), lambda x: shared_positions(x, nb), C.BLOB)
-    hits = C.stored(C.exchange(found, replies, "doc_id long, hits binary"))
+    texts = texts_of(docs)
+    nb = C.bucket_count(texts)
+    hits = met_anchors(texts, length, k, nb, True)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -184,8 +249,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> D
         start = np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(len(h))
         hit, first = equal_stretches(h, rank[occ], start, True)
         ids, start, first = ids[occ[hit]], start[hit], first[hit]
-        rows = [(b, C.pack(ids[i], start[i].astype("<u4"), first[i].astype("u1"))) for b, i in C.split_by(C.bucket_of(ids.view(np.uint64), nb))]
+        rows = [(b, pack_runs(ids[i], start[i], first[i])) for b, i in C.split_by(C.bucket_of(ids.view(np.uint64), nb))]
         return pa.Table.from_batches([C.blob_batch(rows)])
 
-    held = texts.join(C.small_side(hits), "doc_id").mapInArrow(extend, C.BLOB)
+    held = with_hits(texts, hits).mapInArrow(extend, C.BLOB)
     return C.exchange(C.exchange(held, match, C.BLOB), lambda x: chain(x, length), SPANS)

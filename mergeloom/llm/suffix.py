@@ -1,27 +1,32 @@
 """Operator 5: repeats by blockwise suffix sorting with a difference-cover sample.
 
-Suffixes are those of documents, word by word. Dedup asks which suffixes share
-their first ``length`` words with another one, so they are sorted to that depth.
-
-1. Cover sample. A difference cover D of period v has, for any two positions i
-   and j, a shift s < v with i+s and j+s both in the sample (position mod v in
-   D). The sample (19 % of positions for v = 31) is sorted in buckets, each by
-   itself in memory, on its first h = length - v + 1 words, and ranked; suffixes
-   that tie have one rank. The ranks of those that tie with any other go back to
-   their documents.
-2. Suffix buckets. If suffixes i and j agree on ``length`` words, the sample
-   suffixes i+s and j+s agree on h words at least; so a suffix with no ranked
-   sample suffix among its first v positions is settled by the sample and never
-   leaves its document. The others are dealt to buckets by the code of their first
-   and last v words, with the ranks at their |D| sample positions; one bucket at a
-   time is sorted, so memory is that of a bucket.
-3. Long ties. Suffixes with equal codes are told apart by the ranks at their common
-   shift s: words 0 to v, s to s + h and length - v to length cover all of the
-   ``length`` words, so equal ranks mean equal suffixes, however long the tie.
-4. Runs of suffixes found again are the repeated spans, as in ``substring``.
-
-Order within a bucket is that of 64-bit codes of words, which stand for the
-words (collisions aside), not of the alphabet; ranks are bucket and place in it.
+The text of a document is read as a sequence of symbols, one at each word: the 64-bit
+code of the ``gram`` words from there on, whose leading bits are those of the least
+hash among the gram's short grams, its anchor. A suffix is the sequence of symbols
+from a word to the end. Two suffixes share their first ``length`` words just if they
+share their first ``depth`` = length - gram + 1 symbols, and dedup asks no more, so
+suffixes are sorted to that depth, symbol by symbol, as numbers.
+
+1. Text that can't repeat goes: every stretch of ``length`` words has an anchor, chosen
+   from its words alone (winnowing), and a stretch whose anchor is found at one place
+   only has no equal. What is left are intervals of documents.
+2. Blocks are ranges of the first symbol. Neighbours often have the same anchor and so
+   lie in one block; they are sent as one run with the symbols that follow it. Equal
+   runs of one slice of documents are sent once, with their first and last places.
+3. Cover sample. A difference cover D of period v has, for any two positions i and j, a
+   shift s < v with i + s and j + s both in the sample (position mod v in D). The
+   sample of each block is sorted by prefix doubling in memory, to every depth from
+   depth - v + 1 to depth, and its ranks go back to their slices.
+4. All suffixes come again to their blocks, with the ranks of the |D| sample suffixes
+   that follow each. They are sorted by their first v symbols by doubling. Longer ties
+   are sorted by quicksort in three parts, all groups of ties at once: i and j compare
+   as the ranks of i + s and j + s to depth - s symbols, which lie in one block since
+   the ties share v symbols. So a comparison costs one look-up, however long the tie.
+5. Suffixes that are equal to the depth are repeats. Runs of them are spans.
+
+A block in memory is BUCKET_BYTES of text and holds a run once for each slice that has
+it, not for each document: a passage that is everywhere costs a block as many entries as
+there are slices of 4 MB.
 """
 
 from __future__ import annotations
@@ -30,15 +35,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from mergeloom.llm import common as C
 from mergeloom.llm import substring as S
 from mergeloom.llm.tokens import Words, slices, window_hash
 
 #: Perfect difference sets: every residue mod v is a difference of two members.
-COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 6, 15, 22, 26, 45, 55)}
+COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
+PERIOD = 7
+#: Leading bits of a symbol that are its anchor's.
+ANCHOR_BITS = 24
+#: What is kept of a slice: its runs in the order of the text, the first and last run of each entry, the symbols of the first.
+PARTS = {"ids": "<i8", "local": "<u2", "pos": "<u4", "begin": "<u4", "n": "<u4", "c": "<u4", "entry": "<u4", "head": "<u4", "tail": "<u4", "m": "<u4", "symbols": "<u8"}
+SLICE = "slice long, " + ", ".join(f"{x} binary" for x in PARTS)
+#: For the last step: the block of each entry in place of its symbols.
+LAST = ("ids", "local", "pos", "c", "entry", "head")
+HEADS = "slice long, " + ", ".join(f"{x} binary" for x in (*LAST, "block"))
 
 
 def cover(v: int) -> np.ndarray:
@@ -51,140 +65,316 @@ def cover(v: int) -> np.ndarray:
     return flag
 
 
-def ranked_sample(blobs: list[bytes], nb: int) -> pa.Table:
-    """Sample suffixes of a bucket -> those that tie with another, with their rank, packed by the document's bucket."""
-    ids, keys, local, pos = C.gather(blobs, "<i8", "<u8", "<u2", "<u4")
-    base = np.cumsum([0] + [len(x) for x in ids])
-    row = np.concatenate([x.astype(np.int64) + b for x, b in zip(local, base)])
-    ids, key, pos = np.concatenate(ids), np.concatenate(keys), np.concatenate(pos)
-    _, doc = np.unique(ids, return_inverse=True)
-    order = np.argsort(key, kind="stable")
-    key, row, pos = key[order], row[order], pos[order]
-    place = (doc[row].astype(np.uint64) << np.uint64(32)) | pos
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    many = np.diff(np.concatenate([begin, [len(key)]]))
-    tie = np.minimum.reduceat(place, begin) != np.maximum.reduceat(place, begin)
-    rank, hit = np.repeat(np.cumsum(tie), many), np.repeat(tie, many)
-    bucket = np.uint64(C.bucket_of(key[:1], nb)[0])
-    ids, key, pos, rank = ids[row[hit]], key[hit], pos[hit], (bucket << np.uint64(32)) | rank[hit].astype(np.uint64)
-    return pa.Table.from_batches([C.blob_batch([(b, C.pack(ids[i].astype("<i8"), pos[i], key[i], rank[i])) for b, i in C.split_by(C.bucket_of(ids.view(np.uint64), nb))])])
-
-
-def by_document(blobs: list[bytes]) -> pa.Table:
-    """Ranks of a bucket of documents -> one row a document: positions, their keys and ranks, the highest place."""
-    ids, pos, key, rank = (np.concatenate(x) for x in C.gather(blobs, "<i8", "<u4", "<u8", "<u8"))
-    order = np.lexsort((key, pos, ids))
-    ids, pos, key, rank = ids[order], pos[order], key[order], rank[order]
-    cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    rows = [[part.tobytes() for part in np.split(x, cut[1:])] for x in (pos, key, rank)]
-    top = np.maximum.reduceat(rank & np.uint64(0xFFFFFFFF), cut).astype(np.int64)
-    return pa.table({"doc_id": ids[cut]} | {n: pa.array(x, pa.binary()) for n, x in zip(("pos", "key", "rank"), rows)} | {"top": top})
-
-
-def _ranks(words: Words, key: np.ndarray, hits: list[tuple[bytes, bytes, bytes]], bits: int) -> np.ndarray:
-    """The rank of the sample suffix at each word of a slice, 0 where it has none.
-
-    A rank is taken only where the key is the row's own: rows that share a doc_id share their hits.
-    """
-    out = np.zeros(len(words.hash) + 1, np.uint64)
-    for r, raw in enumerate(hits):
-        pos, k, rank = (np.frombuffer(x, d) for x, d in zip(raw, ("<u4", "<u8", "<u8")))
-        at = words.first[r] + pos.astype(np.int64)
-        own = at < min(words.first[r + 1], len(key))
-        own[own] = key[at[own]] == k[own]
-        out[at[own]] = ((rank[own] >> np.uint64(32)) << np.uint64(bits)) | (rank[own] & np.uint64(0xFFFFFFFF))
-    return out
+class Shifts:
+    """Where the sample lies after a position: ``ahead[r]`` are the shifts < v from residue r into the cover,
+    ``slot[r, q]`` which of r's shifts is the one common to r and q."""
+
+    def __init__(self, v: int):
+        self.v, self.flag = v, cover(v)
+        self.ahead = np.array([[s for s in range(v) if self.flag[(r + s) % v]] for r in range(v)])
+        self.slot = np.zeros((v, v), np.int64)
+        for r in range(v):
+            for q in range(v):
+                both = set(self.ahead[r]) & set(self.ahead[q])
+                self.slot[r, q] = list(self.ahead[r]).index(min(both))
+
 
+def spread(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (many[0] of them), then begin[1], ..."""
+    end = np.cumsum(many)
+    return np.repeat(begin - (end - many), many) + np.arange(end[-1] if len(end) else 0)
 
-def equal_suffixes(code: np.ndarray, pos: np.ndarray, ranks: np.ndarray, period: int) -> np.ndarray:
-    """A class for each suffix of a bucket; suffixes are in one class if codes and ranks at the common shift are equal."""
-    members = COVERS[period]
-    slot = np.zeros((2, period), np.int64)
-    for i, x in enumerate(members):
-        for j, y in enumerate(members):
-            slot[:, (x - y) % period] = i, j
-    order = np.argsort(code, kind="stable")
-    group = np.cumsum(np.concatenate([[True], code[order][1:] != code[order][:-1]]))
-    out = np.full(len(code), -1)
-    left = order
-    while len(left):
-        first = np.concatenate([[True], group[1:] != group[:-1]])
-        head = left[first][np.cumsum(first) - 1]
-        shift = (pos[left].astype(np.int64) - pos[head]) % period
-        own, other = ranks[left, slot[0, shift]], ranks[head, slot[1, shift]]
-        same = (left == head) | ((own == other) & (own > 0))
-        out[left[same]] = head[same]
-        left, group = left[~same], group[~same]
+
+def ranked(x: np.ndarray) -> np.ndarray:
+    """Dense ranks, from 1 on."""
+    order = np.argsort(x, kind="stable")
+    y = x[order]
+    out = np.empty(len(x), np.uint64)
+    out[order] = np.cumsum(np.concatenate([[1], y[1:] != y[:-1]])).astype(np.uint64) if len(x) else 0
     return out
 
 
-def suffix_repeats(docs: DataFrame, length: int = S.LENGTH, period: int = 31) -> DataFrame:
+class Doubling:
+    """Ranks of the stretches of 1, 2, 3, ... symbols from each place on; a run's end is less than any symbol."""
+
+    def __init__(self, symbol: np.ndarray, m: np.ndarray):
+        """Runs of ``m`` symbols each, one after another."""
+        self.end = np.repeat(np.cumsum(m), m)
+        self.at = np.arange(len(symbol))
+        self.of = {1: ranked(symbol)}
+
+    def ranks(self, d: int) -> np.ndarray:
+        if d not in self.of:
+            half = 1 << (d - 1).bit_length() - 1
+            left = self.ranks(half)
+            on = self.at + d - half
+            right = np.where(on < self.end, left[np.minimum(on, len(left) - 1)], 0)
+            self.of[d] = ranked((left << np.uint64(32)) | right)
+        return self.of[d]
+
+
+def sort_ties(group: np.ndarray, residue: np.ndarray, ranks: np.ndarray, shifts: Shifts) -> tuple[np.ndarray, np.ndarray]:
+    """(order, class of each suffix): ``group`` sorts the suffixes by their first v symbols; ties
+    are sorted by the ranks at the common shift, by quicksort in three parts over all groups at once."""
+    order = np.argsort(group, kind="stable")
+    g = group[order]
+    first = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
+    begin = np.flatnonzero(first)
+    many = np.diff(np.append(begin, len(g)))
+    bound = first.copy()  # where a class of equal suffixes begins
+    begin, many = begin[many > 1], many[many > 1]
+    while len(begin):
+        at = spread(begin, many)
+        part = np.repeat(np.arange(len(begin)), many)
+        mine, pivot = order[at], order[begin + many // 2][part]
+        r, q = residue[mine], residue[pivot]
+        x, y = ranks[mine, shifts.slot[r, q]], ranks[pivot, shifts.slot[q, r]]
+        third = 1 + (x > y).astype(np.int64) - (x < y)
+        third[mine == pivot] = 1
+        to = np.argsort(part * 3 + third, kind="stable")
+        order[at] = mine[to]
+        key = (part * 3 + third)[to]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        bound[at[cut]] = True
+        size = np.diff(np.append(cut, len(key)))
+        again = (key[cut] % 3 != 1) & (size > 1)
+        begin, many = at[cut][again], size[again]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(bound)
+    return order, out
+
+
+def symbols(words: Words, gram: int) -> np.ndarray:
+    """The symbol at each word; it means nothing where a row has fewer than ``gram`` words left."""
+    low = window_hash(words.hash, gram)
+    k = min(8, gram)
+    short = window_hash(words.hash, k)
+    if not len(low):
+        return low
+    least = S.sliding_min(short, gram - k + 1)
+    keep = np.uint64(64 - ANCHOR_BITS)
+    return ((C.mix(least) >> keep) << keep) | (low >> np.uint64(ANCHOR_BITS))
+
+
+def block_of(symbol: np.ndarray, nb: int) -> np.ndarray:
+    """The number of the range that a symbol is in."""
+    return (((symbol >> np.uint64(32)) * np.uint64(nb)) >> np.uint64(32)).astype(np.int32)
+
+
+def runs_of(words: Words, flag: np.ndarray, ids: np.ndarray, depth: int, symbol: np.ndarray, v: int, nb: int) -> list[np.ndarray]:
+    """PARTS of a slice; ``flag``: words at which a stretch begins that may repeat.
+
+    A run is of consecutive words of one interval of such stretches whose symbols are in one
+    block: n suffixes, the first c of which are candidates; those after them are sample
+    suffixes that candidates compare by. Runs with equal symbols as far as any candidate
+    looks, and equal position mod v, are one entry.
+    """
+    at = np.flatnonzero(flag)
+    new = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(words.doc[at]) > 0)])
+    a, z = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
+    many = z - a + v
+    where, last = spread(a, many), np.repeat(z, many)
+    block = block_of(symbol[where], nb)
+    cut = np.flatnonzero(np.concatenate([[True], (np.diff(last) != 0) | (np.diff(block) != 0)]))
+    n, begin, last = np.diff(np.append(cut, len(where))), where[cut], last[cut]
+    c = np.clip(last + 1 - begin, 0, n)
+    # the last candidate of an interval looks at the symbols before ``last + depth``
+    m = np.minimum(n + depth - 1 + v - 1, last + depth - begin)
+    row = words.doc[begin]
+    pos = begin - words.first[row]
+    taken = symbol[spread(begin, m)]
+    offset = (np.arange(len(taken)) - np.repeat(np.cumsum(m) - m, m)).astype(np.uint64)
+    h = np.add.reduceat(C.mix(taken + offset * np.uint64(0x9E3779B97F4A7C15)), np.cumsum(m) - m)
+    h = C.mix(h + (pos % v + v * (c + (n << 28))).astype(np.uint64))
+    order = np.lexsort((pos, ids[row], h))
+    first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    entry = np.empty(len(order), np.int64)
+    entry[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    head, tail = order[first], order[np.append(first[1:], len(order)) - 1]
+    return [ids, row, pos, begin, n, c, entry, head, tail, m[head], symbol[spread(begin[head], m[head])]]
+
+
+def slices_of(t: pa.Table | pa.RecordBatch, *names: str) -> Iterator[list]:
+    """[slice, parts...] of each row."""
+    for number, *raw in zip(*(t.column(t.schema.get_field_index(c)).to_pylist() for c in ("slice", *names))):
+        yield [number] + [x if c == "symbols" else x.astype(np.int64) for c, x in ((c, np.frombuffer(x, PARTS.get(c, "<u4"))) for c, x in zip(names, raw))]
+
+
+def suffix_repeats(docs: DataFrame, length: int = S.LENGTH, gram: int | None = None, period: int = PERIOD) -> DataFrame:
     """(doc_id, start_word, n_words, is_first): maximal runs of words in which every
     ``length`` words also occur at another position of any document, this one included.
 
     Runs are cut where ``is_first`` changes; it is true where no other occurrence
-    has a smaller (doc_id, start). Defined cases: as for ``substring``; rows that
-    share a doc_id are one document, and equal positions of theirs are one.
+    has a smaller (doc_id, start). ``gram`` words are a symbol, by default as many as
+    leave 2 * period + 1 symbols.
+
+    Defined cases: null or short texts have no span; a very long text is a slice of its
+    own, handled whole; rows with null doc_id are left out; rows that share a doc_id
+    are one document, and equal positions of theirs are one; ``doc_id`` is a whole
+    number, others are an error; other columns are not read; no rows give no rows.
     """
-    if not 0 < period < length:
-        raise ValueError("0 < period < length must hold")
-    in_cover = cover(period)
-    h, members = length - period + 1, np.array(COVERS[period])
+    gram = max(1, length - 2 * period) if gram is None else gram
+    depth, k = length - gram + 1, min(S.GRAM, length)
+    if not 0 < gram <= length or not 1 < period < depth:
+        raise ValueError("0 < gram and 1 < period < length - gram + 1 must hold")
+    shifts = Shifts(period)
     C.bounded_batches(docs.sparkSession)
-    texts, nb = S.texts_of(docs), C.bucket_count(docs)
+    texts = S.texts_of(docs)
+    nb = C.bucket_count(texts)
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            words = Words(b.column(1))
-            key, at = words.grams(h)
-            row = words.doc[at]
-            pos = at - words.first[row]
-            # a text shorter than ``length`` has no suffix to settle
-            take = in_cover[pos % period] & (words.count[row] >= length)
-            if take.any():
-                yield C.blob_batch(S.position_blobs(nb, key[take], row[take], pos[take], b.column(0).to_numpy()))
-
-    ties = C.exchange(texts.mapInArrow(sample, C.BLOB), lambda x: ranked_sample(x, nb), C.BLOB)
-    hits = C.stored(C.exchange(ties, by_document, "doc_id long, pos binary, key binary, rank binary, top long"))
-    bits = int(hits.agg(F.max("top")).first()[0] or 1).bit_length()
-    width = "<u4" if bits + nb.bit_length() <= 32 else "<u8"
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for b in slices(batches):
             words = Words(b.column(1))
-            n = len(words.hash)
-            if n < length:
-                continue
-            rank = _ranks(words, window_hash(words.hash, h), list(zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))), bits)
-            ahead = np.concatenate([[0], np.cumsum(rank > 0)])
-            at = np.flatnonzero(words.doc[: n - length + 1] == words.doc[length - 1 :])
-            at = at[ahead[at + period] > ahead[at]]
-            if not len(at):
-                continue
-            row = words.doc[at]
-            pos = at - words.first[row]
-            ranks = np.stack([rank[at + (d - pos) % period] for d in members], axis=1).astype(width)
-            ends = window_hash(words.hash, period)
-            code = C.mix(ends[at] * np.uint64(0x9E3779B97F4A7C15) + ends[at + length - period])
-            ids, rows = b.column(0).to_numpy(), []
-            for bucket, i in C.split_by(C.bucket_of(code, nb)):
-                used, local = np.unique(row[i], return_inverse=True)
-                rows.append((bucket, C.pack(ids[used].astype("<i8"), code[i], local.astype("<u2"), pos[i].astype("<u4"), ranks[i].reshape(-1))))
-            yield C.blob_batch(rows)
-
-    def sort_bucket(blobs: list[bytes]) -> pa.Table:
-        ids, codes, local, pos, ranks = C.gather(blobs, "<i8", "<u8", "<u2", "<u4", width)
-        base = np.cumsum([0] + [len(x) for x in ids])
-        row = np.concatenate([x.astype(np.int64) + b for x, b in zip(local, base)])
-        ids, code, pos = np.concatenate(ids), np.concatenate(codes), np.concatenate(pos)
-        ranks = np.concatenate(ranks).reshape(-1, len(members))
-        _, who = np.unique(ids, return_inverse=True)
-        hit, first = S.equal_stretches(equal_suffixes(code, pos, ranks, period), who[row], pos, False)
-        ids, pos, first = ids[row[hit]], pos[hit], first[hit]
+            at, anchor, _ = S.anchors(words, length, k)
+            flag = np.zeros(len(words.hash), bool)
+            if len(at):
+                flag[at] = S.flagged(words, b.column(2).to_pylist())[anchor]
+            if flag.any():
+                parts = runs_of(words, flag, b.column(0).to_numpy(), depth, symbols(words, gram), period, nb)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())] + [pa.array([x.astype(d).tobytes()], pa.binary()) for x, d in zip(parts, PARTS.values())], names=["slice", *PARTS])
+                number += 1
+
+    held = C.stored(S.with_hits(texts, S.met_anchors(texts, length, k, nb, False)).mapInArrow(cut, SLICE))
+
+    def send_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, pos, n, head, m, symbol in slices_of(b, "pos", "n", "head", "m", "symbols"):
+                n, at = n[head], np.cumsum(m) - m
+                size, rows = np.minimum(m, n + depth - 1), []
+                for block, i in C.split_by(block_of(symbol[at], nb)):
+                    rows.append((block, C.pack(np.array([number], "<i8"), n[i].astype("<u4"), size[i].astype("<u4"), (pos[head[i]] % period).astype("u1"), symbol[spread(at[i], size[i])])))
+                yield C.blob_batch(rows)
+
+    ranks = C.exchange(held.select("slice", "pos", "n", "head", "m", "symbols").mapInArrow(send_sample, C.BLOB), lambda x: rank_sample(x, shifts, depth, nb), "slice long, block int, ranks binary")
+
+    def send_suffixes(t: pa.Table, found: pa.Table) -> pa.Table:
+        known, rows = dict(zip(found.column("block").to_pylist(), found.column("ranks").to_pylist())), []
+        for number, ids, local, pos, begin, n, c, entry, head, tail, m, symbol in slices_of(t, *PARTS):
+            at = np.cumsum(m) - m
+            blocks = list(C.split_by(block_of(symbol[at], nb)))
+            # ranks of the sample suffixes of each entry, then at the words of all runs
+            base = np.cumsum(n[head]) - n[head]
+            rank, less = np.zeros(int(n[head].sum()), np.uint32), np.zeros((int(n[head].sum()), period), np.uint32)
+            for block, i in blocks:
+                r, d = C.unpack(known[block], "<u4", "<u4")
+                own = spread(base[i], n[head[i]])
+                own = own[shifts.flag[(own - np.repeat(base[i], n[head[i]]) + np.repeat(pos[head[i]], n[head[i]])) % period]]
+                rank[own] = r
+                less[own, 1:] = d.reshape(period - 1, -1).T
+            where, of = spread(begin, n), spread(base[entry], n)
+            order = np.argsort(where, kind="stable")  # where intervals overlap, the later one looks further
+            final = np.append(where[order][1:] != where[order][:-1], True)
+            where, of = where[order][final], of[order][final]
+            for block, i in blocks:
+                i = i[c[head[i]] > 0]
+                if not len(i):
+                    continue
+                h = head[i]
+                size = c[h] + period - 1
+                far = of[np.searchsorted(where, spread(begin[h], size))]
+                start = np.cumsum(size) - size
+                mine = spread(start, c[h])
+                residue = (np.repeat(pos[h], c[h]) + mine - np.repeat(start, c[h])) % period
+                step = shifts.ahead[residue]
+                sample = shifts.flag[(np.repeat(pos[h], size) + np.arange(len(far)) - np.repeat(start, size)) % period]
+                delta = less[far[mine[:, None] + step], step]
+                rows.append((block, C.pack(np.array([number], "<i8"), c[h].astype("<u4"), (pos[h] % period).astype("u1"), ids[local[h]], pos[h].astype("<u4"), ids[local[tail[i]]], pos[tail[i]].astype("<u4"), symbol[spread(at[i], size)], rank[far[sample]], np.ascontiguousarray(delta.T).reshape(-1))))
+        return pa.Table.from_batches([C.blob_batch(rows)])
+
+    sent = held.groupBy("slice").cogroup(ranks.groupBy("slice")).applyInArrow(send_suffixes, C.BLOB)
+    flags = C.exchange(sent, lambda x: sort_block(x, shifts, nb), "slice long, block int, again binary, first binary")
+
+    def spans(t: pa.Table, found: pa.Table) -> pa.Table:
+        known = {b: (x, y) for b, x, y in zip(*(found.column(c).to_pylist() for c in ("block", "again", "first")))}
         rows = []
-        for b, i in C.split_by(C.bucket_of(ids.view(np.uint64), nb)):
-            rows.append((b, C.pack(ids[i], pos[i], first[i].astype("u1"))))
+        for number, ids, local, pos, c, entry, head, block in slices_of(t, "ids", "local", "pos", "c", "entry", "head", "block"):
+            base = np.cumsum(c[head]) - c[head]
+            again, first = np.zeros(int(c[head].sum()), bool), np.zeros(int(c[head].sum()), bool)
+            for b, i in C.split_by(block):
+                i = i[c[head[i]] > 0]
+                if len(i):
+                    own = spread(base[i], c[head[i]])
+                    again[own], first[own] = (S.bits(x, len(own)) for x in known[b])
+            of = spread(base[entry], c)
+            own = np.repeat(head[entry] == np.arange(len(entry)), c)
+            hit, first = again[of], first[of] & own
+            run = np.repeat(np.arange(len(c)), c)[hit]
+            start, first = spread(pos, c)[hit], first[hit]
+            doc = ids[local[run]]
+            for b, i in C.split_by(C.bucket_of(doc.view(np.uint64), nb)):
+                rows.append((b, S.pack_runs(doc[i], start[i], first[i])))
         return pa.Table.from_batches([C.blob_batch(rows)])
 
-    held = texts.join(C.small_side(hits.drop("top")), "doc_id").select("doc_id", "text", "pos", "key", "rank").mapInArrow(suffixes, C.BLOB)
-    return C.exchange(C.exchange(held, sort_bucket, C.BLOB), lambda x: S.chain(x, length), S.SPANS)
+    heads = held.mapInArrow(lambda batches: _without_symbols(batches, nb), HEADS)
+    done = heads.groupBy("slice").cogroup(flags.groupBy("slice")).applyInArrow(spans, C.BLOB)
+    return C.exchange(done, lambda x: S.chain(x, length), S.SPANS)
+
+
+def _without_symbols(batches: Iterator[pa.RecordBatch], nb: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        block = [block_of(symbol[np.cumsum(m) - m], nb).astype("<u4").tobytes() for _, m, symbol in slices_of(b, "m", "symbols")]
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("slice", *LAST)] + [pa.array(block, pa.binary())], names=["slice", *LAST, "block"])
+
+
+def rank_sample(blobs: list[bytes], shifts: Shifts, depth: int, nb: int) -> pa.Table:
+    """Runs of a block -> ranks of its sample suffixes for each slice.
+
+    A rank is by all ``depth`` symbols; with it goes, for s = 1 to v - 1, how far below it
+    the least rank is of those that share depth - s symbols.
+    """
+    v = shifts.v
+    number, n, m, residue, symbol = C.gather(blobs, "<i8", "<u4", "<u4", "u1", "<u8")
+    block = int(block_of(symbol[0][:1], nb)[0])
+    size = [len(x) for x in n]
+    n, m, residue, symbol = (np.concatenate(x) for x in (n, m, residue, symbol))
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    base = np.cumsum(m) - m
+    at = spread(base, n)
+    take = shifts.flag[(np.repeat(residue, n) + at - np.repeat(base, n)) % v]
+    at, run = at[take], np.repeat(np.arange(len(n)), n)[take]
+    doubling = Doubling(symbol, m)
+    full = ranked(doubling.ranks(depth)[at])
+    order = np.argsort(full, kind="stable")
+    less = np.zeros((v - 1, len(at)), np.uint32)
+    for s in range(1, v):
+        level = doubling.ranks(depth - s)[at][order]
+        begin = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1]])) if len(level) else np.zeros(0, np.int64)
+        least = np.repeat(full[order][begin], np.diff(np.append(begin, len(level))))
+        less[s - 1, order] = (full[order] - least).astype(np.uint32)
+    of = np.searchsorted(np.cumsum(size), run, side="right")
+    cut = np.searchsorted(of, np.arange(len(size) + 1))
+    out = [C.pack(full[a:z].astype("<u4"), np.ascontiguousarray(less[:, a:z]).reshape(-1)) for a, z in zip(cut[:-1], cut[1:])]
+    return pa.table({"slice": np.concatenate(number), "block": pa.array([block] * len(out), pa.int32()), "ranks": pa.array(out, pa.binary())})
+
+
+def sort_block(blobs: list[bytes], shifts: Shifts, nb: int) -> pa.Table:
+    """Candidates of a block, with the ranks of their sample suffixes -> which are repeats, and which the first of theirs."""
+    v, slots = shifts.v, shifts.ahead.shape[1]
+    number, c, residue, doc, pos, last, last_pos, symbol, rank, less = C.gather(blobs, "<i8", "<u4", "u1", "<i8", "<u4", "<i8", "<u4", "<u8", "<u4", "<u4")
+    block = int(block_of(symbol[0][:1], nb)[0])
+    count = [int(x.sum()) for x in c]
+    less = np.concatenate([x.reshape(slots, -1) for x in less], axis=1)
+    c, residue, doc, pos, last, last_pos, symbol, rank = (np.concatenate(x) for x in (c, residue, doc, pos, last, last_pos, symbol, rank))
+    c = c.astype(np.int64)
+    m = c + v - 1
+    base = np.cumsum(m) - m
+    at = spread(base, c)
+    step = at - np.repeat(base, c)
+    group = Doubling(symbol, m).ranks(v)[at]
+    own = np.repeat(residue, c)
+    own = (own + step) % v
+    flat = np.zeros(len(symbol), np.int64)
+    flat[shifts.flag[(np.repeat(residue, m) + np.arange(len(symbol)) - np.repeat(base, m)) % v]] = rank
+    ranks = flat[at[:, None] + shifts.ahead[own]] - less.T
+    order, same = sort_ties(group, own, ranks, shifts)
+    _, who = np.unique(np.concatenate([doc, last]), return_inverse=True)
+    place = [(np.repeat(w, c).astype(np.uint64) << np.uint64(32)) | (np.repeat(p, c) + step).astype(np.uint64) for w, p in ((who[: len(doc)], pos), (who[len(doc) :], last_pos))]
+    begin = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]]))
+    many = np.diff(np.append(begin, len(order)))
+    least, most = np.minimum.reduceat(place[0][order], begin), np.maximum.reduceat(place[1][order], begin)
+    again, first = np.empty(len(order), bool), np.empty(len(order), bool)
+    again[order] = np.repeat(least != most, many)
+    first[order] = place[0][order] == np.repeat(least, many)
+    parts = [[np.packbits(x).tobytes() for x in np.split(y, np.cumsum(count)[:-1])] for y in (again, first)]
+    return pa.table({"slice": np.concatenate(number), "block": pa.array([block] * len(count), pa.int32()), "again": pa.array(parts[0], pa.binary()), "first": pa.array(parts[1], pa.binary())})
