@@ -1,56 +1,62 @@
 """Operator 10: exact Jaccard self-join of n-gram sets, as a metric-space join.
 
-Jaccard distance d = 1 - J is a metric; the join finds all pairs with
-J >= ``threshold`` (d <= r). Unrelated documents all lie at distance 1 from each
-other, so pivots drawn from the corpus would tell nothing apart. The pivots
-here are found where documents meet, in four steps:
-
-1. The grams of a document in hash order make links gram -> next gram, as many
-   as grams (the last one leads to an end mark). Where two sets disagree on what
-   follows a common gram, the lesser follower is in one set only, and it follows
-   one gram only; so |x & y| grams in common mean |x & y| - |x ^ y| links in
-   common at least, which is (2t - 1) max(|x|, |y|) for a pair within r. A link
-   holds two distant trigrams of a text and is rarely shared by chance, which
-   single trigrams of frequent words often are, the more so the larger the corpus.
-   Every document sends its prefix, the |x| - ceil((2t - 1)|x|) + l(x) links of
-   smallest hash, l(x) = ceil(slack |x|), to cells keyed by link. A pair within
-   r shares at least min(l(x), l(y)) prefix links. The document of least
-   priority in a cell is the pivot of the cell; each member is tied to it.
-2. A document whose prefix shares too few links with anybody has no partner and
-   goes. Of the others' ties to pivots the weakest go, as long as the shared
-   links lost are fewer than half of what a pair is sure to share: every pair
-   within r keeps a pivot that both are tied to. A document tied to several
-   pivots is copied into all these regions.
-3. Members' gram sets are fetched; equal sets collapse to one representative.
-4. Each region is joined exactly, unless all its members also are in the region
-   of a lesser pivot. A region over ``LEAF`` sets is divided anew: pivots among its
-   members, each set to its nearest (a Voronoi cell), and by the triangle
-   inequality copied as a guest to every cell it can have a partner in, d(y, p) <=
-   R(p) + r with R(p) the cell's radius. A cell joins its own sets recursively, and
-   its own with the guests whose home is a later cell, so that a pair is met once;
-   cells that stop shrinking compare all sets in blocks of bounded memory.
-
-No step drops a pair. Grams are 48-bit hashes; equality of sets and the value of
-J hold up to collisions of these (about 1e-9 for a pair of 500-gram documents).
+Jaccard distance d = 1 - J is a metric; documents within r = 1 - ``threshold`` are
+linked. Unrelated documents all lie at distance 1 from each other, so pivots drawn
+from the corpus at large tell nothing apart. The first pivots are found where
+documents meet, the later ones are drawn from the region that they divide:
+
+1. Equal gram sets are one set from the start, by a fingerprint of all grams.
+2. The grams of a set in hash order make links gram -> next gram, as many as grams
+   (the last one leads to an end mark). Where two sets disagree on what follows a
+   common gram, the lesser follower is in one set only, and it follows one gram only;
+   so |x & y| grams in common mean |x & y| - |x ^ y| links in common at least, which
+   is (2t - 1) max(|x|, |y|) for a pair within r. A link holds two distant trigrams
+   of a text and is rarely shared by chance, which single trigrams of frequent words
+   often are, the more so the larger the corpus. Every set sends its prefix, the
+   |x| - ceil((2t - 1)|x|) + l(x) links of smallest hash, l(x) = ceil(slack |x|), to
+   cells keyed by link. A pair within r shares at least min(l(x), l(y)) prefix links.
+   The set of least priority in a cell is the pivot of the cell; members are tied to it.
+3. A set whose prefix shares too few links with anybody has no partner and goes. Of
+   the others' ties the weakest go, as long as the shared links lost are fewer than
+   half of what a pair is sure to share: every pair within r keeps a pivot that both
+   are tied to. A set is copied into the regions of all its pivots.
+4. A region over ``BIG`` sets or bytes is divided by a shuffle, again and again: pivots
+   are drawn from its own sets, each set goes to the nearest (a Voronoi cell), and is
+   copied as a guest to every earlier cell in which it can have a partner by the
+   triangle inequality, d(y, p) <= R(p) + r with R(p) the radius of the cell. What pivots
+   can't divide is cut into pairs of blocks. A region that fits one task is divided in
+   the same way there, down to ``LEAF`` sets. Own sets meet each other and the guests, so
+   a pair of a region is met once.
+5. Of the regions that a pair shares, the one of the least pivot counts it. No pairs are
+   written: a region returns for each set how many documents it is linked to, and a tree
+   of links that holds its linked sets together. Trees are joined to classes.
+
+No step drops a pair. Grams are 48-bit hashes and sets are known by 64 bits; links and
+the value of J hold up to collisions of these (about 1e-9 for a pair of 500-gram documents).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.llm import common as C
+from mergeloom.llm import substring as S
 from mergeloom.llm.tokens import Words, slices
 
-LEAF = 128
+#: Sets that are joined without further pivots, sets compared at once, pivots of a division.
+LEAF, BLOCK, PIVOTS = 16, 128, 16
+#: Sets and bytes of a region in one task, and rounds of division by shuffle before the rest is cut into blocks.
+BIG, BIG_BYTES, ROUNDS = 4096, 64 << 20, 4
 EPS = 1e-9
 GRAM = np.uint64((1 << 48) - 1)
-Found = tuple[np.ndarray, np.ndarray, np.ndarray]
-SETS = "doc_id long, n int, fp long, grams binary"
+FOUND = "fp long, n int, doc_ids array<long>, grams binary"
+WORK = ["region", "fp", "own", "self", "lesser", "weight", "grams"]
+LINKED = "fp long, root long, links long"
 
 
 def gram_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,72 +86,92 @@ def prefix_links(key: np.ndarray, size: np.ndarray, t: float, slack: float) -> t
     return link[take] & GRAM, row[take]
 
 
-def near_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: float = 0.1) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs of distinct gram sets with J >= threshold.
+def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: float = 0.1) -> DataFrame:
+    """(doc_id, class_id, n_links): every document that has another one with J >= threshold.
 
-    Documents with one and the same set are given as pairs (least doc_id of the
-    set, other doc_id, 1.0); in pairs of different sets, each set is named by its
-    least doc_id. So every document with a partner is in the result, and groups
-    of thousands of copies take thousands of rows, not millions.
+    ``n_links`` is the number of these others, copies with the same gram set
+    included; ``class_id`` is the least doc_id of all documents that a chain of links
+    leads to, that of the document itself among them.
 
     Defined cases: a null or wordless text has no grams and no partner; a text of
-    1 to n-1 words is one gram; rows with null doc_id are left out; rows that
-    share a doc_id are each compared with all others, never with one another, and
-    a pair found twice has the higher J.
-    Other columns are not read. No rows give no rows.
+    1 to n-1 words is one gram; a very long text is one set like others (regions are
+    bounded by bytes); rows with null doc_id are left out; equal rows are one
+    document; rows that share a doc_id but not the gram set are compared like others and
+    reported as one, with the least class and the most links of theirs. ``doc_id`` is
+    a whole number, others are an error. Other columns are not read. No rows give no rows.
     """
     if not 0 < slack < 2 * threshold - 1 <= 1:
         raise ValueError("0 < slack < 2 threshold - 1 <= 1 must hold")
     spark = docs.sparkSession
     C.bounded_batches(spark)
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    nb = C.bucket_count(docs)
+    texts = S.texts_of(docs)
+    nb = C.bucket_count(texts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             key, size = gram_sets(Words(b.column(1)), n)
             if not len(key):
                 continue
+            fp = _set_hash(key, np.concatenate([[0], np.cumsum(size)]))
             link, row = prefix_links(key, size, threshold, slack)
-            yield C.blob_batch([(k, _cells_blob(link[i], row[i], ids, size)) for k, i in C.split_by(C.bucket_of(link, nb))])
+            one = np.zeros(len(fp), bool)
+            one[np.unique(fp, return_index=True)[1]] = True
+            link, row = link[one[row]], row[one[row]]
+            yield C.blob_batch([(k, _cells_blob(link[i], row[i], fp, size)) for k, i in C.split_by(C.bucket_of(link, nb))])
 
     cells = C.exchange(texts.mapInArrow(send, C.BLOB), lambda blobs: _link(blobs, nb), C.BLOB)
-    edges = C.exchange(cells, lambda blobs: _choose(blobs, threshold, slack), "doc_id long, pivot long")
-    edges = C.stored(edges)
-    shared = edges.groupBy("pivot").agg(F.countDistinct("doc_id").alias("members")).where("members > 1")
-    edges = C.stored(edges.join(shared, "pivot", "left_semi"))
-    members = C.stored(edges.select("doc_id").distinct())
+    ties = C.stored(C.exchange(cells, lambda blobs: _choose(blobs, threshold, slack), "fp long, pivot long"))
+    shared = ties.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1").select("pivot")
+    ties = C.stored(ties.join(shared, "pivot", "left_semi"))
+    known = C.ids_of(C.stored(ties.select("fp").distinct()))
+    members = spark.sparkContext.broadcast(known)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             key, size = gram_sets(Words(b.column(1)), n)
             cut = np.concatenate([[0], np.cumsum(size)])
-            grams = [(key[a:z] & GRAM).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for a, z in zip(cut[:-1], cut[1:])]
-            fp = _set_hash(key, cut)
+            fp, ids = _set_hash(key, cut).view(np.int64), b.column(0).to_numpy()
+            rows = np.flatnonzero(size)
+            rows = rows[np.argsort(fp[rows], kind="stable")]
+            first = np.flatnonzero(np.concatenate([[True], fp[rows][1:] != fp[rows][:-1]])) if len(rows) else rows
+            one, ends = rows[first], np.append(first, len(rows)).astype(np.int32)
+            wanted = np.ones(len(one), bool) if members.value is None else C.among(fp[one], members.value)
+            grams = [_packed(key[cut[r] : cut[r + 1]]) if w else None for r, w in zip(one, wanted)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int32()), pa.array(fp.view(np.int64)), pa.array(grams, pa.binary())],
-                names=["doc_id", "n", "fp", "grams"],
+                [pa.array(fp[one]), pa.array(size[one], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[rows])), pa.array(grams, pa.binary())],
+                names=["fp", "n", "doc_ids", "grams"],
             )
 
-    found = C.stored(texts.join(C.small_side(members), "doc_id", "left_semi").mapInArrow(sets, SETS))
-    least = found.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"))
-    named = C.stored(found.select("doc_id", "fp", "n").distinct().join(least, ["fp", "n"]).select("doc_id", "rep"))
-    copies = named.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    reps = named.where("doc_id = rep").select("doc_id")
-    part = C.stored(edges.join(reps, "doc_id", "left_semi").distinct())
-    alone = part.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1")
-    part = part.join(alone, "pivot", "left_semi")
-    lists = part.groupBy("doc_id").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
-    member = C.stored(lists.select("doc_id", "pivots", F.explode("pivots").alias("pivot")))
+    found = C.stored(texts.mapInArrow(sets, FOUND))
+    named = C.stored(found.select("fp", F.explode("doc_ids").alias("doc_id")).distinct())
+    classes = C.stored(named.groupBy("fp").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least")))
+    grams = found.where("grams is not null").groupBy("fp").agg(F.first("grams").alias("grams"))
+    lists = ties.groupBy("fp").agg(F.collect_set("pivot").alias("pivots"))
+    tied = C.stored(lists.select("fp", F.explode("pivots").alias("region"), "pivots").select("fp", "region", F.filter("pivots", lambda p: p < F.col("region")).alias("lesser")))
     # a region is met elsewhere if all its members also are in the region of one lesser pivot
-    size = member.groupBy("pivot").agg(F.count("*").alias("members"))
-    lesser = member.select("pivot", F.explode(F.filter("pivots", lambda p: p < F.col("pivot"))).alias("q")).groupBy("pivot", "q").agg(F.count("*").alias("n"))
-    elsewhere = C.stored(lesser.join(size, "pivot").where("n = members").select("pivot").distinct())
-    place = member.select("doc_id", "pivot").join(C.small_side(elsewhere), "pivot", "left_anti")
-    regions = found.dropDuplicates(["doc_id", "fp", "n"]).join(place, "doc_id").select(F.pmod(F.xxhash64("pivot"), F.lit(nb)).cast("int").alias("bucket"), "pivot", "doc_id", "grams")
-    joined = regions.groupBy("bucket").applyInArrow(lambda t: _join_regions(t, threshold), "doc_a long, doc_b long, jaccard double")
-    return joined.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")).unionByName(copies)
+    size = tied.groupBy("region").agg(F.count("*").alias("members"))
+    also = tied.select("region", F.explode("lesser").alias("q")).groupBy("region", "q").agg(F.count("*").alias("members"))
+    elsewhere = C.stored(also.join(size, ["region", "members"]).select("region").distinct())
+    place = tied.join(C.small_side(elsewhere), "region", "left_anti").join(grams, "fp").join(classes.select("fp", "weight"), "fp")
+    work = C.stored(place.select("region", "fp", F.lit(True).alias("own"), F.lit(True).alias("self"), "lesser", "weight", "grams"))
+    for k in range(ROUNDS + 1):
+        large = C.stored(_sizes(work).where((F.col("sets") > BIG) | (F.col("bytes") > BIG_BYTES)))
+        if large.isEmpty():
+            break
+        rest = work.join(C.small_side(large.select("region")), "region", "left_anti")
+        work = C.stored(rest.unionByName(_divide(work.join(C.small_side(large), "region"), k, 1 - threshold)))
+    bucket = F.pmod(F.xxhash64("region"), F.lit(nb)).alias("bucket")
+    joined = C.stored(work.select(bucket, *WORK).groupBy("bucket").applyInArrow(lambda t: _join_regions(t, threshold), LINKED))
+    links = joined.groupBy("fp").agg(F.sum("links").alias("links"))
+    root = groups(joined.select(F.col("fp").alias("doc_a"), F.col("root").alias("doc_b"))).select(F.col("doc_id").alias("fp"), "root")
+    linked = C.stored(classes.join(links, "fp", "left").join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")).where("n_links > 0"))
+    named_class = linked.groupBy("root").agg(F.min("least").alias("class_id"))
+    each = C.stored(linked.join(named_class, "root").select("fp", "class_id", "n_links"))
+    return named.join(C.small_side(each), "fp").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    return (grams & GRAM).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def _set_hash(key: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -155,24 +181,27 @@ def _set_hash(key: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return C.mix(total[cut[1:]] - total[cut[:-1]])
 
 
-def _cells_blob(link: np.ndarray, row: np.ndarray, ids: np.ndarray, size: np.ndarray) -> bytes:
+def _cells_blob(link: np.ndarray, row: np.ndarray, fp: np.ndarray, size: np.ndarray) -> bytes:
     used, local = np.unique(row, return_inverse=True)
-    return C.pack(ids[used].astype("<i8"), size[used].astype("<u4"), (link << np.uint64(16)) | local.astype(np.uint64))
+    return C.pack(fp[used], size[used].astype("<u4"), (link << np.uint64(16)) | local.astype(np.uint64))
 
 
 def _link(blobs: list[bytes], nb: int) -> pa.Table:
-    """Cells of a bucket -> ties (document, pivot, shared links), packed by the document's bucket."""
-    ids, sizes, keys = C.gather(blobs, "<i8", "<u4", "<u8")
+    """Cells of a bucket -> ties (set, pivot, shared links), packed by the set's bucket."""
+    ids, sizes, keys = C.gather(blobs, "<u8", "<u4", "<u8")
     base = np.cumsum([0] + [len(x) for x in ids])
-    gram = np.concatenate([k >> np.uint64(16) for k in keys])
-    doc = np.concatenate([(k & np.uint64(0xFFFF)).astype(np.int64) + b for k, b in zip(keys, base)])
-    ids, sizes = np.concatenate(ids), np.concatenate(sizes)
-    order = np.argsort(gram, kind="stable")
-    gram, doc = gram[order], doc[order]
-    begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    many = np.diff(np.concatenate([begin, [len(gram)]]))
+    link = np.concatenate([k >> np.uint64(16) for k in keys])
+    which = np.concatenate([(k & np.uint64(0xFFFF)).astype(np.int64) + b for k, b in zip(keys, base)])
+    ids, at, number = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
+    sizes, doc = np.concatenate(sizes)[at], number[which]
+    order = np.lexsort((doc, link))
+    link, doc = link[order], doc[order]
+    new = np.concatenate([[True], (link[1:] != link[:-1]) | (doc[1:] != doc[:-1])])  # equal sets of several tasks
+    link, doc = link[new], doc[new]
+    begin = np.flatnonzero(np.concatenate([[True], link[1:] != link[:-1]]))
+    many = np.diff(np.concatenate([begin, [len(link)]]))
     priority = np.empty(len(ids), np.int64)
-    by = np.lexsort((ids, C.mix(ids.view(np.uint64))))
+    by = np.lexsort((ids, C.mix(ids)))
     priority[by] = np.arange(len(ids))
     pivot = by[np.minimum.reduceat(priority[doc], begin)]
     in_cell = np.repeat(many > 1, many)
@@ -180,21 +209,19 @@ def _link(blobs: list[bytes], nb: int) -> pa.Table:
     pair, shared = np.unique((doc.astype(np.uint64) << np.uint64(32)) | pivot.astype(np.uint64), return_counts=True)
     doc, pivot = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
     rows = []
-    for k, i in C.split_by(C.bucket_of(ids[doc].view(np.uint64), nb)):
-        rows.append((k, C.pack(ids[doc[i]].astype("<i8"), sizes[doc[i]].astype("<u4"), ids[pivot[i]].astype("<i8"), shared[i].astype("<u4"))))
+    for k, i in C.split_by(C.bucket_of(ids[doc], nb)):
+        rows.append((k, C.pack(ids[doc[i]], sizes[doc[i]], ids[pivot[i]], shared[i].astype("<u4"))))
     return pa.Table.from_batches([C.blob_batch(rows)])
 
 
 def _choose(blobs: list[bytes], t: float, slack: float) -> pa.Table:
-    """Ties of whole documents -> those that must stay."""
+    """Ties of whole sets -> those that must stay."""
     doc, size, pivot, shared = (np.concatenate(x) for x in C.gather(blobs, "<i8", "<u4", "<i8", "<u4"))
-    order = np.lexsort((pivot, size, doc))
+    order = np.lexsort((pivot, doc))
     doc, size, pivot, shared = doc[order], size[order].astype(np.int64), pivot[order], shared[order].astype(np.int64)
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (size[1:] != size[:-1]) | (pivot[1:] != pivot[:-1])])
-    begin = np.flatnonzero(new)
+    begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pivot[1:] != pivot[:-1])]))
     doc, size, pivot, shared = doc[begin], size[begin], pivot[begin], np.add.reduceat(shared, begin)
-    # rows that share a doc_id and a size are one here: their counts add, which only keeps more
-    begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (size[1:] != size[:-1])]))
+    begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     many = np.diff(np.concatenate([begin, [len(doc)]]))
     group = np.repeat(np.arange(len(begin)), many)
     least = np.ceil(slack * size - EPS)
@@ -205,26 +232,160 @@ def _choose(blobs: list[bytes], t: float, slack: float) -> pa.Table:
     keep = np.empty(len(doc), bool)
     keep[by] = lost > may_lose[by]
     keep &= enough
-    return pa.table({"doc_id": doc[keep], "pivot": pivot[keep]})
+    return pa.table({"fp": doc[keep], "pivot": pivot[keep]})
+
+
+# --- dividing regions by a shuffle ------------------------------------------
+
+
+def _sizes(work: DataFrame) -> DataFrame:
+    return work.groupBy("region").agg(F.count("*").alias("sets"), F.sum(F.col("own").cast("int")).alias("owners"), F.sum(F.octet_length("grams")).alias("bytes"))
+
+
+def _parts(of: int) -> Column:
+    """Into how many parts the sets of a large region are salted."""
+    return F.greatest(F.ceil(F.col("sets") / F.lit(of)), F.ceil(F.col("bytes") / F.lit(BIG_BYTES))).cast("int")
+
+
+def _divide(large: DataFrame, k: int, r: float) -> DataFrame:
+    """Rows of large regions (with their sizes) -> rows of the Voronoi cells of pivots drawn from them.
+
+    In the last round, or where one cell would hold all, a region is cut into pairs of blocks.
+    """
+    large = large.withColumn("salt", F.pmod(F.xxhash64("fp"), _parts(BIG)).cast("int"))
+    drawn = F.pmod(F.xxhash64("fp", F.lit(k)), F.col("owners")) < PIVOTS
+    pivots = large.where(F.col("own") & F.col("self") & drawn & F.lit(k < ROUNDS)).select(F.col("region").alias("p_region"), F.explode(F.sequence(F.lit(0), _parts(BIG) - 1)).alias("p_salt"), F.col("fp").alias("pivot"), F.col("grams").alias("p_grams"))
+    shape = "region long, fp long, own boolean, self boolean, lesser array<long>, weight long, grams binary, sets long, owners long, bytes long, home int, d array<double>"
+    placed = C.stored(large.groupBy("region", "salt").cogroup(pivots.groupBy("p_region", "p_salt")).applyInArrow(_distances, shape))
+    cell = placed.where("own").groupBy("region", "home").agg(F.max(F.col("d")[F.col("home")]).alias("radius"), F.count("*").alias("held"), F.first("owners").alias("owners"))
+    cell = C.stored(cell.where("held < owners").select("region", F.col("home").alias("at"), "radius"))
+    whole = placed.join(C.small_side(cell.select("region").distinct()), "region", "left_anti")
+    each = placed.select("*", F.posexplode("d").alias("at", "distance"))
+    here = F.when(F.col("own"), F.col("at") <= F.col("home")).otherwise(True) & (F.col("distance") <= F.col("radius") + r + EPS)
+    cells = each.join(C.small_side(cell), ["region", "at"]).where(here)
+    cells = cells.select(F.xxhash64("region", "at", F.lit(k)).alias("region"), "fp", (F.col("own") & (F.col("at") == F.col("home"))).alias("own"), "self", "lesser", "weight", "grams")
+    # blocks a <= b: those of own sets with themselves and with later ones, and with all of guests
+    n, block = _parts(BIG // 2), F.col("block")
+    cut = whole.withColumn("block", F.pmod(F.xxhash64("fp", F.lit(-1)), n * 2).cast("int")).withColumn("blocks", n * 2)
+    own = cut.where("own").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    mine = own.where("self").select("*", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (block <= F.col("other")).alias("is_own"))
+    same = mine.select(F.xxhash64("region", "a", "b", F.lit(k)).alias("region"), "fp", F.col("is_own").alias("own"), (F.col("a") == F.col("b")).alias("self"), "lesser", "weight", "grams")
+    guests = cut.where("not own").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = own.select(F.xxhash64("region", "block", "other", F.lit(-k - 1)).alias("region"), "fp", "own", F.lit(False).alias("self"), "lesser", "weight", "grams")
+    met = met.unionByName(guests.select(F.xxhash64("region", "other", "block", F.lit(-k - 1)).alias("region"), "fp", "own", F.lit(False).alias("self"), "lesser", "weight", "grams"))
+    return cells.unionByName(same).unionByName(met)
+
+
+def _distances(t: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Rows of a part of a region with their distances to its pivots, and the number of the nearest."""
+    pivots = pivots.sort_by("pivot")
+    sets = [_grams(x) for x in t.column("grams").to_pylist()]
+    against = [_grams(x) for x in pivots.column("p_grams").to_pylist()]
+    d = _to_pivots(sets, against) if against else np.zeros((1, len(sets)))
+    home = np.argmin(d, axis=0).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * len(d)), pa.array(np.ascontiguousarray(d.T).reshape(-1)))
+    return t.drop_columns(["salt"]).append_column("home", pa.array(home)).append_column("d", lists)
 
 
 # --- joining one region ---------------------------------------------------
 
 
+def _to_pivots(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
+    """Jaccard distances, a row for each pivot."""
+    m, size = len(sets), np.array([len(s) for s in sets])
+    d, step = np.empty((len(pivots), m)), 1024
+    for a in range(0, m, step):  # few at a time, so that memory stays bounded
+        row, flat = np.repeat(np.arange(len(sets[a : a + step])), size[a : a + step]), np.concatenate(sets[a : a + step])
+        for k, p in enumerate(pivots):
+            both = np.bincount(row, weights=C.among(flat, p), minlength=len(sets[a : a + step]))
+            d[k, a : a + step] = 1 - both / (size[a : a + step] + len(p) - both)
+    return d
+
+
+class Region:
+    """Sets of a region, the links found between them, and the trees that these make."""
+
+    def __init__(self, sets: list[np.ndarray], lesser: list[np.ndarray], weight: np.ndarray, t: float):
+        self.sets, self.lesser, self.weight, self.t = sets, lesser, weight, t
+        self.links, self.root = np.zeros(len(sets), np.int64), np.arange(len(sets))
+        self.divided = 0
+
+    def join(self, own: np.ndarray, guests: np.ndarray, depth: int = 0) -> None:
+        """All pairs of ``own``, and of ``own`` with ``guests``."""
+        if not len(own):
+            return
+        if len(own) + len(guests) <= LEAF or len(own) == 1 or depth > 20:
+            self.blocks(own, own)
+            return self.blocks(own, guests)
+        pick = own[np.unique(np.linspace(0, len(own) - 1, min(PIVOTS, 2 + len(own) // LEAF)).astype(int))]
+        both = np.concatenate([own, guests])
+        d = _to_pivots([self.sets[i] for i in both], [self.sets[i] for i in pick])
+        home = np.argmin(d, axis=0)
+        home[len(own) :] = len(pick)  # a guest comes after all cells
+        cells = []
+        for k in range(len(pick)):
+            c = np.flatnonzero(home == k)
+            if len(c):
+                cells.append((c, np.flatnonzero((home > k) & (d[k] <= d[k][c].max() + (1 - self.t) + EPS))))
+        left = sum(len(c) * (len(c) / 2 + len(near)) for c, near in cells)
+        if left > 0.7 * len(own) * (len(own) / 2 + len(guests)):  # the pivots hardly divide this region
+            self.blocks(own, own)
+            return self.blocks(own, guests)
+        self.divided += 1
+        for c, near in cells:
+            self.join(both[c], both[near], depth + 1)
+
+    def blocks(self, a: np.ndarray, b: np.ndarray) -> None:
+        """``a`` against ``b``, or its own pairs if they are the same, a block at a time."""
+        same = a is b
+        for i in range(0, len(a), BLOCK):
+            x = a[i : i + BLOCK]
+            if same:
+                self.leaf(x, x)
+            for j in range(i + BLOCK if same else 0, len(b), BLOCK):
+                self.leaf(x, b[j : j + BLOCK])
+
+    def leaf(self, a: np.ndarray, b: np.ndarray) -> None:
+        both = _common(self.sets, a, b)
+        size = np.array([len(self.sets[i]) for i in a])[:, None] + np.array([len(self.sets[i]) for i in b])
+        ok = both / (size - both) >= self.t
+        if a is b:
+            ok = np.triu(ok, 1)
+        if ok.any():
+            ok &= _common(self.lesser, a, b) == 0  # met in the region of a lesser pivot
+        i, j = np.nonzero(ok)
+        i, j = a[i], b[j]
+        np.add.at(self.links, i, self.weight[j])
+        np.add.at(self.links, j, self.weight[i])
+        while len(i):
+            low = np.minimum(self.root[i], self.root[j])
+            if (self.root[i] == low).all() and (self.root[j] == low).all():
+                break
+            for end in (i, j):
+                np.minimum.at(self.root, self.root[end], low)
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+
 def _join_regions(t: pa.Table, threshold: float) -> pa.Table:
-    t = t.sort_by("pivot")
-    pivot = t.column("pivot").to_numpy()
-    ids = t.column("doc_id").to_numpy()
-    raw = t.column("grams")
-    out: list[Found] = []
-    cut = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1], [True]]))
+    t = t.sort_by("region")
+    region, fp, own, alone, weight = (t.column(c).to_numpy() for c in ("region", "fp", "own", "self", "weight"))
+    cut = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
+    out = []
     for a, z in zip(cut[:-1], cut[1:]):
-        if z - a > 1:
-            out += _region(ids[a:z], [_grams(x) for x in raw.slice(a, z - a).to_pylist()], threshold, 0)
-    if not out:
-        return pa.table({"doc_a": pa.array([], pa.int64()), "doc_b": pa.array([], pa.int64()), "jaccard": pa.array([], pa.float64())})
-    x, y, j = (np.concatenate(c) for c in zip(*out))
-    return pa.table({"doc_a": np.minimum(x, y), "doc_b": np.maximum(x, y), "jaccard": j})
+        mine = np.flatnonzero(own[a:z])
+        if z - a < 2 or not len(mine):
+            continue
+        part = t.slice(a, z - a)
+        found = Region([_grams(x) for x in part.column("grams").to_pylist()], [np.sort(np.array(x, np.int64)) for x in part.column("lesser").to_pylist()], weight[a:z], threshold)
+        if alone[a:z][mine].all():
+            found.join(mine, np.flatnonzero(~own[a:z]))
+        else:
+            found.blocks(mine, np.flatnonzero(~own[a:z]))
+        got = np.flatnonzero(found.links)
+        out.append((fp[a:z][got], fp[a:z][found.root[got]], found.links[got]))
+    x, y, n = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    return pa.table({"fp": x, "root": y, "links": n})
 
 
 def _grams(raw: bytes) -> np.ndarray:
@@ -233,55 +394,15 @@ def _grams(raw: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
-def _region(ids: np.ndarray, sets: list[np.ndarray], t: float, depth: int) -> list[Found]:
-    """All pairs of a region's sets with J >= t."""
-    m = len(ids)
-    if m <= LEAF or depth > 20:
-        return _blocks(ids, sets, np.arange(m), None, t)
-    size = np.array([len(s) for s in sets])
-    row, flat = np.repeat(np.arange(m), size), np.concatenate(sets)
-    pick = np.unique(np.linspace(0, m - 1, min(16, 2 + m // LEAF)).astype(int))
-    d = np.empty((len(pick), m))
-    for k, p in enumerate(pick):
-        at = np.minimum(np.searchsorted(sets[p], flat), len(sets[p]) - 1)
-        both = np.bincount(row, weights=sets[p][at] == flat, minlength=m)
-        d[k] = 1 - both / (size + size[p] - both)
-    del row, flat
-    home = np.argmin(d, axis=0)
-    out = []
-    for k in range(len(pick)):
-        own = np.flatnonzero(home == k)
-        if not len(own):
-            continue
-        guests = np.flatnonzero((home > k) & (d[k] <= d[k][own].max() + (1 - t) + EPS))
-        if len(own) == m:  # the pivots don't divide this region
-            return _blocks(ids, sets, own, None, t)
-        out += _region(ids[own], [sets[i] for i in own], t, depth + 1)
-        out += _blocks(ids, sets, own, guests, t)
-    return out
-
-
-def _blocks(ids: np.ndarray, sets: list[np.ndarray], own: np.ndarray, guests: np.ndarray | None, t: float) -> list[Found]:
-    """``own`` against ``guests``, or against one another if there are none, a block at a time."""
-    out = []
-    for a in range(0, len(own), LEAF):
-        mine = own[a : a + LEAF]
-        if guests is None:
-            out += _leaf(ids, sets, mine, mine, t)
-        other = own[a + LEAF :] if guests is None else guests
-        for b in range(0, len(other), LEAF):
-            out += _leaf(ids, sets, mine, other[b : b + LEAF], t)
-    return out
-
-
-def _leaf(ids: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, t: float) -> list[Found]:
-    """All sets of ``a`` against all of ``b`` (each pair once if they are the same)."""
+def _common(lists: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values each of ``a`` shares with each of ``b``."""
     same = a is b
-    if same and len(a) < 2:
-        return []
     every = a if same else np.concatenate([a, b])
-    size = np.array([len(sets[i]) for i in every])
-    flat, row = np.concatenate([sets[i] for i in every]), np.repeat(np.arange(len(every)), size)
+    size = np.array([len(lists[i]) for i in every])
+    flat, row = np.concatenate([lists[i] for i in every]), np.repeat(np.arange(len(every)), size)
+    both = np.zeros((len(a), len(b)))
+    if not len(flat):
+        return both
     order = np.argsort(flat, kind="stable")
     flat, row = flat[order], row[order]
     new = np.concatenate([[True], flat[1:] != flat[:-1]])
@@ -289,20 +410,13 @@ def _leaf(ids: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray,
     shared = many > 1
     keep = np.repeat(shared, many)
     row, col = row[keep], np.repeat(np.cumsum(shared) - 1, many)[keep]
-    width, m = int(shared.sum()), len(a)
-    both = np.zeros((m, len(every) if same else len(b)), np.float32)
+    width = int(shared.sum())
     for c in range(0, width, 4096):  # bounded columns at a time
         i0, i1 = np.searchsorted(col, (c, c + 4096))
         x = np.zeros((len(every), min(4096, width - c)), np.float32)
         x[row[i0:i1], col[i0:i1] - c] = 1
-        both += x[:m] @ (x if same else x[m:]).T
-    i, j = np.triu_indices(m, 1) if same else (x.ravel() for x in np.indices(both.shape))
-    both = np.rint(both[i, j]).astype(np.float64)
-    j = j if same else j + m
-    jac = both / (size[i] + size[j] - both)
-    x, y = ids[every[i]], ids[every[j]]
-    ok = (jac >= t) & (x != y)
-    return [(x[ok], y[ok], jac[ok])] if ok.any() else []
+        both += x[: len(a)] @ (x if same else x[len(a) :]).T
+    return np.rint(both)
 
 
 # --- groups -----------------------------------------------------------------
@@ -334,10 +448,17 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without all but the least doc_id of each group of near copies.
+    """``docs`` without all but the least doc_id of each class of near copies.
 
-    A group is a connected component of ``near_pairs``. Rows that share a kept
-    doc_id stay as they are, as do rows with null doc_id or without words.
+    Of rows that repeat a doc_id with its text one stays. Rows that share a doc_id
+    but not the text are one document here: they stay or go together. Rows with null doc_id
+    stay, as do those without words; all columns stay.
     """
-    gone = C.stored(groups(near_pairs(docs, **how)).select(F.col("doc_id").alias("__gone")))
-    return docs.join(C.small_side(gone), docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = C.stored(near_classes(docs, **how).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")))
+    kept = docs.join(C.small_side(gone), docs["doc_id"] == gone["__gone"], "left_anti")
+    again = C.stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")))
+    if again.isEmpty():
+        return kept
+    many = C.small_side(again)
+    once = kept.join(many, F.col("doc_id") == F.col("__again"), "left_anti")
+    return once.unionByName(kept.join(many, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -13,7 +13,7 @@ WORDS = r"regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+')"
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_pairs(C.table(spark, sf_dir, "documents"))
+    return jaccard.near_classes(C.table(spark, sf_dir, "documents"))
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,15 +114,17 @@ from p where x < share""",
     "op5_suffix_array_dedup": _repeats("count(*) over (partition by h) > 1"),
     "op6_substring_dedup": _repeats("min(doc_id) over (partition by h) <> max(doc_id) over (partition by h)"),
     "op10_ngram_jaccard_join": f"""
-with w as (select doc_id, {WORDS} w from documents where doc_id is not null),
-s as (select doc_id, list_sort(list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')]
+with recursive w as (select doc_id, {WORDS} w from documents where doc_id is not null),
+s as (select distinct doc_id, list_sort(list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')]
         else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end)) g
       from w where len(w) > 0),
-m as (select g, min(doc_id) rep, len(g) n from s group by g),
-e as (select rep, n, unnest(g) q from m),
-p as (select a.rep doc_a, b.rep doc_b, count(*) / (a.n + b.n - count(*)) jaccard
-      from e a join e b on a.q = b.q and a.rep < b.rep group by a.rep, b.rep, a.n, b.n)
-select doc_a, doc_b, jaccard::double jaccard from p where jaccard >= 0.7
-union all
-select m.rep, s.doc_id, 1.0::double from s join m on s.g = m.g where s.doc_id <> m.rep""",
+m as (select g, min(doc_id) rep, count(*) copies, len(g) n from s group by g),
+e as (select rep, n, copies, unnest(g) q from m),
+p as (select a.rep a, b.rep b, b.copies from e a join e b on a.q = b.q and a.rep <> b.rep group by a.rep, b.rep, a.n, b.n, b.copies
+      having count(*) / (a.n + b.n - count(*)) >= 0.7),
+k as (select a, sum(copies) n from p group by a),
+c(rep, root) as (select rep, rep from m union select p.b, c.root from c join p on c.rep = p.a),
+r as (select rep, min(root) root from c group by rep)
+select doc_id, root class_id, (coalesce(k.n, 0) + copies - 1)::bigint n_links
+from s join m using (g) join r using (rep) left join k on k.a = rep where coalesce(k.n, 0) + copies > 1""",
 }
