@@ -31,7 +31,7 @@ def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = warc.reassemble(warc.page_records(C.table(spark, sf_dir, "pages")))
-    page = F.regexp_extract("record_id", "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
+    page = F.regexp_extract("record_id", "^<urn:page:(-?[0-9]+):", 1).cast("long")
     return done.select(page.alias("page_id"), "url", F.col("body").alias("html"), "status")
 
 
@@ -88,7 +88,8 @@ g as (select distinct k, array_to_string(w[j + 1 : j + k], ' ') g
 d as (select row_number() over () r, doc_id, text, {WORDS} w from documents),
 x as (select r, j, k, array_to_string(w[j + 1 : j + k], ' ') g
       from (select r, w, k, unnest(range(len(w) - k + 1)) j from d, (select distinct k from g) where len(w) >= k)),
-f as (select r, list(distinct p) p from (select r, unnest(range(j + 1, j + 1 + k)) p from x join g using (k, g)) group by r),
+f as (select r, list(distinct p) p from (select r, unnest(range(j + 1, j + 1 + k)) p from x join g using (k, g)
+      union all select r, unnest(range(1, len(w) + 1)) p from d where len(w) between 1 and 5 and w in (select w from i)) group by r),
 m as (select d.*, p, regexp_split_to_array(text, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') s,
         regexp_extract_all(text, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') o from d left join f using (r))
 select doc_id, case when p is null then text else array_to_string(list_transform(range(1, len(o) + 2), lambda q:

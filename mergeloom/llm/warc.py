@@ -11,19 +11,22 @@ transfer framing.
 
 from __future__ import annotations
 
+import io
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergeloom.llm import common as C
 
 SEGMENT_BYTES, CHUNK_BYTES = 2048, 700
-PARTS = "origin string, number int, total long, uri string, block binary, status string"
+PARTS = "origin string, number long, total long, uri string, block binary, status string"
 OUT = "record_id string, url string, body string, segments int, status string"
-_PARTS = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("uri", pa.string()), ("block", pa.binary()), ("status", pa.string())])
+_PARTS = pa.schema([("origin", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("uri", pa.string()), ("block", pa.binary()), ("status", pa.string())])
 _OUT = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("body", pa.string()), ("segments", pa.int32()), ("status", pa.string())])
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -73,6 +76,13 @@ def segmented(record_id: str, uri: str, block: bytes, size: int = SEGMENT_BYTES)
     return out
 
 
+def number(raw: str | bytes) -> int | None:
+    """A header's whole number; None if it isn't one or has more than 18 digits."""
+    text = raw.decode("latin-1") if isinstance(raw, bytes) else raw
+    text = text.strip()
+    return int(text) if text.isascii() and text.isdigit() and len(text) <= 18 else None
+
+
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Fields (names in lower case) and block of one record; ValueError if it isn't one."""
     head, sep, rest = raw.partition(b"\r\n\r\n")
@@ -82,36 +92,71 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         k, _, v = line.partition(":")
         fields[k.strip().lower()] = v.strip()
-    n = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else -1
-    if n < 0 or len(rest) < n:
+    n = number(fields.get("content-length", ""))
+    if n is None or len(rest) < n:
         raise ValueError("block cut short")
     return fields, rest[:n]
 
 
-def split(data: bytes) -> Iterator[bytes]:
-    """Records of a file, plain or with gzip members."""
-    if data[:2] == b"\x1f\x8b":
-        out, rest = [], data
-        while rest:
-            d = zlib.decompressobj(31)
-            out.append(d.decompress(rest))
-            rest = d.unused_data
-        data = b"".join(out)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            yield data[at:]
+def inflated(file: BinaryIO, step: int = 4 << 20) -> Iterator[bytes]:
+    """The bytes of a file, plain or in gzip members, piece by piece; broken members end it."""
+    data = file.read(step)
+    if data[:2] != b"\x1f\x8b":
+        while data:
+            yield data
+            data = file.read(step)
+        return
+    d = zlib.decompressobj(31)
+    while data:
+        try:
+            out = d.decompress(data, step)
+        except zlib.error:
             return
+        if out:
+            yield out
+        data = d.unconsumed_tail
+        if d.eof:
+            data, d = d.unused_data, zlib.decompressobj(31)
+        data = data or file.read(step)
+
+
+def split(source: bytes | BinaryIO) -> Iterator[bytes]:
+    """Records of a file; no more than one of them and a few MB are in memory."""
+    pieces, held, at = inflated(io.BytesIO(source) if isinstance(source, bytes) else source), bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        del held[:at]
+        at = 0
+        held.extend(piece)
+        return True
+
+    while True:
+        while held[at : at + 2] == b"\r\n":
+            at += 2
+        seen = at
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            back = max(0, len(held) - at - 3)
+            if not more():
+                if len(held) > at:
+                    yield bytes(held[at:])
+                return
+            seen = at + back
+            while held[at : at + 2] == b"\r\n":
+                at += 2
+                seen = max(seen, at)
         n = 0
-        for line in data[at:end].split(b"\r\n"):
+        for line in bytes(held[at:end]).split(b"\r\n"):
             if line.lower().startswith(b"content-length:"):
-                n = int(line.split(b":")[1]) if line.split(b":")[1].strip().isdigit() else 0
-        stop = end + 4 + n
-        yield data[at:stop]
-        at = stop
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+                n = number(line.split(b":", 1)[1]) or 0
+        size = end + 4 - at + n
+        while len(held) - at < size and more():
+            pass
+        yield bytes(held[at : at + size])
+        at = min(len(held), at + size)
 
 
 def payload(block: bytes) -> tuple[str, str]:
@@ -131,35 +176,53 @@ def payload(block: bytes) -> tuple[str, str]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(record): each record of the WARC files under ``path``, as bytes."""
+    """(record): each record of the WARC files under ``path``, as bytes.
+
+    A task reads a file from any file system that pyarrow knows, as a stream, so its
+    size does not matter. No files give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(list(split(data)), pa.binary())], names=["record"])
+            for name in b.column(0).to_pylist():
+                system, at = pyarrow.fs.FileSystem.from_uri(name)
+                held, size = [], 0
+                with system.open_input_stream(at, compression=None) as file:
+                    for r in split(file):
+                        held.append(r)
+                        size += len(r)
+                        if size > 8 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["record"])
+                            held, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["record"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "record binary")
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, "record binary")
 
 
 def page_records(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(record): pages as segmented responses in chunked framing; a null html is an empty body, a null url an empty one."""
+    """(record): pages as segmented responses in chunked framing; a null html is an empty body, a null url an empty one.
+
+    The record id has the page_id and a number of the row, so that rows which share a
+    page_id, equal or not, short or long, are records of their own. Rows with null page_id are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, url, html in zip(*(c.to_pylist() for c in b.columns)):
-                out += segmented(f"<urn:page:{i}>", url or "", HTTP + chunked((html or "").encode(), chunk_bytes), segment_bytes)
+            for i, row, url, html in zip(*(c.to_pylist() for c in b.columns)):
+                out += segmented(f"<urn:page:{i}:{row}>", url or "", HTTP + chunked((html or "").encode(), chunk_bytes), segment_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     C.bounded_batches(pages.sparkSession)
-    return pages.where("page_id is not null").select("page_id", "url", "html").mapInArrow(run, "record binary")
+    return pages.where("page_id is not null").select("page_id", F.monotonically_increasing_id(), "url", "html").mapInArrow(run, "record binary")
 
 
 def reassemble(records: DataFrame) -> DataFrame:
     """(record_id, url, body, segments, status): one row for each record of the column ``record``.
 
     Status is ``ok`` or what is wrong, with an empty body: ``not a record`` (also
-    for a null; its record_id is null), ``missing segment`` (numbers are not 1 to n,
+    for a null; its record_id is null), ``bad header`` (a segment number or total length
+    that is no whole number of at most 18 digits), ``missing segment`` (numbers are not 1 to n,
     or no last segment gives the length), ``wrong length``, ``conflicting segments``
     (a number twice with unequal blocks; equal repeats count once), ``bad chunked
     framing``. Other columns are not read. No rows give no rows.
@@ -175,9 +238,11 @@ def reassemble(records: DataFrame) -> DataFrame:
                 except ValueError:
                     rows.append((None, None, None, None, b"", "not a record"))
                     continue
-                number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length", "")
                 origin = f.get("warc-segment-origin-id") or f.get("warc-record-id")
-                rows.append((origin, int(number) if number and number.isdigit() else None, int(total) if total.isdigit() else None, f.get("warc-target-uri"), block, "ok"))
+                stated = [f.get("warc-segment-number"), f.get("warc-segment-total-length")]
+                k, total = (None if x is None else number(x) for x in stated)
+                good = (k is None) == (stated[0] is None) and (total is None) == (stated[1] is None)
+                rows.append((origin, k if good else None, total, f.get("warc-target-uri"), block if good else b"", "ok" if good else "bad header"))
             yield pa.RecordBatch.from_pylist([dict(zip(_PARTS.names, r)) for r in rows], _PARTS)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +282,7 @@ def _join(parts: list[dict]) -> dict:
     body, block = "", b"".join(blocks[k] for k in sorted(blocks))
     if conflict or len(totals) > 1:
         status = "conflicting segments"
-    elif sorted(blocks) != list(range(1, len(blocks) + 1)) or not totals:
+    elif min(blocks) != 1 or max(blocks) != len(blocks) or not totals:
         status = "missing segment"
     elif len(block) not in totals:
         status = "wrong length"
