@@ -10,10 +10,12 @@ of all such matches.
 
 Only words that can lie in such a match are walked: each run of words whose
 ``least k``-grams all occur in the items (looked up by hash, in numpy), which
-contains every match over the limits whole. Matching is map-only; the automaton is
-broadcast and grows with the benchmark, not with the corpus. A benchmark of more
-than ``SHARD_WORDS`` words is split into several automata that mark one after
-another.
+contains every match over the limits whole. Matching is map-only. An automaton is
+broadcast; one of more than ``SHARD_WORDS`` words is never built: the benchmark is then
+taken a shard at a time, each marking all documents and making room for the next.
+
+An item of fewer than ``least`` words can't be told from chance inside a text; it is a
+leak where it is all of a document.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from mergeloom.llm import common as C
 from mergeloom.llm.tokens import Words, slices, window_hash
 
-SHARD_WORDS = 2_000_000
+#: Words of test items in one automaton, some 150 MB.
+SHARD_WORDS = 200_000
 WORDS, COVERAGE, LEAST = 12, 0.6, 6
 
 
@@ -105,23 +108,31 @@ class Automaton:
 
 
 class Leaks:
-    """An automaton with the hashes that find where to use it."""
+    """An automaton with the hashes that find where to use it, and short items."""
 
-    def __init__(self, items: list[list[int]], limits: list[int]):
+    def __init__(self, items: list[list[int]], limits: list[int], short: list[list[int]] | None = None):
         self.automaton = Automaton(items, limits)
-        self.k = min(limits)
+        self.k = min(limits, default=1)
         grams = [window_hash(np.array(i, np.uint64), self.k) for i in items]
-        self.grams = np.unique(np.concatenate(grams))
+        self.grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.grams >> np.uint64(44)).astype(np.int64)] = True
+        self.short = {tuple(i) for i in short or ()}
+        self.sizes = {len(i) for i in self.short}
 
     def find(self, words: Words) -> np.ndarray:
         """A flag for each word of a slice."""
         out = np.zeros(len(words.hash), bool)
+        for n in self.sizes:
+            for r in np.flatnonzero(words.count == n):
+                a = words.first[r]
+                out[a : a + n] = tuple(words.hash[a : a + n].tolist()) in self.short
+        if not len(self.grams):
+            return out
         h, at = words.grams(self.k)
         near = self.maybe[(h >> np.uint64(44)).astype(np.int64)]
         h, at = h[near], at[near]
-        at = at[self.grams[np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)] == h]
+        at = at[C.among(h, self.grams)]
         if len(at):
             # consecutive hits of one row make one run of words
             cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(words.doc[at]) > 0)]))
@@ -135,21 +146,56 @@ def _limits(n: int, words: int, coverage: float, least: int) -> int:
     return max(least, min(words, math.ceil(coverage * n - 1e-9)))
 
 
-def leaks_of(benchmark: DataFrame, words: int, coverage: float, least: int) -> list[Leaks]:
-    """The benchmark, a table of test items, as automata; items under ``least`` words can't be told and are left out."""
-    shards, items, limits, size = [], [], [], 0
+def leaks_of(benchmark: DataFrame, words: int, coverage: float, least: int) -> Iterator[Leaks]:
+    """The benchmark, a table of test items, as automata of bounded size, one after another."""
+    items, limits, short, size = [], [], [], 0
     for batch in benchmark.select("text").toLocalIterator():
         found = Words(pa.array([batch.text], pa.string())).hash.tolist()
         k = _limits(len(found), words, coverage, least)
         if len(found) < k:
-            continue
-        items.append(found)
-        limits.append(k)
+            if found:
+                short.append(found)
+        else:
+            items.append(found)
+            limits.append(k)
         size += len(found)
         if size >= SHARD_WORDS:
-            shards.append(Leaks(items, limits))
-            items, limits, size = [], [], 0
-    return shards + ([Leaks(items, limits)] if items else [])
+            yield Leaks(items, limits, short)
+            items, limits, short, size = [], [], [], 0
+    if items or short:
+        yield Leaks(items, limits, short)
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, words: int, coverage: float, least: int) -> tuple[DataFrame, object]:
+    """``docs`` (text and other columns) with a binary column ``marks`` of the leaks in all shards but the last, and the last, broadcast."""
+    context, last = docs.sparkSession.sparkContext, None
+    docs = docs.withColumn("marks", F.lit(None).cast("binary"))
+    for leaks in leaks_of(benchmark, words, coverage, least):
+        if last is not None:
+            docs = C.stored(docs.mapInArrow(_mark(last), docs.schema))
+            last.destroy()
+        last = context.broadcast(leaks)
+    return docs, last
+
+
+def _flags(b: pa.RecordBatch, w: Words, leaks: Leaks | None) -> np.ndarray:
+    """Words of a slice that leak by the marks it has or by these items."""
+    flag = leaks.find(w) if leaks is not None else np.zeros(len(w.hash), bool)
+    for r, raw in enumerate(b.column(b.schema.get_field_index("marks")).to_pylist()):
+        if raw:
+            flag[w.first[r] : w.first[r + 1]] |= np.unpackbits(np.frombuffer(raw, np.uint8), count=int(w.count[r])).astype(bool)
+    return flag
+
+
+def _mark(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            w = Words(b.column(b.schema.get_field_index("text")))
+            flag = _flags(b, w, sent.value)
+            marks = [np.packbits(flag[a:z]).tobytes() if flag[a:z].any() else None for a, z in zip(w.first[:-1], w.first[1:])]
+            yield b.set_column(b.schema.get_field_index("marks"), "marks", pa.array(marks, pa.binary()))
+
+    return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, coverage: float = COVERAGE, least: int = LEAST) -> DataFrame:
@@ -158,26 +204,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cov
     A span is cut from the first byte of its first word to the last byte of its last
     word; adjoining spans are one. ``n_words`` counts the words before. Rows keep
     their null doc_id and repeated rows stay repeated; a null text stays null and an
-    empty one empty, with 0 words; an empty or wordless benchmark cuts nothing. Other
-    columns are not read. No rows give no rows.
+    empty one empty, with 0 words; a very long text is searched whole; repeated test
+    items count once, null and wordless ones not at all; an empty or wordless benchmark
+    cuts nothing. Other columns are not read. No rows give no rows.
     """
-    spark = docs.sparkSession
-    C.bounded_batches(spark)
-    sent = spark.sparkContext.broadcast(leaks_of(benchmark, words, coverage, least))
+    C.bounded_batches(docs.sparkSession)
+    marked, sent = _marked(docs.select("doc_id", "text"), benchmark, words, coverage, least)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             w = Words(b.column(1))
-            flag = np.zeros(len(w.hash), bool)
-            for leaks in sent.value:
-                flag |= leaks.find(w)
+            flag = _flags(b, w, sent and sent.value)
             removed = np.bincount(w.doc[flag], minlength=b.num_rows)
-            text = b.column(1)
-            if flag.any():
-                text = _without(w, flag, removed, text)
+            text = _without(w, flag, removed, b.column(1)) if flag.any() else b.column(1)
             yield pa.RecordBatch.from_arrays([b.column(0), text, pa.array(w.count, pa.int32()), pa.array(removed, pa.int32())], names=["doc_id", "text", "n_words", "n_removed"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_words int, n_removed int")
+    return marked.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_words int, n_removed int")
 
 
 def _without(w: Words, flag: np.ndarray, removed: np.ndarray, text: pa.Array) -> pa.Array:
@@ -194,30 +236,29 @@ def _without(w: Words, flag: np.ndarray, removed: np.ndarray, text: pa.Array) ->
     return pa.array(rows, pa.string())
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, coverage: float = COVERAGE, least: int = LEAST) -> DataFrame:
     """``docs`` with leaked spans cut from ``text`` and ``n_chars`` (if there) counted anew.
 
-    A document whose words all leaked goes; all other rows and columns stay.
+    A document whose words all leaked goes; all other rows and columns, of any name,
+    stay: rows with null doc_id, repeated rows, and null, empty or wordless texts as they
+    are; very long texts are searched whole. An empty benchmark changes nothing. No rows give no rows.
     """
-    order = [c for c in docs.columns if c not in ("doc_id", "text")]
-    spark = docs.sparkSession
-    C.bounded_batches(spark)
-    packed = docs.select("doc_id", "text", F.struct(*order).alias("rest")) if order else docs.select("doc_id", "text")
-    sent = spark.sparkContext.broadcast(leaks_of(benchmark, **{"words": WORDS, "coverage": COVERAGE, "least": LEAST} | limits))
+    C.bounded_batches(docs.sparkSession)
+    rest = [c for c in docs.columns if c != "text"]
+    fields = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)]).alias("rest")
+    marked, sent = _marked(docs.select("text", fields), benchmark, words, coverage, least)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            w = Words(b.column(1))
-            flag = np.zeros(len(w.hash), bool)
-            for leaks in sent.value:
-                flag |= leaks.find(w)
+            w = Words(b.column(0))
+            flag = _flags(b, w, sent and sent.value)
             removed = np.bincount(w.doc[flag], minlength=b.num_rows)
             if flag.any():
-                b = b.set_column(1, "text", _without(w, flag, removed, b.column(1)))
+                b = b.set_column(0, "text", _without(w, flag, removed, b.column(0)))
             yield b.filter(pa.array((removed == 0) | (removed < w.count)))
 
-    out = packed.mapInArrow(cut, packed.schema)
-    fields = {c: F.col(f"rest.`{c}`") for c in order}
-    if "n_chars" in fields:
-        fields["n_chars"] = F.when(F.col("text").isNull(), fields["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[(fields[c] if c in fields else F.col(c)).alias(c) for c in docs.columns])
+    out = marked.mapInArrow(cut, marked.schema)
+    found = {c: F.col(f"rest.c{k}") for k, c in enumerate(rest)} | {"text": F.col("text")}
+    if "n_chars" in found:
+        found["n_chars"] = F.when(F.col("text").isNull(), found["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[found[c].alias(c) for c in docs.columns])

@@ -52,9 +52,10 @@ def exact_copies(docs: DataFrame, spare: int = SPARE) -> DataFrame:
     """(doc_id, keep_id): every document whose text equals that of another, and the
     least doc_id with that text, which stays and is not listed itself.
 
-    Defined cases: equal means equal bytes; empty texts are copies of one another; a
-    null text equals nothing; rows with null doc_id are left out; rows that repeat a
-    doc_id with its text are one document. Other columns are not read. No rows give
+    Defined cases: equal means equal bytes, however long a text is; empty texts are copies
+    of one another; a null text equals nothing; rows with null doc_id are left out; rows that repeat a
+    doc_id with its text are one document. ``doc_id`` is a whole number, others are an
+    error. Other columns are not read. No rows give
     no rows.
     """
     C.bounded_batches(docs.sparkSession)

@@ -90,13 +90,18 @@ def place(docs: DataFrame, schedule: dict[str, list[float]] | None = None, budge
 
     Defined cases: a null source is the source ''; a null text has 0 tokens and
     takes the position where it comes; equal positions are ordered by doc_id;
-    repeated rows each have their own position. Columns ``n_tokens`` and
-    ``position`` of ``docs`` are replaced. No rows give no rows.
+    repeated rows each have their own position; a very long text is one document with
+    one position, like others. Columns ``n_tokens`` and ``position`` of ``docs`` are
+    replaced; others may have any name. No rows give no rows.
     """
     names = [c for c in docs.columns if c not in ("n_tokens", "position")]
+    # inside, columns go by their place: names may hold dots or be those used here
+    own = {c: f"c{k}" for k, c in enumerate(names)}
+    doc_id, text, source = own["doc_id"], own["text"], own["source"]
+    docs = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()])
     digits = max(1, math.ceil(math.log(max(1, docs.count() / BUCKET_DOCS), 16)) + 1)
-    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
-    keyed = docs.select(*names, F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("n_tokens"), F.coalesce("source", F.lit("")).alias("__source"), order.alias("__order"))
+    order = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    keyed = docs.select("*", F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long").alias("n_tokens"), F.coalesce(source, F.lit("")).alias("__source"), order.alias("__order"))
     keyed = keyed.withColumn("__bucket", F.substring("__order", 1, digits))
     sums = C.stored(keyed.groupBy("__source", "__bucket").agg(F.sum("n_tokens").alias("__tokens")))
     supply = sums.groupBy("__source").agg(F.sum("__tokens").alias("__supply"))
@@ -129,7 +134,7 @@ def place(docs: DataFrame, schedule: dict[str, list[float]] | None = None, budge
     plan = C.stored(plan.withColumn("__have", F.coalesce("__supply", F.lit(0)) / F.col("__most")))
     before = F.sum("__tokens").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = C.stored(sums.withColumn("__offset", F.coalesce(before, F.lit(0))).join(plan, "__source").select("__source", "__bucket", "__offset", "__weights", "__cumulative", "__most", "__share", "__have"))
-    inside = Window.partitionBy("__source", "__bucket").orderBy("__order", "doc_id", "n_tokens", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__source", "__bucket").orderBy("__order", doc_id, "n_tokens", F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("__c", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(C.small_side(offsets), ["__source", "__bucket"])
     share_of = (F.col("__c") + F.col("__offset")).cast("double") / F.col("__most")
     placed = placed.withColumn("__asked", share_of)
@@ -142,7 +147,7 @@ def place(docs: DataFrame, schedule: dict[str, list[float]] | None = None, budge
         low, high = F.element_at(times, step + 1), F.element_at(times, step + 2)
         t = F.when(F.col("__share") > 0, F.coalesce(t, low + (high - low) * (at - step)))
     placed = placed.withColumn("position", t).where("position is not null")
-    return placed.select(*names, "n_tokens", "position")
+    return placed.select(*[F.col(o).alias(c) for c, o in own.items()], "n_tokens", "position")
 
 
 def mix(docs: DataFrame, schedule: dict[str, list[float]] | None = None, budget: float | str | None = None, seed: int = 0) -> DataFrame:
@@ -151,5 +156,8 @@ def mix(docs: DataFrame, schedule: dict[str, list[float]] | None = None, budget:
 
 
 def in_training_order(docs: DataFrame, **how) -> DataFrame:
-    """Columns of ``docs`` for the documents that ``mix`` takes, in its order."""
-    return mix(docs, **how).select(*docs.columns)
+    """Columns of ``docs`` for the documents that ``mix`` takes, in its order; its defined cases hold here.
+
+    Columns ``n_tokens`` and ``position`` of ``docs``, if there, are those of ``mix``.
+    """
+    return mix(docs, **how).select(*[f"`{c}`" for c in docs.columns])

@@ -182,7 +182,7 @@ def train_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray,
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """The scorer of a corpus. EM sees the votes of all documents, the scorer ``sample`` of them."""
+    """The scorer of a corpus. EM sees the votes of all documents, the scorer ``sample`` different ones at most."""
     spark = docs.sparkSession
     C.bounded_batches(spark)
 
@@ -201,20 +201,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            p = Parts(b.column(0))
+            p = Parts(b.column(1))
             code = ((votes(p) + 1).astype(np.int64) * 3 ** np.arange(len(LABELLERS))).sum(axis=1)
             row, feature = p.features()
             key, many = np.unique((row << BITS) | feature, return_counts=True)
             cut = np.searchsorted(key, np.arange(p.rows + 1) << BITS)
-            out = [(posterior[int(c)], (key[a:z] & ((1 << BITS) - 1)).astype("<u4").tobytes(), (many[a:z] / max(1, n)).astype("<f4").tobytes()) for c, n, a, z in zip(code, p.count, cut[:-1], cut[1:]) if n]
+            out = [(h, posterior[int(c)], (key[a:z] & ((1 << BITS) - 1)).astype("<u4").tobytes(), (many[a:z] / max(1, n)).astype("<f4").tobytes()) for h, c, n, a, z in zip(b.column(0).to_pylist(), code, p.count, cut[:-1], cut[1:]) if n]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.float64(), pa.binary(), pa.binary()))], names=["good", "features", "values"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.binary(), pa.binary()))], names=["h", "good", "features", "values"])
 
-    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("__h"))
-    taken = hashed.select("__h").where("__h is not null").orderBy("__h").limit(sample).agg(F.max("__h").alias("most")).first()
-    if taken.most is None:
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").where("text is not null")
+    most = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if most is None:
         return Scorer(np.zeros(1 << BITS), 0.0)
-    rows = hashed.where(F.col("__h") <= F.lit(taken.most)).select("text").limit(sample).mapInArrow(measure, "good double, features binary, values binary").collect()
+    # measured where the texts lie; equal rows are one
+    rows = hashed.where(F.col("h") <= F.lit(most)).mapInArrow(measure, "h long, good double, features binary, values binary").dropDuplicates(["h"]).collect()
     rows.sort(key=lambda r: (bytes(r.features), bytes(r["values"])))
     return train_scorer([(np.frombuffer(r.features, "<u4").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float)) for r in rows], np.array([r.good for r in rows]))
 
@@ -223,7 +224,8 @@ def scores(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> Dat
     """(doc_id, score, keep): every document with P(good); ``keep`` where it is ``threshold`` or more.
 
     Defined cases: a null, empty or blank text has score 0 and is not kept; a null
-    doc_id stays null; repeated rows each have their score; other columns are not
+    doc_id stays null; repeated rows each have their score and count once in the
+    sample; a very long text is scored whole, by frequencies; other columns are not
     read. No rows give no rows.
     """
     return _with_scores(docs.select("doc_id", "text"), fit(docs, sample)).select("doc_id", "score", (F.col("score") >= threshold).alias("keep"))
@@ -244,7 +246,11 @@ def _with_scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score under ``threshold``; all columns stay (one named ``score`` too)."""
+    """``docs`` without the rows that score under ``threshold``; all columns stay (one named ``score`` too).
+
+    The defined cases are those of ``scores``: null, empty and blank texts go, rows with
+    null doc_id and repeated rows stay or go by their text.
+    """
     names = [f"c{k}" if c != "text" else c for k, c in enumerate(docs.columns)]
     scored = _with_scores(docs.toDF(*names), fit(docs, sample))
     return scored.where(F.col("score") >= threshold).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

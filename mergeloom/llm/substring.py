@@ -213,9 +213,10 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> D
     other occurrence has a smaller (doc_id, start), so cutting the spans where it
     is false leaves each passage once.
 
-    Defined cases: null or short texts have no span; rows with null doc_id are
-    left out; rows that share a doc_id count as one document, so they do not repeat
-    one another; other columns are not read; no rows give no rows.
+    Defined cases: null or short texts have no span; a very long text is a slice of its
+    own, handled whole; rows with null doc_id are left out; rows that share a doc_id
+    count as one document, so they do not repeat one another; ``doc_id`` is a whole
+    number, others are an error; other columns are not read; no rows give no rows.
     """
     if not 0 < k <= length:
         raise ValueError("0 < k <= length must hold")

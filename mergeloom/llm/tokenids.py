@@ -261,7 +261,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, ev
     and blocks by number, whatever the order in which files are read back.
 
     Defined cases: a null text has n_tokens -1, an empty one 0; a null doc_id stays
-    null; repeated rows are each coded; other columns are not read. No rows give the
+    null; repeated rows are each coded; a very long text is a block of its own; ``doc_id``
+    is a whole number, others are an error; other columns are not read. No rows give the
     code book alone, with no code.
     """
     if not 1 <= limit <= 25:
@@ -314,7 +315,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, ev
 
 
 def decode(coded: DataFrame, limit: int = LIMIT, every: int = EVERY) -> DataFrame:
-    """(doc_id, ids): the ids of each document of ``encode``; null ids for a null text."""
+    """(doc_id, ids): the ids of each document of ``encode``; null ids for a null text, none for an empty one.
+
+    A null doc_id and repeated rows come back as they were; blocks may come in any order. A
+    code book alone gives no rows; without the row of the code book it is an error.
+    """
     lengths = np.frombuffer(bytes(coded.where("block = -1").first().payload), np.uint8)
     book = coded.sparkSession.sparkContext.broadcast(lengths)
 

@@ -3,7 +3,7 @@
 Features are hashed: the words of a text, and their first 4 and 5 bytes (so that
 inflected and made-up forms of a stem meet), each present or not. A labelled text
 that names a group has twins, in which every identity term is exchanged for
-another one of its set. Training minimises
+another one of its set, as many as it takes for each term to meet all others of its set. Training minimises
 
     mean log loss(x, y) + ``fairness`` * mean (score(twin) - score(x))**2 + ``l1`` |w|
 
@@ -30,7 +30,7 @@ from mergeloom.llm import common as C
 from mergeloom.llm.tokens import Words, hash_ranges, slices
 
 BITS = 20
-SAMPLE, FAIRNESS, L1, TWINS = 20_000, 1.0, 3e-5, 3
+SAMPLE, FAIRNESS, L1 = 20_000, 1.0, 3e-5
 #: Sets of terms, each of which could stand in another's place.
 IDENTITIES = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "sikh", "catholic", "protestant", "atheist"),
@@ -55,8 +55,8 @@ def _hashed(word: np.ndarray, low: np.ndarray, start: np.ndarray, size: np.ndarr
 class Twins:
     """Identity terms by hash, with the features of what takes their place."""
 
-    def __init__(self, sets: Sequence[Sequence[str]], shifts: int):
-        self.shifts = max([0, *(min(shifts, len(s) - 1) for s in sets)])
+    def __init__(self, sets: Sequence[Sequence[str]]):
+        self.shifts = max([0, *(len(s) - 1 for s in sets)])
         words = [[Words(pa.array([t])) for t in s] for s in sets]
         if any(len(w.hash) != 1 for s in words for w in s):
             raise ValueError("an identity term is one word")
@@ -197,12 +197,12 @@ def train(rows: list[Sample], fairness: float = FAIRNESS, l1: float = L1, least:
     return Classifier(weights, float(w[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identities: Sequence[Sequence[str]] = IDENTITIES, fairness: float = FAIRNESS, l1: float = L1, shifts: int = TWINS) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identities: Sequence[Sequence[str]] = IDENTITIES, fairness: float = FAIRNESS, l1: float = L1) -> Classifier:
     """The classifier of the labelled rows of ``docs``; ``labels`` has doc_id and toxic (0 or 1)."""
     C.bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
     taken = C.stored(known.orderBy(F.xxhash64("__id"), "__id").limit(sample))
-    twins = Twins(identities, shifts)
+    twins = Twins(identities)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -230,8 +230,10 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **h
     rests on the bias alone; a null doc_id stays null; repeated rows each have their
     score; a doc_id labelled twice is toxic if one label says so; null labels and
     labels without a document are left out; with labels of one class only, or none,
-    scores are about 1 if that class is toxic and about 0 if not; other columns
-    are not read. No rows give no rows.
+    scores are about 1 if that class is toxic and about 0 if not; a very long text is
+    scored whole, and as a labelled row it sends its different features (2**BITS at most)
+    to the driver; ``doc_id`` is a whole number, others are an error; other columns are
+    not read. No rows give no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
 
