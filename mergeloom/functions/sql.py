@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -16,20 +17,21 @@ def register(spark: SparkSession, encoder: BpeEncoder, prefix: str = "bpe") -> N
     """``{prefix}_encode(text)``, ``{prefix}_decode(ids)``, ``{prefix}_count(text)``."""
     sent = spark.sparkContext.broadcast(encoder)
 
-    @F.pandas_udf("array<int>")
-    def encode(rows: pd.Series) -> pd.Series:
+    def pieces(rows: pa.Array) -> pa.Array:
         enc = sent.value
-        return rows.map(lambda t: None if t is None else enc.encode(t))
+        return pa.array([None if t is None else ["01"[special] + p for p, special in enc.pretokenizer.pieces_of(t)] for t in rows.to_pylist()], pa.list_(pa.string()))
 
-    @F.pandas_udf("string")
-    def decode(rows: pd.Series) -> pd.Series:
-        enc = sent.value
-        return rows.map(lambda x: None if x is None else enc.decode([int(i) for i in x]))
+    @F.arrow_udf("array<int>")
+    def encode(rows: pa.Array) -> pa.Array:
+        return sent.value._column(pieces(rows))
 
-    @F.pandas_udf("int")
-    def count(rows: pd.Series) -> pd.Series:
-        enc = sent.value
-        return rows.map(lambda t: None if t is None else len(enc.encode(t))).astype("Int32")
+    @F.arrow_udf("string")
+    def decode(rows: pa.Array) -> pa.Array:
+        return sent.value._texts(rows)
+
+    @F.arrow_udf("int")
+    def count(rows: pa.Array) -> pa.Array:
+        return pa.compute.list_value_length(sent.value._column(pieces(rows))).cast(pa.int32())
 
     spark.udf.register(f"{prefix}_encode", encode)
     spark.udf.register(f"{prefix}_decode", decode)

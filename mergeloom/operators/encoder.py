@@ -1,8 +1,9 @@
 """Encoding and decoding: one word or text on the driver, whole tables on the executors.
 
-A table is encoded where it lies: the model is broadcast, an Arrow batch of texts
-is split and its words looked up in a memory of the worker, so nothing is
-shuffled and merges run once for each distinct word a worker meets.
+A table is encoded where it lies: the model is broadcast, texts are split by Catalyst
+expressions, and the pieces of an Arrow batch are dictionary-encoded, so that merges run
+once for each distinct piece a worker meets and ids are gathered in numpy. Nothing is
+shuffled. Decoding gathers the bytes of tokens in the same way.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.functions import alphabets as A
+from mergeloom.functions import patterns as P
 from mergeloom.operators.pretokenizer import PreTokenizer
 from mergeloom.plans import model as M
 
@@ -57,6 +59,7 @@ class BpeEncoder:
         self._built = {a + b for a, b in self.merges if not A.is_canonical(a) or any(u >= A.BYTE_UNIT for u in A.units(a))}
         self.pretokenizer = PreTokenizer(self.special_tokens, pat_str=pat_str, unicode_bigrams=bigrams, unicode_bigram_mixed_boundary=mixed)
         self.split_on_vocab_bigrams = split_on_vocab_bigrams
+        self._byte = {b: self.vocab[bytes([b])] for b in range(256) if bytes([b]) in self.vocab}
         self._known: dict[str, list[int]] = {}
         self._pairs: set | None = None
 
@@ -87,13 +90,18 @@ class BpeEncoder:
         return out if len(out) < len(self.vocab) else []
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_codes", "_flat", "_first", "_decoding")} | {"_known": {}}
 
     # --- words and texts
 
     def _initial(self, word: str) -> list[int]:
         out = []
-        parts = [bytes([b]) for b in word.encode()] if self.unit == "byte" else [c.encode() for c in word]
+        if self.unit == "byte":
+            try:
+                return [self._byte[b] for b in word.encode()]
+            except KeyError as e:
+                raise ValueError(f"byte {e.args[0]:#04x} of {word!r} is not in the vocabulary") from None
+        parts = [c.encode() for c in word]
         for p in parts:
             i = None if len(p) > 1 and p in self._built else self.vocab.get(p)
             if i is not None:
@@ -108,30 +116,29 @@ class BpeEncoder:
 
     def encode_word(self, word: str, /) -> list[int]:
         """Merges alone: no pattern, no special token, and the vocabulary is not searched for the whole word."""
-        ids, ranks = self._initial(word), self.ranks
-        while len(ids) > 1:
-            best = min((ranks.get(p, (1 << 60, 0)) for p in zip(ids, ids[1:])), key=lambda r: r[0])
-            if best[0] == 1 << 60:
+        ids, get = self._initial(word), self.ranks.get
+        while True:
+            pairs = [get(p) for p in zip(ids, ids[1:])]
+            best = min(filter(None, pairs), default=None)
+            if best is None:
                 return ids
-            out, k = [], 0
-            while k < len(ids):
-                if k + 1 < len(ids) and ranks.get((ids[k], ids[k + 1]), (-1, 0))[0] == best[0]:
-                    out.append(best[1])
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
-        return ids
+            out, k, at = [], 0, pairs.index(best)
+            while True:
+                out += ids[k:at]
+                out.append(best[1])
+                k = at + 2
+                try:
+                    at = pairs.index(best, k)
+                except ValueError:
+                    break
+            ids = out + ids[k:]
 
     def _remembered(self, word: str) -> list[int]:
         got = self._known.get(word)
         if got is None:
             if len(self._known) >= REMEMBERED:
                 self._known.clear()
-            parts = self._cut(word) if self.split_on_vocab_bigrams else [word]
-            got = self.encode_word(word) if len(parts) == 1 else [i for p in parts for i in self.encode_word(p)]
-            self._known[word] = got
+            got = self._known[word] = self._word(word)
         return got
 
     def _cut(self, word: str) -> list[str]:
@@ -209,36 +216,70 @@ class BpeEncoder:
 
     # --- tables
 
+    def _marked(self, text: Column) -> Column:
+        """Pieces of a text, each after a mark: 1 for a special token, 0 for others."""
+        pre = self.pretokenizer
+        cut = F.transform(P.pieces(text, pre.special_tokens, pre.pattern), lambda p: F.concat(F.when(p["is_special"], "1").otherwise("0"), p["piece"]))
+        return cut if pre.bigrams is None else pre._segmented(cut)
+
+    def _column(self, pieces: pa.ListArray) -> pa.ListArray:
+        """Ids of rows of marked pieces. What a worker has learned stays in ``_codes``, each piece with its place in ``_flat``."""
+        if not hasattr(self, "_codes") or len(self._codes) > REMEMBERED:
+            self._codes, self._flat, self._first = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+        flat = pieces.flatten().dictionary_encode()
+        found = flat.dictionary.to_pylist()
+        new = [p for p in found if p not in self._codes]
+        if new:
+            ids = [[self.special_ids[p[1:]]] if p[0] == "1" else self._word(p[1:]) for p in new]
+            self._codes.update(zip(new, range(len(self._codes), len(self._codes) + len(new))))
+            self._flat = np.concatenate([self._flat, np.fromiter((i for x in ids for i in x), np.int32)])
+            self._first = np.concatenate([self._first, self._first[-1] + np.cumsum([len(x) for x in ids])])
+        code = np.fromiter(map(self._codes.__getitem__, found), np.int64, len(found))[flat.indices.to_numpy()] if len(found) else np.zeros(0, np.int64)
+        first = self._first[code]
+        many = self._first[code + 1] - first
+        end = np.cumsum(many)
+        ids = self._flat[np.repeat(first - (end - many), many) + np.arange(end[-1] if len(end) else 0)]
+        count = pa.compute.list_value_length(pieces).fill_null(0).to_numpy()
+        rows = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])]
+        none = pa.array(pieces.is_null().to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids), mask=none)
+
+    def _word(self, word: str) -> list[int]:
+        parts = self._cut(word) if self.split_on_vocab_bigrams else [word]
+        return self.encode_word(word) if len(parts) == 1 else [i for p in parts for i in self.encode_word(p)]
+
     def encode_table(self, docs: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """All columns, the text replaced by its ids; a null text has null ids."""
-        sent = docs.sparkSession.sparkContext.broadcast(self)
-        rest = [c for c in docs.columns if c != text]
+        rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+        return docs.select(*rest, self.ids_column(F.col(f"`{text}`"), docs.sparkSession).alias(ids))
+
+    def ids_column(self, text: Column, session) -> Column:
+        """array<int> of the ids of a text column."""
+        sent = session.sparkContext.broadcast(self)
 
-        @F.pandas_udf("array<int>")
-        def run(rows: pd.Series) -> pd.Series:
-            enc = sent.value
-            return rows.map(lambda t: None if t is None else enc.encode(t))
+        @F.arrow_udf("array<int>")
+        def run(pieces: pa.Array) -> pa.Array:
+            return sent.value._column(pieces)
 
-        return docs.select(*rest, run(F.col(text)).alias(ids))
+        return run(self._marked(text))
 
     def count_column(self, text: Column, session) -> Column:
+        """Number of ids of a text column."""
         sent = session.sparkContext.broadcast(self)
 
-        @F.pandas_udf("int")
-        def run(rows: pd.Series) -> pd.Series:
-            enc = sent.value
-            return rows.map(lambda t: None if t is None else len(enc.encode(t))).astype("Int32")
+        @F.arrow_udf("int")
+        def run(pieces: pa.Array) -> pa.Array:
+            return pa.compute.list_value_length(sent.value._column(pieces)).cast(pa.int32())
 
-        return run(text)
+        return run(self._marked(text))
 
     def encode_word_table(self, words: DataFrame, word: str = "word") -> DataFrame:
         """(word, ids) of the distinct words of a table."""
         sent = words.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            enc = sent.value
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.encode_word(w) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(sent.value.encode_word, b.column(0).to_pylist()), pa.list_(pa.int32()))], names=["word", "ids"])
 
         return words.where(F.col(word).isNotNull()).select(F.col(word).alias("word")).distinct().mapInArrow(run, "word string, ids array<int>")
 
@@ -246,26 +287,76 @@ class BpeEncoder:
         size = max(self.by_id, default=-1) + 1
         return [self.by_id.get(i, b"") for i in range(size)]
 
-    def decode_table(self, encoded: DataFrame, ids: str = "ids", text: str = "text") -> DataFrame:
-        """Ids back to text; an id without a token is an error."""
-        sent = encoded.sparkSession.sparkContext.broadcast(self)
-        rest = [c for c in encoded.columns if c != ids]
+    def _tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all tokens, where each id's begin, its characters read by itself, -1 for no token); made once a worker."""
+        if not hasattr(self, "_decoding"):
+            tokens = self.token_array()
+            chars = [len(A.lossy(t)) if i in self.by_id else -1 for i, t in enumerate(tokens)]
+            self._decoding = (np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64), np.array(chars, np.int64))
+        return self._decoding
+
+    def _known_ids(self, col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids of the rows, number of ids before each row); an id without a token is an error."""
+        ids = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        _, _, chars = self._tokens()
+        bad = (ids < 0) | (ids >= len(chars))
+        bad[~bad] = chars[ids[~bad]] < 0
+        if bad.any():
+            raise ValueError(f"id {ids[bad][0]} is not in the vocabulary")
+        return ids, np.concatenate([[0], np.cumsum(pa.compute.list_value_length(col).fill_null(0).to_numpy())]).astype(np.int64)
+
+    def _token_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the tokens, where each begins)."""
+        data, first, _ = self._tokens()
+        many = first[ids + 1] - first[ids]
+        end = np.cumsum(many)
+        return data[np.repeat(first[ids] - (end - many), many) + np.arange(end[-1] if len(end) else 0)], np.concatenate([[0], end]).astype(np.int64)
+
+    def _texts(self, col: pa.ListArray) -> pa.Array:
+        """Texts of rows of ids, bytes of tokens put together and read as UTF-8 once."""
+        ids, row = self._known_ids(col)
+        data, at = self._token_bytes(ids)
+        raw = pa.Array.from_buffers(pa.large_binary(), len(col), [None, pa.py_buffer(at[row]), pa.py_buffer(np.ascontiguousarray(data))])
+        try:
+            out = raw.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            out = pa.array([A.lossy(x) for x in raw.to_pylist()], pa.large_string())
+        return pa.compute.if_else(col.is_null(), pa.scalar(None, pa.large_string()), out).cast(pa.string())
+
+    def text_column(self, ids: Column, session) -> Column:
+        """The text of a column of ids."""
+        sent = session.sparkContext.broadcast(self)
 
-        @F.pandas_udf("string")
-        def run(rows: pd.Series) -> pd.Series:
-            enc = sent.value
-            return rows.map(lambda x: None if x is None else A.lossy(b"".join(enc.tokens_of(x))))
+        @F.arrow_udf("string")
+        def run(rows: pa.Array) -> pa.Array:
+            return sent.value._texts(rows)
 
-        return encoded.select(*rest, run(F.col(ids)).alias(text))
+        return run(ids)
+
+    def decode_table(self, encoded: DataFrame, ids: str = "ids", text: str = "text") -> DataFrame:
+        """Ids back to text; an id without a token is an error; null ids have a null text."""
+        rest = [F.col(f"`{c}`") for c in encoded.columns if c != ids]
+        return encoded.select(*rest, self.text_column(F.col(f"`{ids}`"), encoded.sparkSession).alias(text))
 
     def id_columns(self, encoded: DataFrame, ids: str = "ids") -> DataFrame:
         """One row a token: the other columns, (pos, id, token, start): start is the character where it begins, each token read by itself."""
-        vocab = encoded.sparkSession.createDataFrame([(i, bytearray(t)) for i, t in self.by_id.items()], "id int, token binary")
+        sent = encoded.sparkSession.sparkContext.broadcast(self)
         rest = [c for c in encoded.columns if c != ids]
-        table = F.broadcast(vocab.agg(F.map_from_entries(F.collect_list(F.struct("id", "token"))).alias("__v")))
-        tokens = F.transform(F.col(ids), lambda i: F.element_at(F.col("__v"), i))
-        size = F.transform(tokens, lambda t: F.char_length(F.make_valid_utf8(t.cast("string"))))
-        start = F.transform(F.col(ids), lambda _, k: F.aggregate(F.slice("__n", F.lit(1), k), F.lit(0), lambda a, x: a + x))
-        rows = encoded.crossJoin(table).withColumn("__t", tokens).withColumn("__n", size).withColumn("__s", start)
-        return rows.select(*rest, F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col("__t").alias("token"), F.col("__s").alias("start"))).alias("pos", "x")).select(*rest, "pos", "x.id", "x.token", "x.start")
 
+        @F.arrow_udf("array<binary>")
+        def tokens(rows: pa.Array) -> pa.Array:
+            known, row = sent.value._known_ids(rows)
+            data, at = sent.value._token_bytes(known)
+            raw = pa.Array.from_buffers(pa.large_binary(), len(known), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+            return pa.ListArray.from_arrays(pa.array(row.astype(np.int32)), raw)
+
+        @F.arrow_udf("array<int>")
+        def starts(rows: pa.Array) -> pa.Array:
+            known, row = sent.value._known_ids(rows)
+            size = sent.value._tokens()[2][known]
+            before = np.cumsum(size) - size
+            head = np.repeat(np.append(before, 0)[np.minimum(row[:-1], len(before))], np.diff(row))
+            return pa.ListArray.from_arrays(pa.array(row.astype(np.int32)), pa.array((before - head).astype(np.int32)))
+
+        each = F.arrays_zip(F.col(f"`{ids}`").alias("id"), tokens(F.col(f"`{ids}`")).alias("token"), starts(F.col(f"`{ids}`")).alias("start"))
+        return encoded.select(*[F.col(f"`{c}`") for c in rest], F.posexplode(each).alias("pos", "x")).select(*[F.col(f"`{c}`") for c in rest], "pos", "x.id", "x.token", "x.start")

@@ -7,6 +7,7 @@ import struct
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,16 +51,23 @@ def cutoff_of(counts: DataFrame, top_k: int, min_freq: int = 1) -> int | None:
 
 
 def top_bigrams(counts: DataFrame, top_k: int, min_freq: int = 1) -> DataFrame:
-    """The top_k most frequent pairs and all that tie with the last of them."""
+    """The top_k most frequent pairs and all that tie with the last of them.
+
+    A table of counts that is used more than once is kept: what it is made from is read once.
+    """
+    counts = counts.persist(StorageLevel.DISK_ONLY)
     cut = cutoff_of(counts, top_k, min_freq)
     return counts.where(F.col("freq") >= cut) if cut is not None else counts.where(F.lit(False))
 
 
 def select_bigrams(counts: DataFrame, top_k: int = 100_000, min_freq: int = 16) -> BigramSelection:
+    counts = counts.persist(StorageLevel.DISK_ONLY)
     cut = cutoff_of(counts, top_k, min_freq)
     rest = counts if cut is None else counts.where(F.col("freq") < cut)
     kept = [] if cut is None else [r.b for r in counts.where(F.col("freq") >= cut).select(F.concat("left", "right").alias("b")).collect()]
-    return BigramSelection(sorted(kept), cut, rest.agg(F.max("freq")).first()[0])
+    out = BigramSelection(sorted(kept), cut, rest.agg(F.max("freq")).first()[0])
+    counts.unpersist()
+    return out
 
 
 def summary(words: DataFrame) -> DataFrame:
@@ -84,6 +92,7 @@ def scaled(words: DataFrame, total: int) -> DataFrame:
     found by the remainders' ranks, taken in two steps: within hash buckets, then
     by the cutoff remainder, so that no task sorts all words.
     """
+    words = words.persist(StorageLevel.DISK_ONLY)
     now = words.agg(F.sum("freq")).first()[0] or 0
     if total < 0 or now <= 0:
         raise ValueError("a positive inventory and a total of 0 or more are needed")

@@ -73,16 +73,19 @@ class PreTokenizer:
         def cut(rows: pd.Series) -> pd.Series:
             return rows.map(lambda w: P.segment(w, retained, mixed, script))
 
-        # distinct words only are segmented, and of these only words of the scripts
-        parts = F.when(F.col("word").rlike(P.script_class(script)), cut("word")).otherwise(F.array("word"))
-        return whole.select(F.explode(parts).alias("word"), "freq").groupBy("word").agg(F.sum("freq").alias("freq"))
+        # distinct words only are segmented, and of these only words with two characters side by side that may be cut;
+        # others are a branch of their own, so that they don't go through Python
+        may = F.col("word").rlike(P.script_class(script)) & (F.char_length("word") > 1)
+        parts = whole.where(may).select(F.explode(cut("word")).alias("word"), "freq").unionByName(whole.where(~may))
+        return parts.groupBy("word").agg(F.sum("freq").alias("freq"))
 
     def bigram_counts(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """(left, right, freq) of adjacent characters of the scripts, in stretches without special tokens."""
         runs = F.flatten(F.transform(P.chunks(F.col(text), self.special_tokens), lambda c: F.regexp_extract_all(c, F.lit(P.script_class(self.script) + "{2,}"), F.lit(0))))
-        one = docs.where(F.col(text).isNotNull()).select(F.explode(runs).alias("run"))
+        # equal runs are counted first: far fewer rows than one for each pair of characters
+        one = docs.where(F.col(text).isNotNull()).select(F.explode(runs).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
         pair = F.explode(F.transform(F.sequence(F.lit(1), F.char_length("run") - 1), lambda i: F.substring(F.col("run"), i, F.lit(2))))
-        return one.select(pair.alias("pair")).groupBy("pair").agg(F.count("*").alias("freq")).select(F.substring("pair", 1, 1).alias("left"), F.substring("pair", 2, 1).alias("right"), "freq")
+        return one.select(pair.alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("freq")).select(F.substring("pair", 1, 1).alias("left"), F.substring("pair", 2, 1).alias("right"), "freq")
 
     # --- one text
 

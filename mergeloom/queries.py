@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,16 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PreTokenizer().words(_docs(spark, sf_dir))
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that all machines share; a temporary one only where there is one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="mergeloom-")
+
+
 # --- SQL parts: RE2 has no look-ahead, so the last white space before other text is marked first
 
 _W = r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -347,7 +358,7 @@ def parquet_source_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_WORDS} select word, freq from words")
 def stream_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _docs(spark, sf_dir).schema
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mergeloom-")) + f"/stream-{spark.sparkContext.applicationId}-{id(schema)}"
+    base = _shared(spark) + f"/stream-{uuid.uuid4().hex}"
     stream = streams.text_stream(spark, f"{sf_dir}/documents.parque[t]", schema)  # a pattern: the source takes folders and patterns, not one file
     streams.accumulate_words(stream, f"{base}/counts", f"{base}/progress").awaitTermination()
     return streams.read_inventory(spark, f"{base}/counts")
