@@ -28,15 +28,28 @@ LONG_WORD = 32
 
 
 class BpeEncoder:
-    """Lowest rank first, from left to right; special tokens are found before the pattern is matched."""
+    """Lowest rank first, from left to right; special tokens are found before the pattern is matched.
+
+    Merges are pairs of contents in rank order, or ((left id, right id), target id); the latter may
+    have any target, also one that an earlier merge takes as an operand.
+    """
 
     def __init__(self, unit: str = "byte", *, special_tokens: Sequence[str] | None = None, merges: Sequence[tuple[bytes, bytes] | M.Merge] | None = None, vocab: dict[bytes, int] | None = None, pat_str: str | None = None, split_on_vocab_bigrams: bool = True, bigrams: Sequence[str] | None = None, mixed: str = "keep"):
         M.check_unit(unit)
         if vocab is None or merges is None:
             raise ValueError("vocab and merges are both needed")
         self.unit, self.vocab = unit, dict(vocab)
-        self.merges = [(m.left, m.right) if isinstance(m, M.Merge) else (bytes(m[0]), bytes(m[1])) for m in merges]
         self.by_id = {i: t for t, i in self.vocab.items()}
+        by_id = [m for m in merges if not isinstance(m, M.Merge) and isinstance(m[0], tuple)]
+        if by_id:
+            if len(by_id) < len(merges):
+                raise ValueError("merges are given by ids or by contents, not both")
+            for rank, ((a, b), t) in enumerate(by_id):
+                for i in (a, b, t):
+                    if i not in self.by_id:
+                        raise ValueError(f"merge {rank}: id {i} is not in the vocabulary")
+            merges = [(self.by_id[a], self.by_id[b]) for (a, b), _ in by_id]
+        self.merges = [(m.left, m.right) if isinstance(m, M.Merge) else (bytes(m[0]), bytes(m[1])) for m in merges]
         if special_tokens is None:
             special_tokens = self._leading_specials()
         self.special_tokens = list(special_tokens)
@@ -50,7 +63,9 @@ class BpeEncoder:
                 if not A.is_canonical(t) and t.decode("utf-8", "replace") not in self.special_ids:
                     raise RuntimeError(f"vocabulary token {t!r} is not canonical Unicode content")
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(self.merges):
+        for rank, ((a, b), t) in enumerate(by_id):
+            self.ranks.setdefault((a, b), (rank, t))
+        for rank, (a, b) in enumerate([] if by_id else self.merges):
             for part, name in ((a, "left operand"), (b, "right operand"), (a + b, "target")):
                 if part not in self.vocab:
                     raise ValueError(f"merge {rank}: {name} {part!r} is not in the vocabulary")
@@ -58,7 +73,9 @@ class BpeEncoder:
         #: characters that merges of bytes build: their words begin from bytes
         self._built = {a + b for a, b in self.merges if not A.is_canonical(a) or any(u >= A.BYTE_UNIT for u in A.units(a))}
         self.pretokenizer = PreTokenizer(self.special_tokens, pat_str=pat_str, unicode_bigrams=bigrams, unicode_bigram_mixed_boundary=mixed)
-        self.split_on_vocab_bigrams = split_on_vocab_bigrams
+        # a target that is not its operands put together may cross any two units: then words are not cut
+        self.can_split_on_vocab_bigrams = all(self.by_id[a] + self.by_id[b] == self.by_id[t] for (a, b), (_, t) in self.ranks.items())
+        self.split_on_vocab_bigrams = split_on_vocab_bigrams and self.can_split_on_vocab_bigrams
         self._byte = {b: self.vocab[bytes([b])] for b in range(256) if bytes([b]) in self.vocab}
         self._known: dict[str, list[int]] = {}
         self._pairs: set | None = None
@@ -195,6 +212,13 @@ class BpeEncoder:
         parts = [self.encode_to_numpy(read_segment(path, a, n)) for a, n in boundaries(path, count=num_chunks, token=self.pretokenizer.eot_token)]
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
+    def pre_tokenizer(self) -> PreTokenizer:
+        return self.pretokenizer
+
+    def encode_file_with_cache(self, path: str | Path, words: Sequence[str], num_chunks: int = 1024) -> np.ndarray:
+        """``encode_file`` with words known from the start."""
+        return self.with_cache(words).encode_file(path, num_chunks)
+
     def with_cache(self, words: Sequence[str]) -> BpeEncoder:
         """Words known from the start."""
         self.encode_words(words)

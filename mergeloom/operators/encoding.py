@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
+from itertools import accumulate
 from pathlib import Path
 from typing import Literal
 
@@ -85,17 +86,23 @@ class Encoding:
         return token in self.specials.values()
 
     def token_byte_values(self) -> list[bytes]:
-        return sorted(self.ranks)
+        """Bytes of all tokens, special ones too, in the order of their ids."""
+        return [self.token_bytes[i] for i in sorted(self.token_bytes)]
 
     # --- encoding
 
+    def _banned(self, allowed: Collection[str] | str, disallowed: Collection[str] | str) -> list[str]:
+        """Special tokens that a text may not hold: those disallowed, without those allowed."""
+        if allowed == ALL:
+            return []
+        return sorted((self.special_tokens_set if disallowed == ALL else set(disallowed)) - set(allowed))
+
     def _check(self, text: str, allowed: Collection[str] | str, disallowed: Collection[str] | str) -> bool:
         """Whether special tokens are to be found; a disallowed one in the text is an error."""
-        allowed = self.special_tokens_set if allowed == ALL else set(allowed)
-        disallowed = self.special_tokens_set - allowed if disallowed == ALL else set(disallowed)
-        if disallowed and (m := regex.search(P.any_of(sorted(disallowed)), text)):
+        banned = self._banned(allowed, disallowed)
+        if banned and (m := regex.search(P.any_of(banned), text)):
             raise_disallowed_special_token(m.group())
-        return bool(allowed)
+        return allowed == ALL or bool(set(allowed))
 
     def encode_ordinary(self, text: str) -> list[int]:
         return self._ordinary.encode(text)
@@ -118,9 +125,10 @@ class Encoding:
 
     def encode_single_token(self, token: str | bytes) -> int:
         raw = token.encode() if isinstance(token, str) else token
-        if raw in self.ranks:
-            return self.ranks[raw]
-        return self.specials[raw.decode()]
+        found = [i for t, i in (*self.ranks.items(), *((s.encode(), i) for s, i in self.specials.items())) if t == raw]
+        if not found:
+            raise KeyError(token)
+        return min(found)
 
     # --- decoding
 
@@ -137,12 +145,10 @@ class Encoding:
         return self.decode_bytes(tokens).decode("utf-8", errors)
 
     def decode_with_offsets(self, tokens: Sequence[int]) -> tuple[str, list[int]]:
-        """The text, and the character at which each token begins (tokens read one by one)."""
-        starts, n = [], 0
-        for t in self.decode_tokens_bytes(tokens):
-            starts.append(n)
-            n += len(A.lossy(t))
-        return self.decode(tokens), starts
+        """The texts of the tokens, read one by one and put together, and the character at which each begins."""
+        parts = [A.lossy(t) for t in self.decode_tokens_bytes(tokens)]
+        starts = [0, *accumulate(map(len, parts))]
+        return "".join(parts), starts[: len(parts)]
 
     def decode_batch(self, batch: Sequence[Sequence[int]], *, errors: str = "replace", num_threads: int = 8) -> list[str]:
         return [self.decode(b, errors) for b in batch]
@@ -154,10 +160,9 @@ class Encoding:
 
     def encode_table(self, docs: DataFrame, text: str = "text", ids: str = "ids", *, allowed_special: Collection[str] | str = (), disallowed_special: Collection[str] | str = ALL) -> DataFrame:
         """Texts to ids; a row with a disallowed special token fails the job, as the single-text method raises."""
-        allowed = self.special_tokens_set if allowed_special == ALL else set(allowed_special)
-        banned = sorted(self.special_tokens_set - allowed if disallowed_special == ALL else set(disallowed_special))
+        banned = self._banned(allowed_special, disallowed_special)
         checked = docs.withColumn(text, guarded(F.col(text), banned)) if banned else docs
-        return (self._with_specials if allowed else self._ordinary).encode_table(checked, text, ids)
+        return (self._with_specials if allowed_special == ALL or set(allowed_special) else self._ordinary).encode_table(checked, text, ids)
 
     def decode_table(self, encoded: DataFrame, ids: str = "ids", text: str = "text") -> DataFrame:
         return self._with_specials.decode_table(encoded, ids, text)

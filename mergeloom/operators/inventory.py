@@ -142,3 +142,21 @@ def fingerprint(fields: Iterable[bytes | str | int]) -> str:
 def words_fingerprint(words: DataFrame) -> str:
     """Of (word, freq) in the order of words, streamed to the driver."""
     return fingerprint(x for r in words.orderBy("word").toLocalIterator(prefetchPartitions=True) for x in (r.word, r.freq))
+
+
+def bigrams_fingerprint(bigrams: Iterable[str]) -> str:
+    return fingerprint(sorted(bigrams))
+
+
+def vocab_fingerprint(vocab: dict[bytes, int]) -> str:
+    """Of (id, token) in the order of ids."""
+    return fingerprint(x for t, i in sorted(vocab.items(), key=lambda r: (r[1], r[0])) for x in (i, t))
+
+
+def merges_fingerprint(merges: Iterable) -> str:
+    """Of (left, right, frequency) in rank order."""
+    return fingerprint(x for m in merges for x in (m.left, m.right, m.freq))
+
+
+def ids_fingerprint(ids: Iterable[int]) -> str:
+    return fingerprint(map(int, ids))

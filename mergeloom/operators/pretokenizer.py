@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import pandas as pd
 import regex
@@ -111,3 +112,51 @@ class PreTokenizer:
             if not special:
                 out.update(part[k : k + 2] for k in range(len(part) - 1) if P.in_script(part[k], self.script) and P.in_script(part[k + 1], self.script))
         return out
+
+    # --- files and counters, on the driver
+
+    def word_counter(self):
+        """An empty counter of words."""
+        from mergeloom.operators.counters import WordCounter
+
+        return WordCounter(self)
+
+    def bigram_counter(self):
+        """An empty counter of bigrams."""
+        from mergeloom.operators.counters import BigramCounter
+
+        return BigramCounter(self)
+
+    def load_word_counter(self, path: str | Path):
+        """A counter with the words of a file that ``WordCounter.save`` wrote."""
+        from mergeloom.operators.counters import WordCounter
+
+        return WordCounter.load(path, self)
+
+    def find_chunk_boundaries(self, path: str | Path, *, chunk_size: int = 1 << 20, boundary: str = "auto") -> list[tuple[int, int]]:
+        """(offset, length) of the segments of a file."""
+        from mergeloom.sources.segments import boundaries
+
+        return boundaries(path, chunk_size=chunk_size, mode=boundary, token=self.eot_token)
+
+    def get_words_from_segment(self, path: str | Path, offset: int, length: int) -> dict[str, int]:
+        from mergeloom.sources.segments import read_segment
+
+        return self.get_words(read_segment(path, offset, length))
+
+    def get_words_from_file(self, path: str | Path, *, chunk_size: int = 1 << 20, boundary: str = "auto") -> dict[str, int]:
+        total: Counter[str] = Counter()
+        for a, n in self.find_chunk_boundaries(path, chunk_size=chunk_size, boundary=boundary):
+            total.update(self.get_words_from_segment(path, a, n))
+        return dict(total)
+
+    def select_unicode_bigrams_from_file(self, path: str | Path, *, chunk_size: int = 1 << 20, boundary: str = "auto", top_k: int = 100_000, min_freq: int = 16):
+        """The bigrams of a file that ``select`` of a counter keeps, with its cutoff and the most frequent one left out."""
+        from mergeloom.sources.segments import read_segment
+
+        counter = self.bigram_counter()
+        counter.add_source(read_segment(path, a, n) for a, n in self.find_chunk_boundaries(path, chunk_size=chunk_size, boundary=boundary))
+        return counter.select(top_k, min_freq)
+
+    def build_unicode_bigrams_from_file(self, path: str | Path, **how) -> list[str]:
+        return self.select_unicode_bigrams_from_file(path, **how).bigrams

@@ -1,6 +1,6 @@
 """Training steps as Catalyst plans, for inventories too large to collect.
 
-A word is a string of symbols ``<00042>``; replacing ``<l><r>`` from left to right
+A word is a string of symbols ``<0000042>``; replacing ``<l><r>`` from left to right
 is one merge, by the JVM's own string code. A step counts pairs (partial sums
 before the shuffle; the result has as many rows as distinct pairs), takes the best
 one by a partial top-1, and rewrites. The rewriting is narrow, so lineage grows by
@@ -18,14 +18,14 @@ from mergeloom.plans.model import BpeModel, Merge, TrainStepError
 
 
 def _symbol(i: Column | int) -> Column:
-    return F.concat(F.lit("<"), F.lpad(F.lit(i).cast("string") if isinstance(i, int) else i.cast("string"), 5, "0"), F.lit(">"))
+    return F.concat(F.lit("<"), F.lpad(F.lit(i).cast("string") if isinstance(i, int) else i.cast("string"), 7, "0"), F.lit(">"))
 
 
 def symbols(words: DataFrame, offset: int = 0, alphabet: str = "raw") -> DataFrame:
     """(word, s, freq): the bytes of each word as symbols; ids begin at ``offset``."""
     order = A.byte_order(alphabet)
     ids = {b: offset + k for k, b in enumerate(order)}
-    table = F.array(*[F.lit(f"<{ids[b]:05d}>") for b in range(256)])
+    table = F.array(*[F.lit(f"<{ids[b]:07d}>") for b in range(256)])
     hexed = F.regexp_extract_all(F.hex(F.encode("word", "UTF-8")), F.lit(".."), F.lit(0))
     return words.select("word", F.array_join(F.transform(hexed, lambda x: F.element_at(table, F.conv(x, 16, 10).cast("int") + 1)), "").alias("s"), "freq")
 
@@ -59,7 +59,7 @@ def train(words: DataFrame, steps: int, specials: list[str] | None = None, alpha
             break
         a, b = int(best.l[1:-1]), int(best.r[1:-1])
         merges.append(Merge(tokens[a], tokens[b], best.f))
-        coded = coded.withColumn("s", F.replace("s", F.lit(best.l + best.r), F.lit(f"<{len(tokens):05d}>")))
+        coded = coded.withColumn("s", F.replace("s", F.lit(best.l + best.r), F.lit(f"<{len(tokens):07d}>")))
         tokens.append(tokens[a] + tokens[b])
         if durable and (k + 1) % every == 0:
             coded = coded.checkpoint()

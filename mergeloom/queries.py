@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mergeloom.functions import alphabets as A
 from mergeloom.functions import patterns as P
 from mergeloom.functions import sql as sqlfuncs
 from mergeloom.operators import inventory as I
@@ -16,7 +19,8 @@ from mergeloom.operators.encoder import BpeEncoder
 from mergeloom.operators.pretokenizer import PreTokenizer
 from mergeloom.operators.trainer import BpeTrainer
 from mergeloom.plans import distributed
-from mergeloom.sources import texts
+from mergeloom.plans import model as M
+from mergeloom.sources import sinks, texts
 from mergeloom.streaming import counts as streams
 
 SPECIALS = ["The ", "And ", " | "]
@@ -72,9 +76,13 @@ _LETTER_PAIRS = f"""pairs as (select pair, count(*) as freq from (select substr(
   group by 1)"""
 
 
-def _training(steps: int, least: int = 1) -> str:
+#: Words of the documents, and those of the benchmark that are to be encoded too, which count nothing.
+_WORDS_TOO = f"words as (select w as word, sum(n)::bigint as freq from (select unnest({_pieces('text')}) as w, n from (select text, 1 as n from documents union all select text, 0 from benchmark)) group by 1)"
+
+
+def _training(steps: int, least: int = 1, words: str = _WORDS) -> str:
     """Recursive training over all words: t(step, word, s, freq, l, r, mf)."""
-    return f"""{_WORDS},
+    return f"""{words},
 t(step, word, s, freq, l, r, mf) as (
   select 0, word, array_to_string(list_transform(regexp_extract_all(hex(encode(word)), '..'),
       lambda x: '<' || lpad(cast(('0x' || x)::int as varchar), 5, '0') || '>'), ''),
@@ -92,6 +100,13 @@ _MERGES = "select distinct step - 1 as rank, l[2:6]::int as left_id, r[2:6]::int
 _IDS = f"ids as (select word, list_transform(regexp_extract_all(s, '[0-9]+'), lambda x: x::int) as ids from t where step = {STEPS})"
 
 
+#: The tokens of the model by id, in hexadecimal.
+_TOKENS = f"""m as materialized (select distinct step, l[2:6]::int as l, r[2:6]::int as r from t where step > 0),
+v(n, tokens) as (select 0, list_transform(range(256), lambda i: right('0' || to_hex(i), 2))
+  union all select n + 1, list_append(tokens, tokens[l + 1] || tokens[r + 1]) from v join m on m.step = n + 1),
+tokens as (select i::int as id, lower(tokens[i + 1]) as token from (select tokens, unnest(range(len(tokens))) as i from v where n = {STEPS}))"""
+
+
 # --- counting
 
 
@@ -286,6 +301,65 @@ def model_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained(spark, sf_dir).vocab_table(spark).select("id", F.lower(F.hex("token")).alias("token"))
 
 
+def _driver_dir(spark: SparkSession) -> str:
+    """A new folder, in the shared one, for files that the driver writes and reads itself."""
+    path = f"{_shared(spark).removeprefix('file://')}/mergeloom-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
+
+
+@query(f"with recursive {_training(STEPS)} {_MERGES}")
+def train_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One token at a time."""
+    trainer = BpeTrainer()
+    trainer.add_inventory(_words(spark, sf_dir))
+    for _ in range(STEPS):
+        trainer.step()
+    return trainer.validate_model().merges_table(spark).select(*_RANKED)
+
+
+# no two pairs are equally frequent among so few merges, so the tie break changes nothing
+@query(f"with recursive {_training(STEPS)} {_MERGES}")
+def train_largest_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trained(spark, sf_dir, tie_break="largest_content").merges_table(spark).select(*_RANKED)
+
+
+@query(f"with recursive {_training(STEPS)}, x as ({_MERGES}) select rank, left_id + 3 as left_id, right_id + 3 as right_id, target_id + 3 as target_id, freq from x")
+def train_after_specials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Special tokens take the first ids."""
+    trainer = BpeTrainer(SPECIALS)
+    counter = PreTokenizer().word_counter()
+    counter.counts.update({r.word: r.freq for r in _words(spark, sf_dir).collect()})
+    trainer.add_word_counter(counter)
+    trainer.train(trainer.vocab_size + STEPS)
+    return trainer.validate_model().merges_table(spark).select(*_RANKED)
+
+
+@query(f"with recursive {_training(STEPS)} {_MERGES}")
+def model_tables_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_shared(spark)}/model-{uuid.uuid4().hex}"
+    _trained(spark, sf_dir).write(spark, path)
+    return M.BpeModel.read(spark, path).merges_table(spark).select(*_RANKED)
+
+
+@query(f"with recursive {_training(STEPS)} {_MERGES}")
+def model_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocab and merges files, as saved by name and found again."""
+    path = _driver_dir(spark)
+    _trained(spark, sf_dir).save("loom", outdir=path)
+    vocab = M.load_vocab_json(M.find_file("vocab", "loom", "byte", path), "gpt2")
+    merges = M.load_merges_txt(M.find_file("merges", "loom", "byte", path), "gpt2")
+    return M.BpeModel("byte", vocab, tuple(merges)).merges_table(spark).select(*_RANKED)
+
+
+@query(f"with recursive {_training(STEPS)}, {_TOKENS} select token, id as rank from tokens")
+def rank_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's tokens through a file of ranks."""
+    path = f"{_driver_dir(spark)}/loom.ranks"
+    texts.dump_ranks(_trained(spark, sf_dir).vocab, path)
+    return texts.rank_table(spark, f"file://{path}").select(F.lower(F.hex("token")).alias("token"), "rank")
+
+
 # --- encoding
 
 
@@ -326,10 +400,46 @@ def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enc.decode_table(enc.encode_table(_docs(spark, sf_dir).select("doc_id", "text")))
 
 
-@query()
+# a token of one byte beyond ASCII is one replacement character; no longer one of such bytes comes up in so few merges
+@query(f"""with recursive {_training(STEPS, words=_WORDS_TOO)}, {_IDS}, {_TOKENS},
+p as (select item_id, k, ps[k] as word from (select item_id, ps, unnest(range(1, len(ps) + 1)) as k from (select item_id, {_pieces('text')} as ps from benchmark))),
+e as (select item_id, k, j, ids[j] as id from (select item_id, k, ids, unnest(range(1, len(ids) + 1)) as j from p join ids using (word))),
+o as (select item_id, row_number() over w - 1 as pos, id, token, coalesce(sum(len(token) // 2) over (w rows between unbounded preceding and 1 preceding), 0) as start
+  from e join tokens using (id) window w as (partition by item_id order by k, j))
+select item_id, pos::int as pos, id, token, start::int as start from o""")
 def decode_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     enc = _encoder(spark, sf_dir)
-    return enc.id_columns(enc.encode_table(_docs(spark, sf_dir, "benchmark")))
+    return enc.id_columns(enc.encode_table(_docs(spark, sf_dir, "benchmark"))).select("item_id", "pos", "id", F.lower(F.hex("token")).alias("token"), "start")
+
+
+@query(f"with recursive {_training(STEPS, words=_WORDS_TOO)}, {_IDS}, p as (select item_id, unnest({_pieces('text')}) as word from benchmark) select item_id, sum(len(ids))::int as n_tokens, sum(list_sum(ids))::bigint as id_sum from p join ids using (word) group by 1")
+def ids_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each text through one array in a file, cut again by the numbers of tokens."""
+    encoded = _encoder(spark, sf_dir).encode_table(_docs(spark, sf_dir, "benchmark"))
+    path = f"{_driver_dir(spark)}/ids.npz"
+    sinks.save_table_ids(encoded, path, order="item_id")
+    every, at, rows = np.load(path)["idx"], 0, []
+    for r in encoded.orderBy("item_id").select("item_id", F.size("ids").alias("n")).collect():
+        rows.append((r.item_id, r.n, int(every[at : at + r.n].sum())))
+        at += r.n
+    return spark.createDataFrame(rows, "item_id long, n_tokens int, id_sum long")
+
+
+@query("select item_id, text from benchmark")
+def sql_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sqlfuncs.register(spark, _encoder(spark, sf_dir), "loom")
+    _docs(spark, sf_dir, "benchmark").createOrReplaceTempView("mergeloom_benchmark")
+    return spark.sql("select item_id, loom_decode(loom_encode(text)) as text from mergeloom_benchmark")
+
+
+@query(f"select doc_id, len(regexp_extract_all(text, '{_SPECIAL}'))::int as n_special from documents where text is not null")
+def special_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Special tokens have ids of their own in encoded texts."""
+    trainer = BpeTrainer(SPECIALS)
+    trainer.add_inventory(PreTokenizer(SPECIALS).words(_docs(spark, sf_dir)))
+    trainer.train(trainer.vocab_size + STEPS)
+    encoded = trainer.finish().encode_table(_docs(spark, sf_dir).where("text is not null"))
+    return encoded.select("doc_id", F.size(F.filter("ids", lambda i: i < len(SPECIALS))).alias("n_special"))
 
 
 @query(f"select conv_id, turn, len({_pieces('text')})::int as n_pieces from conversations")
@@ -362,3 +472,68 @@ def stream_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = streams.text_stream(spark, f"{sf_dir}/documents.parque[t]", schema)  # a pattern: the source takes folders and patterns, not one file
     streams.accumulate_words(stream, f"{base}/counts", f"{base}/progress").awaitTermination()
     return streams.read_inventory(spark, f"{base}/counts")
+
+
+@query("select text from benchmark where text <> ''")
+def separated_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts through one file with separators."""
+    path = f"{_shared(spark)}/sample-{uuid.uuid4().hex}"
+    texts.write_sample(_docs(spark, sf_dir, "benchmark"), path)
+    return texts.separated(spark, path)
+
+
+@query(f"with {_WORDS} select word, freq from words")
+def inventory_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory through its JSON file."""
+    path = f"{_driver_dir(spark)}/words.json"
+    sinks.save_inventory(_words(spark, sf_dir), path, ordered=False)
+    return sinks.load_inventory(spark, path)
+
+
+def _source(spark: SparkSession, sf_dir: str, name: str):
+    return (r.text for r in _docs(spark, sf_dir, name).where("text is not null").select("text").toLocalIterator())
+
+
+@query(f"select word, count(*) as freq from (select unnest({_pieces('text')}) as word from (select text from benchmark union all select text from conversations)) group by 1")
+def word_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters fed by bounded batches of an iterator, merged."""
+    one, two = PreTokenizer().word_counter(), PreTokenizer().word_counter()
+    one.add_source(_source(spark, sf_dir, "benchmark"), max_records=7, max_bytes=2000)
+    two.add_source(_source(spark, sf_dir, "conversations"), prefetch=0)
+    one.merge(two)
+    return one.table(spark)
+
+
+@query(f"""select pair, count(*) as freq from (select substr(run, i, 2) as pair from (select run, unnest(range(1, len(run))) as i
+from (select unnest(regexp_extract_all(text, '[{_L}]{{2,}}')) as run from conversations))) group by 1""")
+def bigram_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counter = PreTokenizer(script=P.LETTERS).bigram_counter()
+    counter.add_source(_source(spark, sf_dir, "conversations"), max_records=100)
+    return spark.createDataFrame(counter.items(), "pair string, freq long")
+
+
+@query(f"select conv_id, turn, pos - 1 as pos, ps[pos] as piece, false as is_special from (select conv_id, turn, ps, unnest(range(1, len(ps) + 1)) as pos from (select conv_id, turn, {_pieces('text')} as ps from conversations))")
+def pieces_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sqlfuncs.register_pieces(spark, "loom_pieces")
+    _docs(spark, sf_dir, "conversations").createOrReplaceTempView("mergeloom_conversations")
+    return spark.sql("select conv_id, turn, pos, piece, is_special from mergeloom_conversations, lateral loom_pieces(text)")
+
+
+@query('select count(value) as n, min(value) as min, median(value) as median, quantile_cont(value, 0.9) as p90, quantile_cont(value, 0.99) as p99, max(value) as max from events')
+def duration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.duration_summary(_docs(spark, sf_dir, "events"), F.col("value"))
+
+
+_SCRIPTS = " or ".join(f"c between {a} and {z}" for a, z in P.SCRIPT_RANGES)
+
+
+@query(f"select unit, count(*) as freq from (select unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) as unit from documents) where ({_SCRIPTS.replace('c between', 'unicode(unit) between')}) = false group by 1")
+def units_outside_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters beyond ASCII that are of none of the scripts written without blanks."""
+    return I.unit_frequencies(_docs(spark, sf_dir).select(F.col("text").alias("word"), F.lit(1).cast("long").alias("freq"))).where(~F.col("unit").rlike(P.script_class()))
+
+
+@query("""with b as (select unnest(range(256))::int as byte), s as (select byte, byte between 33 and 126 or byte between 161 and 172 or byte between 174 and 255 as shown from b)
+select byte, case when shown then chr(byte) else chr((256 + sum((not shown)::int) over (order by byte) - 1)::int) end as printable from s""")
+def printable_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(A.byte_to_printable().items()), "byte int, printable string")
