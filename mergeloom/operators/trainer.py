@@ -1,7 +1,9 @@
 """BPE training: an exact incremental trainer on the driver over a counted inventory.
 
 Counting is distributed; the inventory (distinct words) is what is collected.
-``plans.distributed`` trains without collecting it.
+``plans.distributed`` trains without collecting it. Byte training with the usual tie
+break runs as compiled code in the driver's JVM (``kernel``) where a session is active,
+all other training, and that without a session, in numpy, with the same results.
 """
 
 from __future__ import annotations
@@ -12,9 +14,12 @@ from collections import defaultdict
 from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession
 
 from mergeloom.functions import alphabets as A
+from mergeloom.operators.kernel import Kernel
 from mergeloom.plans import model as M
 
 #: Symbols: a character that is no token of its own is its code point, token i is IDS + i. So characters come first.
@@ -165,8 +170,9 @@ class BpeTrainer:
         self.merges: list[tuple[int, int, int, int]] = []
         self.materialized: dict[int, int] = {}
         self._contents: dict[int, tuple] = {}
-        self._inventory: list[tuple[str, int]] = []
+        self._words, self._weights = pa.array([], pa.large_string()), np.zeros(0, np.int64)
         self._chains: Chains | None = None
+        self._kernel: Kernel | None = None
         self._frozen: frozenset[int] = frozenset()
         self._final = self._poisoned = False
         self._last_event = 0
@@ -189,23 +195,44 @@ class BpeTrainer:
     def hot_pair_window_stats(self) -> dict[str, int] | None:
         if self.hot_pair_window_size is None:
             return None
-        return {"window_size": self.hot_pair_window_size, "resident_pairs": len(self._chains.freq) if self._chains else 0, "hydration_scans": 1, "batch_prunes": 0}
+        return {"window_size": self.hot_pair_window_size, "resident_pairs": self._pairs(), "hydration_scans": 1, "batch_prunes": 0}
 
     def memory_usage(self) -> dict[str, int]:
-        c = self._chains
-        return {"words": len(self._inventory), "symbols": len(c.symbol) if c else 0, "pairs": len(c.freq) if c else 0}
+        started = self._chains or self._kernel
+        return {"words": len(self._words), "symbols": int(pa.compute.sum(pa.compute.binary_length(self._words)).as_py() or 0) if started else 0, "pairs": self._pairs()}
+
+    def _pairs(self) -> int:
+        return self._kernel.pairs() if self._kernel else len(self._chains.freq) if self._chains else 0
 
     def add_words(self, words: Mapping[str, int] | Iterable[tuple[str, int]]) -> None:
         """Replaces the inventory; words that come twice stay two rows; special tokens are skipped."""
-        rows = words.items() if isinstance(words, Mapping) else words
-        specials = set(self.specials)
-        self._inventory = [(w, int(f)) for w, f in rows if w not in specials]
-        self._chains = None
+        rows = list(words.items() if isinstance(words, Mapping) else words)
+        self._take(pa.array([w for w, _ in rows], pa.large_string()), np.array([int(f) for _, f in rows], np.int64))
 
     def add_inventory(self, words: DataFrame) -> None:
         """The inventory of a (word, freq) table, brought to the driver as Arrow."""
-        t = words.select("word", "freq").toArrow()
-        self.add_words(zip(t.column("word").to_pylist(), t.column("freq").to_pylist()))
+        t = words.select("word", "freq").toArrow().combine_chunks()
+        col = t.column("word").cast(pa.large_string())
+        self._take(col.combine_chunks() if col.num_chunks != 1 else col.chunk(0), t.column("freq").to_numpy())
+
+    def _take(self, words: pa.Array, weights: np.ndarray) -> None:
+        if self.specials:
+            keep = pa.compute.invert(pa.compute.is_in(words, pa.array(self.specials, pa.large_string())))
+            words, weights = words.filter(keep), weights[keep.to_numpy(zero_copy_only=False)]
+        self._words, self._weights = words, weights
+        self._chains = self._kernel = None
+
+    def _compiled(self) -> Kernel | None:
+        """The loop in the JVM, if it can do this training."""
+        spark = SparkSession.getActiveSession()
+        if spark is None or self.unit != "byte" or self.tie_break != TIE_BREAKS[0] or self.merges or not len(self._words):
+            return None
+        _, ends, data = self._words.buffers()
+        at = np.frombuffer(ends, np.int64, len(self._words) + 1, self._words.offset * 8)
+        if at[-1] - at[0] >= 1 << 30:
+            return None
+        raw = (data or b"")[at[0] : at[-1]]
+        return Kernel(spark, raw if isinstance(raw, bytes) else raw.to_pybytes(), at[1:] - at[0], self._weights, [self._byte_id[b] for b in range(256)])
 
     def add_word_counter(self, counter) -> None:
         """Takes a counter's words; it is empty and reusable afterwards."""
@@ -242,11 +269,14 @@ class BpeTrainer:
 
     def init_training(self) -> None:
         """Counts pairs and characters of the inventory as it is now; nothing to do for a finished trainer."""
-        if self._final or self._poisoned:
+        if self._final or self._poisoned or self._kernel:
             return
+        self._chars: dict[int, int] = defaultdict(int) if self._chains is None else self._chars
         if self._chains is None:
-            words, weights = [self._symbols(w) for w, _ in self._inventory], [f for _, f in self._inventory]
-            self._chars: dict[int, int] = defaultdict(int)
+            self._kernel = self._compiled()
+            if self._kernel:
+                return
+            words, weights = [self._symbols(w) for w in self._words.to_pylist()], self._weights.tolist()
             for k, (word, f) in enumerate(zip(words, weights)):
                 if self.unit == "unicode":
                     for s in word:
@@ -304,12 +334,25 @@ class BpeTrainer:
         self._check_open()
         if self._chains is None:
             self.init_training()
+        if self._kernel:
+            if not self._run_kernel(1, 0):
+                raise M.TrainStepError("no candidate is left")
+            return self.vocab_size
         best = self._best()
         if best is None:
             raise M.TrainStepError("no candidate is left")
         self._apply(*best)
         return self.vocab_size
 
+    def _run_kernel(self, steps: int, cutoff: int) -> int:
+        """That many merges or fewer; how many there were."""
+        found = self._kernel.train(steps, self.vocab_size, cutoff)
+        for left, right, freq in found:
+            self.merges.append((IDS + left, IDS + right, len(self.tokens), freq))
+            self.tokens.append(self.tokens[left] + self.tokens[right])
+            self._last_event = freq
+        return len(found)
+
     def _check_open(self) -> None:
         if self._poisoned:
             raise RuntimeError("training failed before; create a new trainer")
@@ -322,6 +365,11 @@ class BpeTrainer:
             return
         self._check_open()
         self.init_training()
+        if self._kernel:
+            self._run_kernel(vocab_size - self.vocab_size, self.cutoff or 0)
+            if self.vocab_size < vocab_size and not self._kernel.best():
+                raise M.TrainStepError(f"no candidate is left at {self.vocab_size} tokens")
+            return
         while self.vocab_size < vocab_size:
             best = self._best()
             if best is None:
