@@ -279,9 +279,30 @@ def train_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained(spark, sf_dir, 40, bigram_cutoff_freq=CUTOFF).merges_table(spark).select(*_RANKED)
 
 
-@query()
+#: Steps of Unicode training; symbols are code points, and 2 ** 21 + id for tokens. A character beyond ASCII becomes a
+#: token by its frequency, before pairs as frequent; ``tokens`` are the new ones in the order of ids.
+_UNICODE_STEPS = 40
+_UNICODE = f"""{_WORDS},
+chars as materialized (select unicode(unit) as c, sum(freq)::bigint as f from (select unnest(regexp_extract_all(word, '[^\\x00-\\x7F]')) as unit, freq from words) group by 1),
+t(step, word, s, freq, tokens) as (
+  select 0, word, array_to_string(list_transform(regexp_extract_all(word, '(?s).'), lambda x: '<' || lpad(cast(case when unicode(x) < 128 then 2097152 + unicode(x) else unicode(x) end as varchar), 8, '0') || '>'), ''),
+    freq, cast([] as varchar[]) from words
+  union all (
+    with now as (select any_value(tokens) as tk from t),
+    p as (select unnest(list_zip(x[1:len(x)-1], x[2:])) z, freq from (select regexp_extract_all(s, '<[0-9]+>') x, freq from t where t.step < {_UNICODE_STEPS}) where len(x) > 1),
+    cand as (select 1 as kind, z[1] as l, z[2] as r, sum(freq)::bigint as f from p group by all
+      union all select 0, '<' || lpad(c::varchar, 8, '0') || '>', '', f from chars, now where not list_contains(tk, chr(c))),
+    best as (select *, l[2:9]::int as x, case when kind = 1 then r[2:9]::int end as y from cand order by f desc, kind, l, r limit 1),
+    named as (select kind, l, r, list_transform([x, y], lambda n: case when n is null then '' when n < 2097152 then chr(n) when n < 2097408 then chr(n - 2097152) else tk[n - 2097408 + 1] end) as parts from best, now)
+    select step + 1, word, case when kind = 1 then replace(s, l || r, '<' || lpad(cast(2097408 + step as varchar), 8, '0') || '>') else s end, freq, list_append(tokens, parts[1] || parts[2])
+    from t, named where step < {_UNICODE_STEPS}))"""
+
+
+@query(f"""with recursive {_UNICODE}
+select i::int as id, right('0' || to_hex(i), 2) as token, 'byte' as kind from range(256) r(i)
+union all select (255 + k)::int, hex(encode(tokens[k])), 'token' from (select tokens, unnest(range(1, len(tokens) + 1)) as k from (select any_value(tokens) as tokens from t where step = {_UNICODE_STEPS}))""")
 def train_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trained(spark, sf_dir, 200, unit="unicode").vocab_table(spark)
+    return _trained(spark, sf_dir, _UNICODE_STEPS, unit="unicode").vocab_table(spark).select("id", F.hex("token").alias("token"), "kind")
 
 
 @query()
