@@ -52,7 +52,7 @@ def _shared(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master + "[").startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="mergeloom-")
 
@@ -325,6 +325,8 @@ def model_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _driver_dir(spark: SparkSession) -> str:
     """A new folder, in the shared one, for files that the driver writes and reads itself."""
     path = f"{_shared(spark).removeprefix('file://')}/mergeloom-{uuid.uuid4().hex}"
+    if "://" in path:
+        raise ValueError("this query writes plain files on the driver: spark.checkpoint.dir must be a mounted folder")
     os.makedirs(path)
     return path
 
