@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,11 +89,20 @@ def read_segment(path: str | Path, offset: int, length: int) -> str:
 
 
 def segment_table(spark: SparkSession, path: str | Path, **how) -> DataFrame:
-    """(offset, length, text): the segments of a file in a table, read on the executors from the shared path."""
+    """(offset, length, text): the segments of a file in a table. Cuts are found on the driver; executors read
+    the file, an absolute path that they share or the URI of a file system that pyarrow knows, a segment at a time."""
     cut, where = boundaries(path, **how), str(path)
-    read = F.udf(lambda a, n: read_segment(where, a, n), "string")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = pyarrow.fs.FileSystem.from_uri(where)
+        with system.open_input_file(at) as f:
+            for b in batches:
+                for a, n in zip(*(c.to_pylist() for c in b.columns)):
+                    text = f.read_at(n, a).decode("utf-8", "replace")
+                    yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([n]), pa.array([text])], names=["offset", "length", "text"])
+
     table = spark.createDataFrame(cut, "offset long, length long").repartition(max(1, min(len(cut), 10_000)), "offset")
-    return table.select("offset", "length", read("offset", "length").alias("text"))
+    return table.mapInArrow(read, "offset long, length long, text string")
 
 
 def binary_segment(spark: SparkSession, path: str, offset: int, length: int) -> DataFrame:

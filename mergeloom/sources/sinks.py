@@ -7,7 +7,9 @@ import time
 from pathlib import Path
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mergeloom.operators.inventory import sorted_words
 
@@ -38,10 +40,20 @@ def save_ids(ids: np.ndarray, path: str | Path) -> None:
 
 
 def save_table_ids(encoded: DataFrame, path: str | Path, order: str = "doc_id", ids: str = "ids") -> None:
-    """Ids of all rows in order, streamed to the driver a partition at a time."""
-    rows = encoded.where(f"{ids} is not null").orderBy(order).select(ids)
-    parts = [np.array(r[0], np.uint32) for r in rows.toLocalIterator(prefetchPartitions=True)]
-    save_ids(np.concatenate(parts) if parts else np.zeros(0, np.uint32), path)
+    """Ids of all rows in order as one array, written a partition at a time into a mapped file."""
+    rows = encoded.where(F.col(ids).isNotNull()).persist(StorageLevel.DISK_ONLY)
+    n = rows.agg(F.sum(F.size(ids))).first()[0] or 0
+    packed = str(path).endswith(".npz")
+    plain = f"{path}.npy" if packed else path
+    out, at = np.lib.format.open_memmap(plain, "w+", np.uint32, (n,)) if n else np.zeros(0, np.uint32), 0
+    for r in rows.orderBy(order).select(ids).toLocalIterator(prefetchPartitions=True):
+        out[at : at + len(r[0])] = r[0]
+        at += len(r[0])
+    rows.unpersist()
+    if packed or not n:
+        save_ids(out, path)
+    if packed and n:
+        Path(plain).unlink()
 
 
 def write_manifest(path: str | Path, words_file: str | Path, unique_words: int, occurrences: int, source: dict, pretokenizer: dict, bigrams: dict | None = None) -> None:
