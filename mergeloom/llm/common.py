@@ -33,6 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The temporary folder of each local application that sets none.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediates: ``spark.checkpoint.dir``.
 
@@ -44,8 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="mergeloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="mergeloom-")
+        base = _own[app]
     return base
 
 
@@ -70,6 +76,11 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return back
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    _delete(df.sparkSession, df._mergeloom_path)
+
+
 def table_bytes(df: DataFrame) -> int:
     """Size by Spark's statistics; for files it is their length."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

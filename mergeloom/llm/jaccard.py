@@ -145,6 +145,9 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: flo
     found = C.stored(texts.mapInArrow(sets, FOUND))
     named = C.stored(found.select("fp", F.explode("doc_ids").alias("doc_id")).distinct())
     classes = C.stored(named.groupBy("fp").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least")))
+    if known is not None and not len(known):  # no set meets another: copies alone are linked
+        copies = C.stored(classes.where("weight > 1").select("fp", F.col("least").alias("class_id"), (F.col("weight") - 1).alias("n_links")))
+        return _rows(named, copies)
     grams = found.where("grams is not null").groupBy("fp").agg(F.first("grams").alias("grams"))
     lists = ties.groupBy("fp").agg(F.collect_set("pivot").alias("pivots"))
     tied = C.stored(lists.select("fp", F.explode("pivots").alias("region"), "pivots").select("fp", "region", F.filter("pivots", lambda p: p < F.col("region")).alias("lesser")))
@@ -167,6 +170,11 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: flo
     linked = C.stored(classes.join(links, "fp", "left").join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")).where("n_links > 0"))
     named_class = linked.groupBy("root").agg(F.min("least").alias("class_id"))
     each = C.stored(linked.join(named_class, "root").select("fp", "class_id", "n_links"))
+    return _rows(named, each)
+
+
+def _rows(named: DataFrame, each: DataFrame) -> DataFrame:
+    """What is known of sets, for their documents."""
     return named.join(C.small_side(each), "fp").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
 
 
@@ -431,6 +439,8 @@ def groups(pairs: DataFrame) -> DataFrame:
     edges = C.stored(pairs.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).where("u <> v").distinct())
     while True:
         before = _state(edges)
+        if not before[0]:
+            return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -140,7 +140,9 @@ def met_anchors(texts: DataFrame, length: int, k: int, nb: int, across: bool) ->
         return pa.table({"doc_id": np.concatenate([np.zeros(0, np.int64), *ids]), "hits": pa.array(hits, pa.binary())})
 
     each = held.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(pick, "doc_id long, hits binary")
-    return C.stored(each.groupBy("doc_id").agg(F.collect_list("hits").alias("hits")))
+    hits = C.stored(each.groupBy("doc_id").agg(F.collect_list("hits").alias("hits")))
+    C.discard(held)
+    return hits
 
 
 def bits(raw: bytes, n: int) -> np.ndarray:

@@ -47,8 +47,9 @@ COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
 PERIOD = 7
 #: Leading bits of a symbol that are its anchor's.
 ANCHOR_BITS = 24
-#: What is kept of a slice: its runs in the order of the text, the first and last run of each entry, the symbols of the first.
-PARTS = {"ids": "<i8", "local": "<u2", "pos": "<u4", "begin": "<u4", "n": "<u4", "c": "<u4", "entry": "<u4", "head": "<u4", "tail": "<u4", "m": "<u4", "symbols": "<u8"}
+#: What is kept of a slice: its runs in the order of the text (``base``: where the symbols of each begin),
+#: the first and last run and the number of symbols of each entry, and the symbols of all intervals.
+PARTS = {"ids": "<i8", "local": "<u2", "pos": "<u4", "begin": "<u4", "base": "<u4", "n": "<u4", "c": "<u4", "entry": "<u4", "head": "<u4", "tail": "<u4", "m": "<u4", "symbols": "<u8"}
 SLICE = "slice long, " + ", ".join(f"{x} binary" for x in PARTS)
 #: For the last step: the block of each entry in place of its symbols.
 LAST = ("ids", "local", "pos", "c", "entry", "head")
@@ -180,6 +181,8 @@ def runs_of(words: Words, flag: np.ndarray, ids: np.ndarray, depth: int, symbol:
     c = np.clip(last + 1 - begin, 0, n)
     # the last candidate of an interval looks at the symbols before ``last + depth``
     m = np.minimum(n + depth - 1 + v - 1, last + depth - begin)
+    held = z - a + depth  # symbols of each interval
+    base = begin + (np.cumsum(held) - held - a)[np.searchsorted(z, last)]
     row = words.doc[begin]
     pos = begin - words.first[row]
     taken = symbol[spread(begin, m)]
@@ -191,7 +194,7 @@ def runs_of(words: Words, flag: np.ndarray, ids: np.ndarray, depth: int, symbol:
     entry = np.empty(len(order), np.int64)
     entry[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
     head, tail = order[first], order[np.append(first[1:], len(order)) - 1]
-    return [ids, row, pos, begin, n, c, entry, head, tail, m[head], symbol[spread(begin[head], m[head])]]
+    return [ids, row, pos, begin, base, n, c, entry, head, tail, m[head], symbol[spread(a, held)]]
 
 
 def slices_of(t: pa.Table | pa.RecordBatch, *names: str) -> Iterator[list]:
@@ -239,19 +242,20 @@ def suffix_repeats(docs: DataFrame, length: int = S.LENGTH, gram: int | None = N
 
     def send_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, pos, n, head, m, symbol in slices_of(b, "pos", "n", "head", "m", "symbols"):
-                n, at = n[head], np.cumsum(m) - m
+            for number, pos, base, n, head, m, symbol in slices_of(b, "pos", "base", "n", "head", "m", "symbols"):
+                n, at = n[head], base[head]
                 size, rows = np.minimum(m, n + depth - 1), []
                 for block, i in C.split_by(block_of(symbol[at], nb)):
                     rows.append((block, C.pack(np.array([number], "<i8"), n[i].astype("<u4"), size[i].astype("<u4"), (pos[head[i]] % period).astype("u1"), symbol[spread(at[i], size[i])])))
                 yield C.blob_batch(rows)
 
-    ranks = C.exchange(held.select("slice", "pos", "n", "head", "m", "symbols").mapInArrow(send_sample, C.BLOB), lambda x: rank_sample(x, shifts, depth, nb), "slice long, block int, ranks binary")
+    ranks = C.exchange(held.select("slice", "pos", "base", "n", "head", "m", "symbols").mapInArrow(send_sample, C.BLOB), lambda x: rank_sample(x, shifts, depth, nb), "slice long, block int, ranks binary")
 
     def send_suffixes(t: pa.Table, found: pa.Table) -> pa.Table:
+        """The candidates of a slice with the ranks after them, for their blocks."""
         known, rows = dict(zip(found.column("block").to_pylist(), found.column("ranks").to_pylist())), []
-        for number, ids, local, pos, begin, n, c, entry, head, tail, m, symbol in slices_of(t, *PARTS):
-            at = np.cumsum(m) - m
+        for number, ids, local, pos, begin, base, n, c, entry, head, tail, _, symbol in slices_of(t, *PARTS):
+            at = base[head]
             blocks = list(C.split_by(block_of(symbol[at], nb)))
             # ranks of the sample suffixes of each entry, then at the words of all runs
             base = np.cumsum(n[head]) - n[head]
@@ -313,7 +317,7 @@ def suffix_repeats(docs: DataFrame, length: int = S.LENGTH, gram: int | None = N
 
 def _without_symbols(batches: Iterator[pa.RecordBatch], nb: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        block = [block_of(symbol[np.cumsum(m) - m], nb).astype("<u4").tobytes() for _, m, symbol in slices_of(b, "m", "symbols")]
+        block = [block_of(symbol[base[head]], nb).astype("<u4").tobytes() for _, base, head, symbol in slices_of(b, "base", "head", "symbols")]
         yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("slice", *LAST)] + [pa.array(block, pa.binary())], names=["slice", *LAST, "block"])
 
 

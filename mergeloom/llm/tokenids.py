@@ -151,9 +151,13 @@ class Tokenizer:
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
-    """A rank file (``base64(token) rank`` a line), read on the driver from any file system of the session."""
-    url = path if "://" in path else f"file://{path}"
-    return {base64.b64decode(a): int(b) for a, _, b in (r.value.partition(" ") for r in spark.read.text(url).collect()) if a}
+    """A rank file (``base64(token) rank`` a line): a path of the driver, or a URL of any file system of the session."""
+    if "://" in path:
+        lines = [r.value for r in spark.read.text(path).collect()]
+    else:
+        with open(path, encoding="ascii") as f:
+            lines = f.read().splitlines()
+    return {base64.b64decode(a): int(b) for a, _, b in (x.partition(" ") for x in lines) if a}
 
 
 # --- codes ------------------------------------------------------------------
