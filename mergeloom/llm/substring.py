@@ -7,8 +7,9 @@
 2. Extension. Around a seed occurrence a match extends to the left and to the
    right by as many words as there are stretches with that anchor. All
    occurrences of a seed meet again with the hashes of these stretches; equal
-   ones are matches, however many documents have them: no pairs are listed, so
-   a passage in D documents costs D, not D squared.
+   ones are matches, however many documents have them: no pairs are listed, and
+   equal runs of stretches of one slice of documents are sent once, so a passage
+   in D documents costs as many entries as there are slices that have it.
 3. Maximal repeats. Consecutive matching stretches of a document are chained;
    a chain that cannot grow is a span of the result.
 
@@ -30,6 +31,24 @@ from mergeloom.llm.tokens import Words, slices, window_hash
 
 LENGTH, GRAM = 50, 16
 SPANS = "doc_id long, start_word int, n_words int, is_first boolean"
+#: Runs of a slice in the order of its text: row, position, how many stretches, entry (equal runs are one); the first run and the block of each entry.
+LAST = {"ids": "<i8", "local": "<u2", "pos": "<u4", "c": "<u4", "entry": "<u4", "head": "<u4", "block": "<u4"}
+LAST_SCHEMA = "slice long, " + ", ".join(f"{x} binary" for x in LAST)
+#: ... with the last run of each entry and the hashes of its stretches.
+SEEDED = LAST | {"tail": "<u4", "h": "<u8"}
+FLAGS = "slice long, block int, again binary, first binary"
+
+
+def parts_of(t: pa.Table | pa.RecordBatch, dtypes: dict[str, str]) -> Iterator[list]:
+    """[slice, arrays...] of each row; small integers are widened."""
+    for number, *raw in zip(*(t.column(t.schema.get_field_index(c)).to_pylist() for c in ("slice", *dtypes))):
+        yield [number] + [x if d == "<u8" else x.astype(np.int64) for d, x in ((d, np.frombuffer(x, d)) for d, x in zip(dtypes.values(), raw))]
+
+
+def spread(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (many[0] of them), then begin[1], ..."""
+    end = np.cumsum(many)
+    return np.repeat(begin - (end - many), many) + np.arange(end[-1] if len(end) else 0)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -190,23 +209,6 @@ def chain(blobs: list[bytes], length: int) -> pa.Table:
     return pa.table({"doc_id": ids[cut], "start_word": start[cut].astype(np.int32), "n_words": (many + length - 1).astype(np.int32), "is_first": first[cut]})
 
 
-def equal_stretches(h: np.ndarray, who: np.ndarray, start: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Which stretches have an equal elsewhere, and which are the first of theirs by (document, word)."""
-    order = np.argsort(h, kind="stable")
-    h, place = h[order], (who[order].astype(np.uint64) << np.uint64(32)) | start[order].astype(np.uint64)
-    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    many = np.diff(np.concatenate([begin, [len(h)]]))
-    least, most = np.minimum.reduceat(place, begin), np.maximum.reduceat(place, begin)
-    if across:
-        again = (least >> np.uint64(32)) != (most >> np.uint64(32))
-    else:
-        again = least != most
-    hit, first = np.empty(len(h), bool), np.empty(len(h), bool)
-    hit[order] = np.repeat(again, many)
-    first[order] = place == np.repeat(least, many)
-    return hit, first
-
-
 def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     """(doc_id, start_word, n_words, is_first): maximal repeats of ``length`` words or more.
 
@@ -228,6 +230,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> D
     hits = met_anchors(texts, length, k, nb, True)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for b in slices(batches):
             words = Words(b.column(1))
             at, anchor, gram = anchors(words, length, k)
@@ -235,25 +238,82 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> D
             at, anchor = at[seed], anchor[seed]
             if not len(at):
                 continue
-            h = window_hash(words.hash, length)[at]
-            cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
-            many = np.diff(np.concatenate([cut, [len(at)]]))
-            ids, row = b.column(0).to_numpy(), words.doc[at[cut]]
-            rows = []
-            for bucket, i in C.split_by(C.bucket_of(gram[anchor[cut]], nb)):
-                take = np.repeat(cut[i] - np.concatenate([[0], np.cumsum(many[i])[:-1]]), many[i]) + np.arange(many[i].sum())
-                rows.append((bucket, C.pack(ids[row[i]].astype("<i8"), (at[cut[i]] - words.first[row[i]]).astype("<u4"), many[i].astype("<u4"), h[take])))
-            yield C.blob_batch(rows)
-
-    def match(blobs: list[bytes]) -> pa.Table:
-        ids, start, many, h = (np.concatenate(x) for x in C.gather(blobs, "<i8", "<u4", "<u4", "<u8"))
-        _, rank = np.unique(ids, return_inverse=True)
-        occ = np.repeat(np.arange(len(ids)), many)
-        start = np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(len(h))
-        hit, first = equal_stretches(h, rank[occ], start, True)
-        ids, start, first = ids[occ[hit]], start[hit], first[hit]
-        rows = [(b, pack_runs(ids[i], start[i], first[i])) for b, i in C.split_by(C.bucket_of(ids.view(np.uint64), nb))]
+            h, ids = window_hash(words.hash, length)[at], b.column(0).to_numpy()
+            begin = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
+            c = np.diff(np.append(begin, len(at)))
+            row = words.doc[at[begin]]
+            pos = at[begin] - words.first[row]
+            content = np.add.reduceat(C.mix(h + (np.arange(len(h)) - np.repeat(begin, c)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), begin)
+            order = np.lexsort((pos, ids[row], content))
+            first = np.flatnonzero(np.concatenate([[True], content[order][1:] != content[order][:-1]]))
+            entry = np.empty(len(order), np.int64)
+            entry[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+            head, tail = order[first], order[np.append(first[1:], len(order)) - 1]
+            parts = [ids, row, pos, c, entry, head, C.bucket_of(gram[anchor[begin[head]]], nb), tail, h[spread(begin[head], c[head])]]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())] + [pa.array([x.astype(d).tobytes()], pa.binary()) for x, d in zip(parts, SEEDED.values())], names=["slice", *SEEDED])
+            number += 1
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, ids, local, pos, c, _, head, block, tail, h in parts_of(b, SEEDED):
+                start, rows = np.cumsum(c[head]) - c[head], []
+                for bucket, i in C.split_by(block):
+                    j = head[i]
+                    rows.append((bucket, C.pack(np.array([number], "<i8"), np.array([bucket], "<u4"), c[j].astype("<u4"), ids[local[j]], pos[j].astype("<u4"), ids[local[tail[i]]], h[spread(start[i], c[j])])))
+                yield C.blob_batch(rows)
+
+    held = C.stored(with_hits(texts, hits).mapInArrow(extend, "slice long, " + ", ".join(f"{x} binary" for x in SEEDED)))
+    return spans(held.select("slice", *LAST), C.exchange(held.mapInArrow(send, C.BLOB), match, FLAGS), nb, length)
+
+
+def match(blobs: list[bytes]) -> pa.Table:
+    """Runs of stretches around the seeds of a bucket -> which are found in another document, and which are the first of theirs."""
+    number, bucket, c, doc, pos, last, h = C.gather(blobs, "<i8", "<u4", "<u4", "<i8", "<u4", "<i8", "<u8")
+    count = [len(x) for x in h]
+    c, doc, pos, last, h = (np.concatenate(x) for x in (c, doc, pos, last, h))
+    c = c.astype(np.int64)
+    _, who = np.unique(np.concatenate([doc, last]), return_inverse=True)
+    low, high = np.repeat(who[: len(doc)], c).astype(np.uint64), np.repeat(who[len(doc) :], c)
+    place = (low << np.uint64(32)) | spread(pos.astype(np.int64), c).astype(np.uint64)
+    order = np.argsort(h, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    many = np.diff(np.append(begin, len(h)))
+    least = np.minimum.reduceat(place[order], begin)
+    again, first = np.empty(len(h), bool), np.empty(len(h), bool)
+    again[order] = np.repeat((least >> np.uint64(32)).astype(np.int64) != np.maximum.reduceat(high[order], begin), many)
+    first[order] = place[order] == np.repeat(least, many)
+    return flag_rows(np.concatenate(number), int(bucket[0][0]), count, again, first)
+
+
+def flag_rows(number: np.ndarray, block: int, count: list[int], again: np.ndarray, first: np.ndarray) -> pa.Table:
+    """Two bits for each of the suffixes or stretches that each slice has sent."""
+    parts = [[np.packbits(x).tobytes() for x in np.split(y, np.cumsum(count)[:-1])] for y in (again, first)]
+    return pa.table({"slice": number, "block": pa.array([block] * len(count), pa.int32()), "again": pa.array(parts[0], pa.binary()), "first": pa.array(parts[1], pa.binary())})
+
+
+def spans(held: DataFrame, flags: DataFrame, nb: int, length: int) -> DataFrame:
+    """Runs of slices (LAST) and what their entries are told (FLAGS) -> SPANS."""
+
+    def settle(t: pa.Table, found: pa.Table) -> pa.Table:
+        known = {b: (x, y) for b, x, y in zip(*(found.column(c).to_pylist() for c in ("block", "again", "first")))}
+        rows = []
+        for _, ids, local, pos, c, entry, head, block in parts_of(t, LAST):
+            base = np.cumsum(c[head]) - c[head]
+            again, first = np.zeros(int(c[head].sum()), bool), np.zeros(int(c[head].sum()), bool)
+            for b, i in C.split_by(block):
+                i = i[c[head[i]] > 0]
+                if len(i):
+                    own = spread(base[i], c[head[i]])
+                    again[own], first[own] = (bits(x, len(own)) for x in known[b])
+            of = spread(base[entry], c)
+            own = np.repeat(head[entry] == np.arange(len(entry)), c)
+            hit, first = again[of], first[of] & own
+            run = np.repeat(np.arange(len(c)), c)[hit]
+            start, first = spread(pos, c)[hit], first[hit]
+            doc = ids[local[run]]
+            for b, i in C.split_by(C.bucket_of(doc.view(np.uint64), nb)):
+                rows.append((b, pack_runs(doc[i], start[i], first[i])))
         return pa.Table.from_batches([C.blob_batch(rows)])
 
-    held = with_hits(texts, hits).mapInArrow(extend, C.BLOB)
-    return C.exchange(C.exchange(held, match, C.BLOB), lambda x: chain(x, length), SPANS)
+    done = held.groupBy("slice").cogroup(flags.groupBy("slice")).applyInArrow(settle, C.BLOB)
+    return C.exchange(done, lambda x: chain(x, length), SPANS)

@@ -51,9 +51,6 @@ ANCHOR_BITS = 24
 #: the first and last run and the number of symbols of each entry, and the symbols of all intervals.
 PARTS = {"ids": "<i8", "local": "<u2", "pos": "<u4", "begin": "<u4", "base": "<u4", "n": "<u4", "c": "<u4", "entry": "<u4", "head": "<u4", "tail": "<u4", "m": "<u4", "symbols": "<u8"}
 SLICE = "slice long, " + ", ".join(f"{x} binary" for x in PARTS)
-#: For the last step: the block of each entry in place of its symbols.
-LAST = ("ids", "local", "pos", "c", "entry", "head")
-HEADS = "slice long, " + ", ".join(f"{x} binary" for x in (*LAST, "block"))
 
 
 def cover(v: int) -> np.ndarray:
@@ -80,12 +77,6 @@ class Shifts:
                 self.slot[r, q] = list(self.ahead[r]).index(min(both))
 
 
-def spread(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... (many[0] of them), then begin[1], ..."""
-    end = np.cumsum(many)
-    return np.repeat(begin - (end - many), many) + np.arange(end[-1] if len(end) else 0)
-
-
 def ranked(x: np.ndarray) -> np.ndarray:
     """Dense ranks, from 1 on."""
     order = np.argsort(x, kind="stable")
@@ -125,7 +116,7 @@ def sort_ties(group: np.ndarray, residue: np.ndarray, ranks: np.ndarray, shifts:
     bound = first.copy()  # where a class of equal suffixes begins
     begin, many = begin[many > 1], many[many > 1]
     while len(begin):
-        at = spread(begin, many)
+        at = S.spread(begin, many)
         part = np.repeat(np.arange(len(begin)), many)
         mine, pivot = order[at], order[begin + many // 2][part]
         r, q = residue[mine], residue[pivot]
@@ -174,7 +165,7 @@ def runs_of(words: Words, flag: np.ndarray, ids: np.ndarray, depth: int, symbol:
     new = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(words.doc[at]) > 0)])
     a, z = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
     many = z - a + v
-    where, last = spread(a, many), np.repeat(z, many)
+    where, last = S.spread(a, many), np.repeat(z, many)
     block = block_of(symbol[where], nb)
     cut = np.flatnonzero(np.concatenate([[True], (np.diff(last) != 0) | (np.diff(block) != 0)]))
     n, begin, last = np.diff(np.append(cut, len(where))), where[cut], last[cut]
@@ -185,7 +176,7 @@ def runs_of(words: Words, flag: np.ndarray, ids: np.ndarray, depth: int, symbol:
     base = begin + (np.cumsum(held) - held - a)[np.searchsorted(z, last)]
     row = words.doc[begin]
     pos = begin - words.first[row]
-    taken = symbol[spread(begin, m)]
+    taken = symbol[S.spread(begin, m)]
     offset = (np.arange(len(taken)) - np.repeat(np.cumsum(m) - m, m)).astype(np.uint64)
     h = np.add.reduceat(C.mix(taken + offset * np.uint64(0x9E3779B97F4A7C15)), np.cumsum(m) - m)
     h = C.mix(h + (pos % v + v * (c + (n << 28))).astype(np.uint64))
@@ -194,13 +185,12 @@ def runs_of(words: Words, flag: np.ndarray, ids: np.ndarray, depth: int, symbol:
     entry = np.empty(len(order), np.int64)
     entry[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
     head, tail = order[first], order[np.append(first[1:], len(order)) - 1]
-    return [ids, row, pos, begin, base, n, c, entry, head, tail, m[head], symbol[spread(a, held)]]
+    return [ids, row, pos, begin, base, n, c, entry, head, tail, m[head], symbol[S.spread(a, held)]]
 
 
 def slices_of(t: pa.Table | pa.RecordBatch, *names: str) -> Iterator[list]:
     """[slice, parts...] of each row."""
-    for number, *raw in zip(*(t.column(t.schema.get_field_index(c)).to_pylist() for c in ("slice", *names))):
-        yield [number] + [x if c == "symbols" else x.astype(np.int64) for c, x in ((c, np.frombuffer(x, PARTS.get(c, "<u4"))) for c, x in zip(names, raw))]
+    return S.parts_of(t, {c: PARTS[c] for c in names})
 
 
 def suffix_repeats(docs: DataFrame, length: int = S.LENGTH, gram: int | None = None, period: int = PERIOD) -> DataFrame:
@@ -246,7 +236,7 @@ def suffix_repeats(docs: DataFrame, length: int = S.LENGTH, gram: int | None = N
                 n, at = n[head], base[head]
                 size, rows = np.minimum(m, n + depth - 1), []
                 for block, i in C.split_by(block_of(symbol[at], nb)):
-                    rows.append((block, C.pack(np.array([number], "<i8"), n[i].astype("<u4"), size[i].astype("<u4"), (pos[head[i]] % period).astype("u1"), symbol[spread(at[i], size[i])])))
+                    rows.append((block, C.pack(np.array([number], "<i8"), n[i].astype("<u4"), size[i].astype("<u4"), (pos[head[i]] % period).astype("u1"), symbol[S.spread(at[i], size[i])])))
                 yield C.blob_batch(rows)
 
     ranks = C.exchange(held.select("slice", "pos", "base", "n", "head", "m", "symbols").mapInArrow(send_sample, C.BLOB), lambda x: rank_sample(x, shifts, depth, nb), "slice long, block int, ranks binary")
@@ -262,11 +252,11 @@ def suffix_repeats(docs: DataFrame, length: int = S.LENGTH, gram: int | None = N
             rank, less = np.zeros(int(n[head].sum()), np.uint32), np.zeros((int(n[head].sum()), period), np.uint32)
             for block, i in blocks:
                 r, d = C.unpack(known[block], "<u4", "<u4")
-                own = spread(base[i], n[head[i]])
+                own = S.spread(base[i], n[head[i]])
                 own = own[shifts.flag[(own - np.repeat(base[i], n[head[i]]) + np.repeat(pos[head[i]], n[head[i]])) % period]]
                 rank[own] = r
                 less[own, 1:] = d.reshape(period - 1, -1).T
-            where, of = spread(begin, n), spread(base[entry], n)
+            where, of = S.spread(begin, n), S.spread(base[entry], n)
             order = np.argsort(where, kind="stable")  # where intervals overlap, the later one looks further
             final = np.append(where[order][1:] != where[order][:-1], True)
             where, of = where[order][final], of[order][final]
@@ -276,49 +266,27 @@ def suffix_repeats(docs: DataFrame, length: int = S.LENGTH, gram: int | None = N
                     continue
                 h = head[i]
                 size = c[h] + period - 1
-                far = of[np.searchsorted(where, spread(begin[h], size))]
+                far = of[np.searchsorted(where, S.spread(begin[h], size))]
                 start = np.cumsum(size) - size
-                mine = spread(start, c[h])
+                mine = S.spread(start, c[h])
                 residue = (np.repeat(pos[h], c[h]) + mine - np.repeat(start, c[h])) % period
                 step = shifts.ahead[residue]
                 sample = shifts.flag[(np.repeat(pos[h], size) + np.arange(len(far)) - np.repeat(start, size)) % period]
                 delta = less[far[mine[:, None] + step], step]
-                rows.append((block, C.pack(np.array([number], "<i8"), c[h].astype("<u4"), (pos[h] % period).astype("u1"), ids[local[h]], pos[h].astype("<u4"), ids[local[tail[i]]], pos[tail[i]].astype("<u4"), symbol[spread(at[i], size)], rank[far[sample]], np.ascontiguousarray(delta.T).reshape(-1))))
+                rows.append((block, C.pack(np.array([number], "<i8"), c[h].astype("<u4"), (pos[h] % period).astype("u1"), ids[local[h]], pos[h].astype("<u4"), ids[local[tail[i]]], pos[tail[i]].astype("<u4"), symbol[S.spread(at[i], size)], rank[far[sample]], np.ascontiguousarray(delta.T).reshape(-1))))
         return pa.Table.from_batches([C.blob_batch(rows)])
 
     sent = held.groupBy("slice").cogroup(ranks.groupBy("slice")).applyInArrow(send_suffixes, C.BLOB)
-    flags = C.exchange(sent, lambda x: sort_block(x, shifts, nb), "slice long, block int, again binary, first binary")
-
-    def spans(t: pa.Table, found: pa.Table) -> pa.Table:
-        known = {b: (x, y) for b, x, y in zip(*(found.column(c).to_pylist() for c in ("block", "again", "first")))}
-        rows = []
-        for number, ids, local, pos, c, entry, head, block in slices_of(t, "ids", "local", "pos", "c", "entry", "head", "block"):
-            base = np.cumsum(c[head]) - c[head]
-            again, first = np.zeros(int(c[head].sum()), bool), np.zeros(int(c[head].sum()), bool)
-            for b, i in C.split_by(block):
-                i = i[c[head[i]] > 0]
-                if len(i):
-                    own = spread(base[i], c[head[i]])
-                    again[own], first[own] = (S.bits(x, len(own)) for x in known[b])
-            of = spread(base[entry], c)
-            own = np.repeat(head[entry] == np.arange(len(entry)), c)
-            hit, first = again[of], first[of] & own
-            run = np.repeat(np.arange(len(c)), c)[hit]
-            start, first = spread(pos, c)[hit], first[hit]
-            doc = ids[local[run]]
-            for b, i in C.split_by(C.bucket_of(doc.view(np.uint64), nb)):
-                rows.append((b, S.pack_runs(doc[i], start[i], first[i])))
-        return pa.Table.from_batches([C.blob_batch(rows)])
+    flags = C.exchange(sent, lambda x: sort_block(x, shifts, nb), S.FLAGS)
 
-    heads = held.mapInArrow(lambda batches: _without_symbols(batches, nb), HEADS)
-    done = heads.groupBy("slice").cogroup(flags.groupBy("slice")).applyInArrow(spans, C.BLOB)
-    return C.exchange(done, lambda x: S.chain(x, length), S.SPANS)
+    return S.spans(held.mapInArrow(lambda batches: _without_symbols(batches, nb), S.LAST_SCHEMA), flags, nb, length)
 
 
 def _without_symbols(batches: Iterator[pa.RecordBatch], nb: int) -> Iterator[pa.RecordBatch]:
+    """For the last step: the block of each entry in place of its symbols."""
     for b in batches:
         block = [block_of(symbol[base[head]], nb).astype("<u4").tobytes() for _, base, head, symbol in slices_of(b, "base", "head", "symbols")]
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("slice", *LAST)] + [pa.array(block, pa.binary())], names=["slice", *LAST, "block"])
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("slice", *S.LAST) if c != "block"] + [pa.array(block, pa.binary())], names=["slice", *S.LAST])
 
 
 def rank_sample(blobs: list[bytes], shifts: Shifts, depth: int, nb: int) -> pa.Table:
@@ -334,7 +302,7 @@ def rank_sample(blobs: list[bytes], shifts: Shifts, depth: int, nb: int) -> pa.T
     n, m, residue, symbol = (np.concatenate(x) for x in (n, m, residue, symbol))
     n, m = n.astype(np.int64), m.astype(np.int64)
     base = np.cumsum(m) - m
-    at = spread(base, n)
+    at = S.spread(base, n)
     take = shifts.flag[(np.repeat(residue, n) + at - np.repeat(base, n)) % v]
     at, run = at[take], np.repeat(np.arange(len(n)), n)[take]
     doubling = Doubling(symbol, m)
@@ -363,7 +331,7 @@ def sort_block(blobs: list[bytes], shifts: Shifts, nb: int) -> pa.Table:
     c = c.astype(np.int64)
     m = c + v - 1
     base = np.cumsum(m) - m
-    at = spread(base, c)
+    at = S.spread(base, c)
     step = at - np.repeat(base, c)
     group = Doubling(symbol, m).ranks(v)[at]
     own = np.repeat(residue, c)
@@ -380,5 +348,4 @@ def sort_block(blobs: list[bytes], shifts: Shifts, nb: int) -> pa.Table:
     again, first = np.empty(len(order), bool), np.empty(len(order), bool)
     again[order] = np.repeat(least != most, many)
     first[order] = place[0][order] == np.repeat(least, many)
-    parts = [[np.packbits(x).tobytes() for x in np.split(y, np.cumsum(count)[:-1])] for y in (again, first)]
-    return pa.table({"slice": np.concatenate(number), "block": pa.array([block] * len(count), pa.int32()), "again": pa.array(parts[0], pa.binary()), "first": pa.array(parts[1], pa.binary())})
+    return S.flag_rows(np.concatenate(number), block, count, again, first)
