@@ -20,7 +20,7 @@ from mergeloom.operators.pretokenizer import PreTokenizer
 from mergeloom.operators.trainer import BpeTrainer
 from mergeloom.plans import distributed
 from mergeloom.plans import model as M
-from mergeloom.sources import sinks, texts
+from mergeloom.sources import segments, sinks, texts
 from mergeloom.streaming import counts as streams
 
 SPECIALS = ["The ", "And ", " | "]
@@ -560,3 +560,43 @@ def units_outside_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 select byte, case when shown then chr(byte) else chr((256 + sum((not shown)::int) over (order by byte) - 1)::int) end as printable from s""")
 def printable_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(A.byte_to_printable().items()), "byte int, printable string")
+
+
+def _file_of(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The texts of a table in one file, an end mark behind each."""
+    path = f"{_driver_dir(spark)}/{name}.txt"
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.writelines(t + P.END_OF_TEXT for t in _source(spark, sf_dir, name))
+    return path
+
+
+@query(f"select word, count(*) as freq from (select unnest({_pieces('text')}) as word from conversations) group by 1")
+def segment_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file cut into segments at end marks, its segments counted in a table."""
+    parts = segments.segment_table(spark, _file_of(spark, sf_dir, "conversations"), count=16, mode="eot")
+    return PreTokenizer([P.END_OF_TEXT]).words(parts)
+
+
+@query(f"select word, count(*) as freq from (select unnest({_pieces('text')}) as word from conversations) group by 1")
+def file_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on the driver, by segments of a size."""
+    found = PreTokenizer([P.END_OF_TEXT]).get_words_from_file(_file_of(spark, sf_dir, "conversations"), chunk_size=100_000, boundary="eot")
+    return spark.createDataFrame(list(found.items()), "word string, freq long")
+
+
+@query(f"with recursive {_training(STEPS, words=_WORDS_TOO)}, {_IDS}, p as (select unnest({_pieces('text')}) as word from benchmark) select (select sum(len(ids)) from p join ids using (word))::bigint as n_tokens, (select count(*) from benchmark) as n_ends")
+def encode_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a file, read by segments."""
+    trainer = BpeTrainer([P.END_OF_TEXT])
+    trainer.add_inventory(_words(spark, sf_dir))
+    trainer.train(trainer.vocab_size + STEPS)
+    ids = trainer.finish().encode_file(_file_of(spark, sf_dir, "benchmark"), num_chunks=8)
+    return spark.createDataFrame([(int((ids != 0).sum()), int((ids == 0).sum()))], "n_tokens long, n_ends long")
+
+
+@query(f"with {_WORDS} select word, freq from words")
+def whole_file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files read whole, one text each."""
+    path = f"{_shared(spark)}/whole-{uuid.uuid4().hex}"
+    texts.write_sample(_docs(spark, sf_dir), path)
+    return PreTokenizer([P.END_OF_TEXT]).words(texts.whole_files(spark, path))
