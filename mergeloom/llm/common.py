@@ -10,6 +10,7 @@ cost per key is that of numpy, not of a row.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import tempfile
 import uuid
@@ -33,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
 #: The temporary folder of each local application that sets none.
 _own: dict[str, str] = {}
 
@@ -138,6 +144,23 @@ def bounded_batches(spark: SparkSession) -> None:
 # --- packed arrays -----------------------------------------------------------
 
 
+def trim() -> None:
+    """Give memory that this worker has freed back to the system: workers are kept, and allocators keep it for them."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that trims when a partition is done."""
+
+    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return after
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(a) for a in arrays], "<u4").tobytes()
     return head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
@@ -196,6 +219,8 @@ def exchange(df: DataFrame, reduce: Callable[[list[bytes]], Iterable[pa.RecordBa
     """Bring all blobs of a bucket together and apply ``reduce`` to them."""
 
     def run(t: pa.Table) -> pa.Table:
-        return reduce(t.column("blob").to_pylist())
+        out = reduce(t.column("blob").to_pylist())
+        trim()
+        return out
 
     return df.groupBy("bucket").applyInArrow(run, schema)

@@ -219,7 +219,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cov
             text = _without(w, flag, removed, b.column(1)) if flag.any() else b.column(1)
             yield pa.RecordBatch.from_arrays([b.column(0), text, pa.array(w.count, pa.int32()), pa.array(removed, pa.int32())], names=["doc_id", "text", "n_words", "n_removed"])
 
-    return marked.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_words int, n_removed int")
+    return marked.mapInArrow(C.trimmed(cut), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_words int, n_removed int")
 
 
 def _without(w: Words, flag: np.ndarray, removed: np.ndarray, text: pa.Array) -> pa.Array:
@@ -257,7 +257,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, c
                 b = b.set_column(0, "text", _without(w, flag, removed, b.column(0)))
             yield b.filter(pa.array((removed == 0) | (removed < w.count)))
 
-    out = marked.mapInArrow(cut, marked.schema)
+    out = marked.mapInArrow(C.trimmed(cut), marked.schema)
     found = {c: F.col(f"rest.c{k}") for k, c in enumerate(rest)} | {"text": F.col("text")}
     if "n_chars" in found:
         found["n_chars"] = F.when(F.col("text").isNull(), found["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)

@@ -119,7 +119,7 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: flo
             link, row = link[one[row]], row[one[row]]
             yield C.blob_batch([(k, _cells_blob(link[i], row[i], fp, size)) for k, i in C.split_by(C.bucket_of(link, nb))])
 
-    cells = C.exchange(texts.mapInArrow(send, C.BLOB), lambda blobs: _link(blobs, nb), C.BLOB)
+    cells = C.exchange(texts.mapInArrow(C.trimmed(send), C.BLOB), lambda blobs: _link(blobs, nb), C.BLOB)
     ties = C.stored(C.exchange(cells, lambda blobs: _choose(blobs, threshold, slack), "fp long, pivot long"))
     shared = ties.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1").select("pivot")
     ties = C.stored(ties.join(shared, "pivot", "left_semi"))
@@ -142,7 +142,7 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: flo
                 names=["fp", "n", "doc_ids", "grams"],
             )
 
-    found = C.stored(texts.mapInArrow(sets, FOUND))
+    found = C.stored(texts.mapInArrow(C.trimmed(sets), FOUND))
     named = C.stored(found.select("fp", F.explode("doc_ids").alias("doc_id")).distinct())
     classes = C.stored(named.groupBy("fp").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least")))
     if known is not None and not len(known):  # no set meets another: copies alone are linked
@@ -392,6 +392,7 @@ def _join_regions(t: pa.Table, threshold: float) -> pa.Table:
             found.blocks(mine, np.flatnonzero(~own[a:z]))
         got = np.flatnonzero(found.links)
         out.append((fp[a:z][got], fp[a:z][found.root[got]], found.links[got]))
+    C.trim()
     x, y, n = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
     return pa.table({"fp": x, "root": y, "links": n})
 

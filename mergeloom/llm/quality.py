@@ -193,7 +193,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
             kinds, many = np.unique(code, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(many, pa.int64())], names=["pattern", "n"])
 
-    found = docs.select("text").mapInArrow(cast, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    found = docs.select("text").mapInArrow(C.trimmed(cast), "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     code = np.array([r.pattern for r in found], np.int64)
     patterns = (code[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1).astype(np.int8).reshape(len(code), len(LABELLERS))
     _, _, good = fit_labellers(patterns, np.array([r.n for r in found], float))
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
     if most is None:
         return Scorer(np.zeros(1 << BITS), 0.0)
     # measured where the texts lie; equal rows are one
-    rows = hashed.where(F.col("h") <= F.lit(most)).mapInArrow(measure, "h long, good double, features binary, values binary").dropDuplicates(["h"]).collect()
+    rows = hashed.where(F.col("h") <= F.lit(most)).mapInArrow(C.trimmed(measure), "h long, good double, features binary, values binary").dropDuplicates(["h"]).collect()
     rows.sort(key=lambda r: (bytes(r.features), bytes(r["values"])))
     return train_scorer([(np.frombuffer(r.features, "<u4").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float)) for r in rows], np.array([r.good for r in rows]))
 
@@ -241,7 +241,7 @@ def _with_scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(Parts(b.column(0))))], names=["text", "rest", "score"])
 
-    out = packed.mapInArrow(run, packed.select("*", F.lit(0.0).alias("score")).schema)
+    out = packed.mapInArrow(C.trimmed(run), packed.select("*", F.lit(0.0).alias("score")).schema)
     return out.select("score", *[(F.col("text") if c == "text" else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 

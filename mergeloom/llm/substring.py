@@ -97,7 +97,7 @@ def met_anchors(texts: DataFrame, length: int, k: int, nb: int, across: bool) ->
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())] + [pa.array([x.tobytes()], pa.binary()) for x in held], names=["slice", "ids", "local", "pos", "key"])
                 number += 1
 
-    held = C.stored(texts.mapInArrow(find, "slice long, ids binary, local binary, pos binary, key binary"))
+    held = C.stored(texts.mapInArrow(C.trimmed(find), "slice long, ids binary, local binary, pos binary, key binary"))
 
     def keys(cols: list[bytes]) -> tuple[np.ndarray, ...]:
         """ids, rows, positions, keys of a slice in the order of (key, place), and where each key begins."""
@@ -139,7 +139,7 @@ def met_anchors(texts: DataFrame, length: int, k: int, nb: int, across: bool) ->
         maps = [np.packbits(x).tobytes() for x in np.split(flag, np.cumsum(count)[:-1])]
         return pa.table({"slice": np.concatenate(number), "bucket": pa.array([bucket] * len(maps), pa.int32()), "flags": pa.array(maps, pa.binary())})
 
-    found = C.exchange(held.mapInArrow(send, C.BLOB), answer, "slice long, bucket int, flags binary")
+    found = C.exchange(held.mapInArrow(C.trimmed(send), C.BLOB), answer, "slice long, bucket int, flags binary")
 
     def pick(t: pa.Table, flags: pa.Table) -> pa.Table:
         ids, hits = [], []
@@ -262,8 +262,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> D
                     rows.append((bucket, C.pack(np.array([number], "<i8"), np.array([bucket], "<u4"), c[j].astype("<u4"), ids[local[j]], pos[j].astype("<u4"), ids[local[tail[i]]], h[spread(start[i], c[j])])))
                 yield C.blob_batch(rows)
 
-    held = C.stored(with_hits(texts, hits).mapInArrow(extend, "slice long, " + ", ".join(f"{x} binary" for x in SEEDED)))
-    return spans(held.select("slice", *LAST), C.exchange(held.mapInArrow(send, C.BLOB), match, FLAGS), nb, length)
+    held = C.stored(with_hits(texts, hits).mapInArrow(C.trimmed(extend), "slice long, " + ", ".join(f"{x} binary" for x in SEEDED)))
+    return spans(held.select("slice", *LAST), C.exchange(held.mapInArrow(C.trimmed(send), C.BLOB), match, FLAGS), nb, length)
 
 
 def match(blobs: list[bytes]) -> pa.Table:

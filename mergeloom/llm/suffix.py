@@ -228,7 +228,7 @@ def suffix_repeats(docs: DataFrame, length: int = S.LENGTH, gram: int | None = N
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())] + [pa.array([x.astype(d).tobytes()], pa.binary()) for x, d in zip(parts, PARTS.values())], names=["slice", *PARTS])
                 number += 1
 
-    held = C.stored(S.with_hits(texts, S.met_anchors(texts, length, k, nb, False)).mapInArrow(cut, SLICE))
+    held = C.stored(S.with_hits(texts, S.met_anchors(texts, length, k, nb, False)).mapInArrow(C.trimmed(cut), SLICE))
 
     def send_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,7 +239,7 @@ def suffix_repeats(docs: DataFrame, length: int = S.LENGTH, gram: int | None = N
                     rows.append((block, C.pack(np.array([number], "<i8"), n[i].astype("<u4"), size[i].astype("<u4"), (pos[head[i]] % period).astype("u1"), symbol[S.spread(at[i], size[i])])))
                 yield C.blob_batch(rows)
 
-    ranks = C.exchange(held.select("slice", "pos", "base", "n", "head", "m", "symbols").mapInArrow(send_sample, C.BLOB), lambda x: rank_sample(x, shifts, depth, nb), "slice long, block int, ranks binary")
+    ranks = C.exchange(held.select("slice", "pos", "base", "n", "head", "m", "symbols").mapInArrow(C.trimmed(send_sample), C.BLOB), lambda x: rank_sample(x, shifts, depth, nb), "slice long, block int, ranks binary")
 
     def send_suffixes(t: pa.Table, found: pa.Table) -> pa.Table:
         """The candidates of a slice with the ranks after them, for their blocks."""

@@ -33,7 +33,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LIMIT, EVERY, BLOCK_BYTES = 20, 1024, 4 << 20
 #: Distinct pieces that a worker remembers; then it starts anew (no effect on results).
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 IDS = "block bigint, doc_ids array<bigint>, n_tokens array<int>, ids binary"
 CODED = "block bigint, doc_ids array<bigint>, n_tokens array<int>, bits bigint, payload binary, checkpoints array<bigint>"
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -290,7 +290,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, ev
 
     if order:
         docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    held = C.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokenize, IDS))
+    held = C.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(C.trimmed(tokenize), IDS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -301,7 +301,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, ev
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for r in held.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in held.select("ids").mapInArrow(C.trimmed(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     lengths = code_lengths(counts, limit)
     book = spark.sparkContext.broadcast((lengths, canonical(lengths)))
@@ -309,11 +309,12 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, ev
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, codes = book.value
         for b in batches:
-            rows = [pack_bits(np.frombuffer(raw, dtype), lengths, codes, every) for raw in b.column(3).to_pylist()]
-            payload, bits, points = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(bits, pa.int64()), pa.array(payload, pa.binary()), pa.array([p.tolist() for p in points], pa.list_(pa.int64()))], names=["block", "doc_ids", "n_tokens", "bits", "payload", "checkpoints"])
+            for k, raw in enumerate(b.column(3).to_pylist()):  # a block at a time
+                payload, bits, points = pack_bits(np.frombuffer(raw, dtype), lengths, codes, every)
+                one = b.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*one.columns[:3], pa.array([bits], pa.int64()), pa.array([payload], pa.binary()), pa.array([points.tolist()], pa.list_(pa.int64()))], names=["block", "doc_ids", "n_tokens", "bits", "payload", "checkpoints"])
 
-    coded = held.mapInArrow(code, CODED)
+    coded = held.mapInArrow(C.trimmed(code), CODED)
     first = spark.createDataFrame([(-1, [], [], 0, bytearray(lengths.tobytes()), [])], CODED)
     return first.unionByName(coded)
 
@@ -337,4 +338,4 @@ def decode(coded: DataFrame, limit: int = LIMIT, every: int = EVERY) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(ids.astype(np.int32)), mask=pa.array([m < 0 for m in many]))
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), lists], names=["doc_id", "ids"])
 
-    return coded.where("block >= 0").select("doc_ids", "n_tokens", "payload", "checkpoints").mapInArrow(run, "doc_id long, ids array<int>")
+    return coded.where("block >= 0").select("doc_ids", "n_tokens", "payload", "checkpoints").mapInArrow(C.trimmed(run), "doc_id long, ids array<int>")

@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identities: Se
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(f, pa.binary()), pa.array(t, pa.list_(pa.binary()))], names=["toxic", "features", "twins"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").where("text is not null")
-    got = texts.join(C.small_side(taken), "__id").select("text", "__toxic").mapInArrow(measure, "toxic int, features binary, twins array<binary>").toArrow()
+    got = texts.join(C.small_side(taken), "__id").select("text", "__toxic").mapInArrow(C.trimmed(measure), "toxic int, features binary, twins array<binary>").toArrow()
     rows = []
     for y, f, t in sorted(zip(*(got.column(c).to_pylist() for c in ("toxic", "features", "twins"))), key=lambda r: (r[1], r[0])):
         t = [np.frombuffer(x, "<u4") for x in t]
@@ -241,5 +241,5 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **h
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.score(b.column(1)))], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.withColumn("toxic", F.col("score") >= threshold)
