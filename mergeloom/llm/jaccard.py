@@ -20,11 +20,15 @@ documents meet, the later ones are drawn from the region that they divide:
    the others' ties the weakest go, as long as the shared links lost are fewer than
    half of what a pair is sure to share: every pair within r keeps a pivot that both
    are tied to. A set is copied into the regions of all its pivots.
-4. A region over ``BIG`` sets or bytes is divided by a shuffle, again and again: pivots
+4. A region over ``BIG`` sets or bytes is often one of a passage that unrelated documents
+   share. They lie at distance 1 here too, so steps 2 and 3 are taken once more inside it, with
+   single grams, those last that are frequent in the region: a pair within r has |x & y| >=
+   t max(|x|, |y|), so a prefix of |x| - ceil(t|x|) + l(x) grams does as that of links does.
+   What is over ``BIG`` then is divided by a shuffle, again and again: pivots
    are drawn from its own sets, each set goes to the nearest (a Voronoi cell), and is
    copied as a guest to every earlier cell in which it can have a partner by the
    triangle inequality, d(y, p) <= R(p) + r with R(p) the radius of the cell. What pivots
-   can't divide is cut into pairs of blocks. A region that fits one task is divided in
+   hardly divide is cut into pairs of blocks. A region that fits one task is divided in
    the same way there, down to ``LEAF`` sets. Own sets meet each other and the guests, so
    a pair of a region is met once.
 5. Of the regions that a pair shares, the one of the least pivot counts it. No pairs are
@@ -52,6 +56,10 @@ from mergeloom.llm.tokens import Words, slices
 LEAF, BLOCK, PIVOTS = 16, 128, 16
 #: Sets and bytes of a region in one task, and rounds of division by shuffle before the rest is cut into blocks.
 BIG, BIG_BYTES, ROUNDS = 4096, 64 << 20, 4
+#: Sets and bytes of a large region that tell which grams are frequent in it (a matter of order, not of results), and their least share.
+SAMPLE, SAMPLE_BYTES, FREQUENT = 256, 16 << 20, 0.02
+#: A division that leaves more than this share of the work of a region does not pay.
+PAYS = 0.7
 EPS = 1e-9
 GRAM = np.uint64((1 << 48) - 1)
 FOUND = "fp long, n int, doc_ids array<long>, grams binary"
@@ -120,9 +128,7 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: flo
             yield C.blob_batch([(k, _cells_blob(link[i], row[i], fp, size)) for k, i in C.split_by(C.bucket_of(link, nb))])
 
     cells = C.exchange(texts.mapInArrow(C.trimmed(send), C.BLOB), lambda blobs: _link(blobs, nb), C.BLOB)
-    ties = C.stored(C.exchange(cells, lambda blobs: _choose(blobs, threshold, slack), "fp long, pivot long"))
-    shared = ties.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1").select("pivot")
-    ties = C.stored(ties.join(shared, "pivot", "left_semi"))
+    ties = _ties(cells, threshold, slack)
     known = C.ids_of(C.stored(ties.select("fp").distinct()))
     members = spark.sparkContext.broadcast(known)
 
@@ -149,22 +155,24 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: flo
         copies = C.stored(classes.where("weight > 1").select("fp", F.col("least").alias("class_id"), (F.col("weight") - 1).alias("n_links")))
         return _rows(named, copies)
     grams = found.where("grams is not null").groupBy("fp").agg(F.first("grams").alias("grams"))
-    lists = ties.groupBy("fp").agg(F.collect_set("pivot").alias("pivots"))
-    tied = C.stored(lists.select("fp", F.explode("pivots").alias("region"), "pivots").select("fp", "region", F.filter("pivots", lambda p: p < F.col("region")).alias("lesser")))
-    # a region is met elsewhere if all its members also are in the region of one lesser pivot
-    size = tied.groupBy("region").agg(F.count("*").alias("members"))
-    also = tied.select("region", F.explode("lesser").alias("q")).groupBy("region", "q").agg(F.count("*").alias("members"))
-    elsewhere = C.stored(also.join(size, ["region", "members"]).select("region").distinct())
-    place = tied.join(C.small_side(elsewhere), "region", "left_anti").join(grams, "fp").join(classes.select("fp", "weight"), "fp")
-    work = C.stored(place.select("region", "fp", F.lit(True).alias("own"), F.lit(True).alias("self"), "lesser", "weight", "grams"))
-    for k in range(ROUNDS + 1):
-        large = C.stored(_sizes(work).where((F.col("sets") > BIG) | (F.col("bytes") > BIG_BYTES)))
+    tied = _regions(ties)
+    place = tied.join(grams, "fp").join(classes.select("fp", "weight"), "fp")
+    parts = [C.stored(place.select("region", "fp", F.lit(True).alias("own"), F.lit(True).alias("self"), "lesser", "weight", "grams"))]
+    C.release(found, ties, tied)
+    fit = []
+    for k in range(-1, ROUNDS + 1):
+        large = C.stored(_sizes(parts[-1]).where((F.col("sets") > BIG) | (F.col("bytes") > BIG_BYTES)))
         if large.isEmpty():
             break
-        rest = work.join(C.small_side(large.select("region")), "region", "left_anti")
-        work = C.stored(rest.unionByName(_divide(work.join(C.small_side(large), "region"), k, 1 - threshold)))
+        fit.append(parts[-1].join(C.small_side(large.select("region")), "region", "left_anti"))
+        rows = parts[-1].join(C.small_side(large), "region")
+        parts.append(_refine(rows, nb, threshold, slack) if k < 0 else _divide(rows, k, 1 - threshold))
+    work = parts[-1]
+    for x in fit:
+        work = work.unionByName(x.select(*WORK))
     bucket = F.pmod(F.xxhash64("region"), F.lit(nb)).alias("bucket")
     joined = C.stored(work.select(bucket, *WORK).groupBy("bucket").applyInArrow(lambda t: _join_regions(t, threshold), LINKED))
+    C.release(*parts)
     links = joined.groupBy("fp").agg(F.sum("links").alias("links"))
     root = groups(joined.select(F.col("fp").alias("doc_a"), F.col("root").alias("doc_b"))).select(F.col("doc_id").alias("fp"), "root")
     linked = C.stored(classes.join(links, "fp", "left").join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")).where("n_links > 0"))
@@ -173,6 +181,28 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: flo
     return _rows(named, each)
 
 
+def _ties(cells: DataFrame, t: float, slack: float) -> DataFrame:
+    """(fp, pivot), stored: ties that must stay, of pivots with two members at least."""
+    every = C.stored(C.exchange(cells, lambda blobs: _choose(blobs, t, slack), "fp long, pivot long"))
+    shared = every.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1").select("pivot")
+    ties = C.stored(every.join(shared, "pivot", "left_semi"))
+    C.release(every)
+    return ties
+
+
+def _regions(ties: DataFrame) -> DataFrame:
+    """(fp, region, lesser), stored: the members of the regions of pivots, with the lesser pivots of each."""
+    lists = ties.groupBy("fp").agg(F.collect_set("pivot").alias("pivots"))
+    tied = C.stored(lists.select("fp", F.explode("pivots").alias("region"), "pivots").select("fp", "region", F.filter("pivots", lambda p: p < F.col("region")).alias("lesser")))
+    # a region is met elsewhere if all its members also are in the region of one lesser pivot
+    size = tied.groupBy("region").agg(F.count("*").alias("members"))
+    also = tied.select("region", F.explode("lesser").alias("q")).groupBy("region", "q").agg(F.count("*").alias("members"))
+    elsewhere = C.stored(also.join(size, ["region", "members"]).select("region").distinct())
+    kept = C.stored(tied.join(C.small_side(elsewhere), "region", "left_anti"))
+    C.release(tied, elsewhere)
+    return kept
+
+
 def _rows(named: DataFrame, each: DataFrame) -> DataFrame:
     """What is known of sets, for their documents."""
     return named.join(C.small_side(each), "fp").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
@@ -246,6 +276,55 @@ def _choose(blobs: list[bytes], t: float, slack: float) -> pa.Table:
 # --- dividing regions by a shuffle ------------------------------------------
 
 
+def _refine(large: DataFrame, nb: int, t: float, slack: float) -> DataFrame:
+    """Rows of large regions of own sets (with their sizes) -> rows of the regions of pivots inside them, stored.
+
+    Sets without a partner in their region go, and what is left meets by rare grams. A member of a
+    region is known by a hash of both; lesser pivots of the refined region are added to those of the set.
+    """
+    large = large.withColumn("member", F.xxhash64("region", "fp"))
+    chance = F.least(SAMPLE / F.col("sets"), SAMPLE_BYTES / F.col("bytes"))
+    drawn = F.pmod(F.xxhash64("fp", F.lit(-2)), F.lit(1 << 30)) < chance * (1 << 30)
+    frequent = C.stored(large.where(drawn).select("region", "grams").groupBy("region").applyInArrow(_frequent, "region long, frequent binary"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            region, member = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            prefixes, size = [], np.zeros(b.num_rows, np.int64)
+            for k, (raw, last) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                g = _grams(raw)
+                size[k] = n = len(g)
+                prefixes.append(_prefix(g, np.frombuffer(last or b"", "<u8"), int(min(n, n - np.ceil(t * n - EPS) + np.ceil(slack * n - EPS)))))
+            if not prefixes:
+                continue
+            row = np.repeat(np.arange(b.num_rows), [len(x) for x in prefixes])
+            key = C.mix(np.concatenate(prefixes) * np.uint64(0x9E3779B97F4A7C15) + C.mix(region)[row]) & GRAM
+            yield C.blob_batch([(k, _cells_blob(key[i], row[i], member, size)) for k, i in C.split_by(C.bucket_of(key, nb))])
+
+    sets = large.select("region", "member", "grams").join(C.small_side(frequent), "region", "left").select("region", "member", "grams", "frequent")
+    cells = C.exchange(sets.mapInArrow(C.trimmed(send), C.BLOB), lambda blobs: _link(blobs, nb), C.BLOB)
+    ties = _ties(cells, t, slack)
+    inner = _regions(ties).withColumnsRenamed({"fp": "member", "region": "inner", "lesser": "also"})
+    rows = large.join(inner, "member").select(F.col("inner").alias("region"), "fp", "own", "self", F.concat("lesser", "also").alias("lesser"), "weight", "grams")
+    refined = C.stored(rows)
+    C.release(frequent, ties)
+    return refined
+
+
+def _frequent(sample: pa.Table) -> pa.Table:
+    """The grams that are frequent in a sample of a region, the most frequent last."""
+    grams, many = np.unique(np.concatenate([_grams(x) for x in sample.column("grams").to_pylist()]), return_counts=True)
+    found = np.flatnonzero(many >= max(3, FREQUENT * sample.num_rows))
+    found = found[np.argsort(many[found], kind="stable")]
+    return pa.table({"region": sample.column("region").slice(0, 1), "frequent": pa.array([grams[found].astype("<u8").tobytes()], pa.binary())})
+
+
+def _prefix(grams: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    """The first ``length`` of the sorted ``grams``, where those of ``last`` come last, in its order."""
+    rare = grams[~C.among(grams, np.sort(last))]
+    return rare[:length] if length <= len(rare) else np.concatenate([rare, last[C.among(last, grams)]])[:length]
+
+
 def _sizes(work: DataFrame) -> DataFrame:
     return work.groupBy("region").agg(F.count("*").alias("sets"), F.sum(F.col("own").cast("int")).alias("owners"), F.sum(F.octet_length("grams")).alias("bytes"))
 
@@ -256,9 +335,9 @@ def _parts(of: int) -> Column:
 
 
 def _divide(large: DataFrame, k: int, r: float) -> DataFrame:
-    """Rows of large regions (with their sizes) -> rows of the Voronoi cells of pivots drawn from them.
+    """Rows of large regions (with their sizes) -> rows of the Voronoi cells of pivots drawn from them, stored.
 
-    In the last round, or where one cell would hold all, a region is cut into pairs of blocks.
+    In the last round, or where the cells with their guests hardly save work, a region is cut into pairs of blocks.
     """
     large = large.withColumn("salt", F.pmod(F.xxhash64("fp"), _parts(BIG)).cast("int"))
     drawn = F.pmod(F.xxhash64("fp", F.lit(k)), F.col("owners")) < PIVOTS
@@ -266,11 +345,16 @@ def _divide(large: DataFrame, k: int, r: float) -> DataFrame:
     shape = "region long, fp long, own boolean, self boolean, lesser array<long>, weight long, grams binary, sets long, owners long, bytes long, home int, d array<double>"
     placed = C.stored(large.groupBy("region", "salt").cogroup(pivots.groupBy("p_region", "p_salt")).applyInArrow(_distances, shape))
     cell = placed.where("own").groupBy("region", "home").agg(F.max(F.col("d")[F.col("home")]).alias("radius"), F.count("*").alias("held"), F.first("owners").alias("owners"))
-    cell = C.stored(cell.where("held < owners").select("region", F.col("home").alias("at"), "radius"))
+    every = C.stored(cell.where("held < owners").select("region", F.col("home").alias("at"), "radius", "held"))
+    near = F.when(F.col("own"), F.col("at") <= F.col("home")).otherwise(True) & (F.col("distance") <= F.col("radius") + r + EPS)
+    met = placed.select("region", "own", "home", "sets", "owners", F.posexplode("d").alias("at", "distance")).join(C.small_side(every), ["region", "at"]).where(near)
+    met = met.groupBy("region", "at").agg(F.count("*").alias("reach"), F.first("held").alias("held"), F.first("sets").alias("sets"), F.first("owners").alias("owners"))
+    left = met.groupBy("region").agg(F.sum(F.expr("held * (reach - held / 2)")).alias("left"), F.first(F.expr("owners * (sets - owners / 2)")).alias("whole"))
+    pays = C.stored(left.where(F.col("left") <= PAYS * F.col("whole")).select("region"))
+    cell = C.stored(every.join(C.small_side(pays), "region", "left_semi").drop("held"))
     whole = placed.join(C.small_side(cell.select("region").distinct()), "region", "left_anti")
     each = placed.select("*", F.posexplode("d").alias("at", "distance"))
-    here = F.when(F.col("own"), F.col("at") <= F.col("home")).otherwise(True) & (F.col("distance") <= F.col("radius") + r + EPS)
-    cells = each.join(C.small_side(cell), ["region", "at"]).where(here)
+    cells = each.join(C.small_side(cell), ["region", "at"]).where(near)
     cells = cells.select(F.xxhash64("region", "at", F.lit(k)).alias("region"), "fp", (F.col("own") & (F.col("at") == F.col("home"))).alias("own"), "self", "lesser", "weight", "grams")
     # blocks a <= b: those of own sets with themselves and with later ones, and with all of guests
     n, block = _parts(BIG // 2), F.col("block")
@@ -281,7 +365,9 @@ def _divide(large: DataFrame, k: int, r: float) -> DataFrame:
     guests = cut.where("not own").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = own.select(F.xxhash64("region", "block", "other", F.lit(-k - 1)).alias("region"), "fp", "own", F.lit(False).alias("self"), "lesser", "weight", "grams")
     met = met.unionByName(guests.select(F.xxhash64("region", "other", "block", F.lit(-k - 1)).alias("region"), "fp", "own", F.lit(False).alias("self"), "lesser", "weight", "grams"))
-    return cells.unionByName(same).unionByName(met)
+    divided = C.stored(cells.unionByName(same).unionByName(met))
+    C.release(placed)
+    return divided
 
 
 def _distances(t: pa.Table, pivots: pa.Table) -> pa.Table:

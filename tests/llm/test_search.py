@@ -229,6 +229,32 @@ def test_jaccard_of_a_large_group(spark, monkeypatch, big):
     assert bool(rounds) == (big == 40)
 
 
+def test_a_common_passage_does_not_copy_its_region(spark, monkeypatch):
+    """Unrelated documents that share a passage lie in one region; it is refined, not copied into cells of pivots."""
+    monkeypatch.setattr(jaccard, "BIG", 40)
+    held, stored = [], jaccard.C.stored
+
+    def count(df, *x):
+        back = stored(df, *x)
+        if back.columns == jaccard.WORK:
+            held.append(back.count())
+        return back
+
+    monkeypatch.setattr(jaccard.C, "stored", count)
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(14))
+    rows = []
+    for k in range(300):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(25)]
+        rows.append((2 * k, " ".join(own) + " " + passage))
+        if k % 10 == 0:
+            own[k % 25] = "other"
+            rows.append((2 * k + 1, " ".join(own) + " " + passage))
+    got = jaccard.near_classes(table(spark, rows), threshold=0.53, slack=0.05).collect()
+    assert {tuple(r) for r in got} == brute_classes(rows, 0.53) and len(got) == 60
+    assert held[0] > 100 and len(held) > 1 and sum(held[1:]) <= held[0]
+
+
 def test_jaccard_without_broadcasts(docs, rows, monkeypatch):
     monkeypatch.setattr(jaccard.C, "BROADCAST_IDS", 0)
     monkeypatch.setattr(jaccard.C, "BROADCAST_BYTES", 0)
