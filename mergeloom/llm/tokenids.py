@@ -32,8 +32,10 @@ from mergeloom.llm.tokens import slices, text_bytes
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LIMIT, EVERY, BLOCK_BYTES = 20, 1024, 4 << 20
+#: Bytes of text (or one longer text) and tokens of a block that are worked on at once; they bound a worker's memory, not results.
+TEXT_AT_ONCE, TOKENS_AT_ONCE = 1 << 20, 1 << 17
 #: Distinct pieces that a worker remembers; then it starts anew (no effect on results).
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 IDS = "block bigint, doc_ids array<bigint>, n_tokens array<int>, ids binary"
 CODED = "block bigint, doc_ids array<bigint>, n_tokens array<int>, bits bigint, payload binary, checkpoints array<bigint>"
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -210,18 +212,22 @@ def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, every: in
     """(payload, number of bits, bit offsets of tokens 0, every, 2 every, ...)."""
     if not len(ids):
         return b"", 0, np.zeros(0, np.int64)
-    n, code = lengths[ids].astype(np.int64), codes[ids]
-    end = np.cumsum(n)
-    begin = end - n
-    word, room = begin >> 6, 64 - (begin & 63) - n
-    out = np.zeros((int(end[-1]) >> 6) + 2, np.uint64)
-    left = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
-    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    out[word[first]] = np.add.reduceat(left, first)
-    over = np.flatnonzero(room < 0)
-    out[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-    bits = int(end[-1])
-    return out.byteswap().tobytes()[: (bits + 7) // 8], bits, begin[::every]
+    length = lengths[ids]
+    bits = int(length.sum(dtype=np.int64))
+    out, points, at = np.zeros((bits >> 6) + 2, np.uint64), [], 0
+    for a in range(0, len(ids), TOKENS_AT_ONCE):
+        n, code = length[a : a + TOKENS_AT_ONCE].astype(np.int64), codes[ids[a : a + TOKENS_AT_ONCE]]
+        end = at + np.cumsum(n)
+        begin = end - n
+        word, room = begin >> 6, 64 - (begin & 63) - n
+        left = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        out[word[first]] |= np.add.reduceat(left, first)
+        over = np.flatnonzero(room < 0)
+        out[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
+        points.append(begin[-a % every :: every])
+        at = int(end[-1])
+    return out.byteswap().tobytes()[: (bits + 7) // 8], bits, np.concatenate(points)
 
 
 class Decoder:
@@ -282,11 +288,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, ev
         tokenizer = Tokenizer(sent.value)
         task = TaskContext.get().partitionId() << 33
         for k, b in enumerate(slices(batches, limit=BLOCK_BYTES)):
-            text = b.column(1)
-            ids, many = tokenizer.column(text)
-            many = np.where(text.is_null().to_numpy(zero_copy_only=False), -1, many).astype(np.int32)
+            parts = [tokenizer.column(x.column(1)) for x in slices([b], limit=TEXT_AT_ONCE)]
+            ids, many = (np.concatenate(x) for x in zip(*((i.astype(dtype), m) for i, m in parts)))
+            many = np.where(b.column(1).is_null().to_numpy(zero_copy_only=False), -1, many).astype(np.int32)
             span = pa.array([0, b.num_rows], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([task + k], pa.int64()), pa.ListArray.from_arrays(span, b.column(0)), pa.ListArray.from_arrays(span, pa.array(many)), pa.array([ids.astype(dtype).tobytes()], pa.binary())], names=["block", "doc_ids", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([task + k], pa.int64()), pa.ListArray.from_arrays(span, b.column(0)), pa.ListArray.from_arrays(span, pa.array(many)), pa.array([ids.tobytes()], pa.binary())], names=["block", "doc_ids", "n_tokens", "ids"])
 
     if order:
         docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -309,8 +315,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, ev
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, codes = book.value
         for b in batches:
-            for k, raw in enumerate(b.column(3).to_pylist()):  # a block at a time
-                payload, bits, points = pack_bits(np.frombuffer(raw, dtype), lengths, codes, every)
+            for k, raw in enumerate(b.column(3)):  # a block at a time
+                payload, bits, points = pack_bits(np.frombuffer(raw.as_buffer(), dtype), lengths, codes, every)
                 one = b.slice(k, 1)
                 yield pa.RecordBatch.from_arrays([*one.columns[:3], pa.array([bits], pa.int64()), pa.array([payload], pa.binary()), pa.array([points.tolist()], pa.list_(pa.int64()))], names=["block", "doc_ids", "n_tokens", "bits", "payload", "checkpoints"])
 

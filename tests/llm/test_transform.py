@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -459,6 +460,22 @@ def test_code_lengths():
         tokenids.code_lengths(np.ones(9, int), 3)
 
 
+def test_packing_a_block_takes_bounded_memory(monkeypatch):
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.geometric(0.002, 1 << 20) - 1, 4999).astype("<u2")
+    lengths = tokenids.code_lengths(np.bincount(ids, minlength=5000))
+    codes = tokenids.canonical(lengths)
+    tracemalloc.start()
+    payload, bits, points = tokenids.pack_bits(ids, lengths, codes, 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20  # a block of 4 MB of text has more tokens than these
+    assert (tokenids.Decoder(lengths).ids(payload, len(ids), points, 1000) == ids).all()
+    monkeypatch.setattr(tokenids, "TOKENS_AT_ONCE", 1 << 30)
+    whole = tokenids.pack_bits(ids, lengths, codes, 1000)
+    assert whole[:2] == (payload, bits) and (whole[2] == points).all()
+
+
 def test_token_ids_round_trip(spark):
     rows = corpus()
     docs = table(spark, rows).selectExpr("*", "1 as block", "2 as payload", "3 as bits").repartition(3)
