@@ -125,7 +125,7 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.7, slack: flo
             one = np.zeros(len(fp), bool)
             one[np.unique(fp, return_index=True)[1]] = True
             link, row = link[one[row]], row[one[row]]
-            yield C.blob_batch([(k, _cells_blob(link[i], row[i], fp, size)) for k, i in C.split_by(C.bucket_of(link, nb))])
+            yield C.blob_batch(_cells(link, row, fp, size, nb))
 
     cells = C.exchange(texts.mapInArrow(C.trimmed(send), C.BLOB), lambda blobs: _link(blobs, nb), C.BLOB)
     ties = _ties(cells, threshold, slack)
@@ -219,19 +219,37 @@ def _set_hash(key: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return C.mix(total[cut[1:]] - total[cut[:-1]])
 
 
-def _cells_blob(link: np.ndarray, row: np.ndarray, fp: np.ndarray, size: np.ndarray) -> bytes:
-    used, local = np.unique(row, return_inverse=True)
-    return C.pack(fp[used], size[used].astype("<u4"), (link << np.uint64(16)) | local.astype(np.uint64))
+def _cells(link: np.ndarray, row: np.ndarray, fp: np.ndarray, size: np.ndarray, nb: int) -> list[tuple[int, bytes]]:
+    """Links of rows by bucket: the half of a link's hash that the bucket doesn't tell, and whose it is, by
+    numbers into names or by names alone, whichever is shorter: 12 bytes a link at most, however many
+    buckets there are. Sizes go once to the bucket of the name. Links that are taken for one only make more ties."""
+    low = C.mix(link).astype("<u4")
+    at, used = dict(C.split_by(C.bucket_of(link, nb))), np.unique(row)
+    sized = {k: used[i] for k, i in C.split_by(C.bucket_of(fp[used], nb))}
+    rows, none = [], np.zeros(0, np.int64)
+    for k in sorted(at.keys() | sized.keys()):
+        i, s = at.get(k, none), sized.get(k, none)
+        own, local = np.unique(row[i], return_inverse=True)
+        if 2 * len(i) + 8 * len(own) > 8 * len(i):
+            own, local = row[i], none
+        rows.append((k, C.pack(low[i], local.astype("<u2"), fp[own].astype("<u8"), fp[s].astype("<u8"), size[s].astype("<u4"))))
+    return rows
 
 
 def _link(blobs: list[bytes], nb: int) -> pa.Table:
-    """Cells of a bucket -> ties (set, pivot, shared links), packed by the set's bucket."""
-    ids, sizes, keys = C.gather(blobs, "<u8", "<u4", "<u8")
-    base = np.cumsum([0] + [len(x) for x in ids])
-    link = np.concatenate([k >> np.uint64(16) for k in keys])
-    which = np.concatenate([(k & np.uint64(0xFFFF)).astype(np.int64) + b for k, b in zip(keys, base)])
-    ids, at, number = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
-    sizes, doc = np.concatenate(sizes)[at], number[which]
+    """Cells of a bucket -> ties (set, pivot, shared links), packed by the set's bucket, with the sizes that are sent there."""
+    links, numbers, names, sized, sizes = C.gather(blobs, "<u4", "<u2", "<u8", "<u8", "<u4")
+    rows, sized, none = [], np.concatenate(sized), np.zeros(0, np.uint64)
+    sizes = np.concatenate(sizes)
+    for k, i in C.split_by(C.bucket_of(sized, nb)):
+        rows.append((k, C.pack(none, none, none.astype("<u4"), sized[i], sizes[i])))
+    link = np.concatenate(links)
+    if not len(link):
+        return pa.Table.from_batches([C.blob_batch(rows)])
+    base = np.cumsum([0] + [len(x) for x in names])
+    which = np.concatenate([(n.astype(np.int64) if len(n) else np.arange(len(x))) + b for n, x, b in zip(numbers, names, base)])
+    ids, number = np.unique(np.concatenate(names), return_inverse=True)
+    doc = number[which]
     order = np.lexsort((doc, link))
     link, doc = link[order], doc[order]
     new = np.concatenate([[True], (link[1:] != link[:-1]) | (doc[1:] != doc[:-1])])  # equal sets of several tasks
@@ -246,19 +264,22 @@ def _link(blobs: list[bytes], nb: int) -> pa.Table:
     doc, pivot = doc[in_cell], np.repeat(pivot, many)[in_cell]
     pair, shared = np.unique((doc.astype(np.uint64) << np.uint64(32)) | pivot.astype(np.uint64), return_counts=True)
     doc, pivot = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    rows = []
     for k, i in C.split_by(C.bucket_of(ids[doc], nb)):
-        rows.append((k, C.pack(ids[doc[i]], sizes[doc[i]], ids[pivot[i]], shared[i].astype("<u4"))))
+        rows.append((k, C.pack(ids[doc[i]], ids[pivot[i]], shared[i].astype("<u4"), none, none.astype("<u4"))))
     return pa.Table.from_batches([C.blob_batch(rows)])
 
 
 def _choose(blobs: list[bytes], t: float, slack: float) -> pa.Table:
     """Ties of whole sets -> those that must stay."""
-    doc, size, pivot, shared = (np.concatenate(x) for x in C.gather(blobs, "<i8", "<u4", "<i8", "<u4"))
+    doc, pivot, shared, named, sizes = (np.concatenate(x) for x in C.gather(blobs, "<i8", "<i8", "<u4", "<i8", "<u4"))
+    if not len(doc):
+        return pa.table({"fp": doc, "pivot": pivot})
     order = np.lexsort((pivot, doc))
-    doc, size, pivot, shared = doc[order], size[order].astype(np.int64), pivot[order], shared[order].astype(np.int64)
+    doc, pivot, shared = doc[order], pivot[order], shared[order].astype(np.int64)
     begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pivot[1:] != pivot[:-1])]))
-    doc, size, pivot, shared = doc[begin], size[begin], pivot[begin], np.add.reduceat(shared, begin)
+    doc, pivot, shared = doc[begin], pivot[begin], np.add.reduceat(shared, begin)
+    named, at = np.unique(named, return_index=True)
+    size = sizes[at][np.searchsorted(named, doc)].astype(np.int64)
     begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     many = np.diff(np.concatenate([begin, [len(doc)]]))
     group = np.repeat(np.arange(len(begin)), many)
@@ -299,7 +320,7 @@ def _refine(large: DataFrame, nb: int, t: float, slack: float) -> DataFrame:
                 continue
             row = np.repeat(np.arange(b.num_rows), [len(x) for x in prefixes])
             key = C.mix(np.concatenate(prefixes) * np.uint64(0x9E3779B97F4A7C15) + C.mix(region)[row]) & GRAM
-            yield C.blob_batch([(k, _cells_blob(key[i], row[i], member, size)) for k, i in C.split_by(C.bucket_of(key, nb))])
+            yield C.blob_batch(_cells(key, row, member, size, nb))
 
     sets = large.select("region", "member", "grams").join(C.small_side(frequent), "region", "left").select("region", "member", "grams", "frequent")
     cells = C.exchange(sets.mapInArrow(C.trimmed(send), C.BLOB), lambda blobs: _link(blobs, nb), C.BLOB)

@@ -330,3 +330,12 @@ def test_words_are_those_of_the_pattern(rows):
         for k, x in zip(range(w.first[r], w.first[r + 1]), WORDS):
             assert ids.setdefault(x, w.hash[k]) == w.hash[k]
     assert len(set(map(int, ids.values()))) == len(ids)
+
+
+def test_a_link_takes_few_bytes_however_many_buckets():
+    rng = np.random.default_rng(3)
+    size, fp = np.full(400, 50), rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    link, row = rng.integers(0, 1 << 48, 20_000).astype(np.uint64), np.repeat(np.arange(400), 50)
+    for nb in (1, 8, 60, 1000):
+        sent = jaccard._cells(link, row, fp, size, nb)
+        assert sum(len(x) for _, x in sent) <= 13 * len(link) + 24 * len(sent)
