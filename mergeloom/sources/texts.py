@@ -5,12 +5,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes of a file of a sample.
+FILE_BYTES = 4 << 20
+
 
 def in_memory(spark: SparkSession, texts: Sequence[str | None]) -> DataFrame:
     return spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
@@ -44,8 +50,43 @@ def parquet_texts(spark: SparkSession, path: str, column: str = "text", max_byte
 
 
 def write_sample(docs: DataFrame, path: str, separator: str = "<|endoftext|>") -> None:
-    """Texts as one stream with a separator behind each."""
-    docs.where("text is not null").select("text").write.mode("overwrite").option("lineSep", separator).text(path)
+    """Texts as one stream with a separator behind each, in files of about ``FILE_BYTES``, so that they can be read whole."""
+    rows = docs.where("text is not null").select("text")
+    mean = rows.agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    rows.write.mode("overwrite").option("lineSep", separator).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + len(separator))))).text(path)
+
+
+def write_joined(docs: DataFrame, path: str, separator: str = "<|endoftext|>") -> None:
+    """Texts in one file with a separator behind each. Each task writes its part at its place, in a folder that all machines share."""
+    rows, end = docs.where("text is not null").select("text"), separator.encode()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum((pc.sum(pc.binary_length(b.column(0))).as_py() or 0) + len(end) * b.num_rows for b in batches)
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n]})
+
+    sizes = sorted((r.part, r.n) for r in rows.mapInArrow(measure, "part long, n long").collect())
+    place, total = {}, 0
+    for part, n in sizes:
+        place[part] = (total, total + n)
+        total += n
+    with open(path, "wb") as f:
+        f.truncate(total)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stop = place[TaskContext.get().partitionId()]
+        with open(path, "r+b") as f:
+            f.seek(at)
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    raw = t.encode() + end
+                    if f.tell() + len(raw) > stop:
+                        raise RuntimeError("the texts of a part are not those that were measured")
+                    f.write(raw)
+            if f.tell() != stop:
+                raise RuntimeError("the texts of a part are not those that were measured")
+        yield pa.RecordBatch.from_pydict({"n": [stop - at]})
+
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).first()
 
 
 def special_tokens_file(path: str | Path) -> list[str]:
